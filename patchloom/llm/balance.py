@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..columns import pick
 from ..materialize import cut
 from ..ranking import grouped_prefix_sum
 
@@ -72,11 +73,15 @@ class BalancedSample:
     """
 
     def __init__(self, items: DataFrame, targets: DataFrame, *, id: str, parent: str, leaf: str, share: str, least: str, size: int | None = None, fraction: float = 0.25, parent_key=key_of, leaf_key=key_of, seed: int = 0):
-        one = items.filter(F.col(id).isNotNull()).groupBy(F.col(id).alias("_id")).agg(F.max(parent_key(F.col(parent))).alias("parent"), F.max(leaf_key(F.col(leaf))).alias("leaf"))
+        own = pick(items, _id=id, p=parent, l=leaf).filter(F.col("_id").isNotNull())
+        one = own.groupBy("_id").agg(F.max(parent_key(F.col("p"))).alias("parent"), F.max(leaf_key(F.col("l"))).alias("leaf"))
         one = cut(one)
         self.size = int(one.count() * fraction) if size is None else size
         members = one.filter("parent is not null and leaf is not null")
-        named = cut(targets.select(parent_key(F.col(parent)).alias("parent"), leaf_key(F.col(leaf)).alias("leaf"), F.col(parent).alias("_p"), F.col(leaf).alias("_l"), F.col(share).alias("share"), F.col(least).alias("least")))
+        named = pick(targets, _p=parent, _l=leaf, share=share, least=least)
+        named = named.select(parent_key(F.col("_p")).alias("parent"), leaf_key(F.col("_l")).alias("leaf"), "_p", "_l", "share", "least").filter("parent is not null and leaf is not null")
+        # Of repeated targets the one with the largest share holds.
+        named = cut(named.groupBy("parent", "leaf").agg(F.max(F.struct("share", "least", "_p", "_l")).alias("t")).select("parent", "leaf", "t.*"))
         available = members.groupBy("parent", "leaf").agg(F.count("*").alias("n_available"))
         plan = cut(allocate(available, named, self.size))
         names = named.select("parent", "leaf", "_p", "_l")

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..columns import pick
 from ..materialize import cut
 from .rolling import CHUNK, Hasher
 
@@ -163,9 +164,11 @@ def find_leaks(
     ids count as one document whose texts are separate, and of repeated items each
     text counts.  Ties play no part.
     """
-    kind, item_kind = corpus.schema[id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    texts = corpus.select(F.col(id).alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull() & F.col("text").isNotNull())
-    wanted = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).filter(F.col("item").isNotNull() & F.col("text").isNotNull()).distinct()
+    if run < 1 or not 0 < share <= 1:
+        raise ValueError("run must be at least 1 and share lie between 0 and 1")
+    texts = pick(corpus, id=id, text=text).filter(F.col("id").isNotNull() & F.col("text").isNotNull())
+    wanted = pick(items, item=item_id, text=item_text).filter(F.col("item").isNotNull() & F.col("text").isNotNull()).distinct()
+    kind, item_kind = texts.schema["id"].dataType.simpleString(), wanted.schema["item"].dataType.simpleString()
     rows = f"id {item_kind}, n_words long, at long, h long"
     known = cut(wanted.mapInArrow(_hits(run, None), rows).select(F.col("id").alias("item"), F.col("n_words").alias("m"), F.col("at").alias("item_at"), "h"))
     # An item spelled in several texts keeps the longest text's length.

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..columns import pick
 from ..materialize import cut
 from ..ranking import grouped_prefix_sum
 
@@ -62,9 +63,12 @@ class Mix:
     """
 
     def __init__(self, docs: DataFrame, targets: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", weight: str = "target_weight", repeats: str = "max_repeats", total: int | None = None, vocabulary: str = VOCABULARY, seed: int = 0):
-        kind = docs.schema[id].dataType.simpleString()
-        rows = docs.filter(F.col(id).isNotNull()).select(F.col(id).alias("id"), source_key(F.col(source)).alias("source"), F.col(text).alias("text"))
-        named = targets.select(F.col(source).alias("name"), source_key(F.col(source)).alias("source"), F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)).alias("weight"), F.greatest(F.coalesce(F.col(repeats).cast("long"), F.lit(0)), F.lit(0)).alias("repeats"))
+        rows = pick(docs, id=id, source=source, text=text).filter(F.col("id").isNotNull()).withColumn("source", source_key(F.col("source")))
+        kind = rows.schema["id"].dataType.simpleString()
+        named = pick(targets, name=source, weight=weight, repeats=repeats).withColumn("source", source_key(F.col("name"))).filter("source is not null")
+        # Of repeated names the one with the largest weight holds.
+        named = named.groupBy("source").agg(F.max(F.struct(F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("weight"), F.coalesce(F.col("repeats").cast("long"), F.lit(0)).alias("repeats"), "name")).alias("t"))
+        named = named.select("source", "t.name", F.greatest(F.col("t.weight"), F.lit(0.0)).alias("weight"), F.greatest(F.col("t.repeats"), F.lit(0)).alias("repeats"))
         named = cut(named)
         wanted = rows.join(named.select("source"), "source", "left_semi").select("id", "source", "text")
         self.sizes = cut(wanted.mapInArrow(_counts(vocabulary), f"id {kind}, source string, n long"))

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..columns import pick
 from ..materialize import cut
 from ..ranking import grouped_prefix_sum
 
@@ -23,12 +24,14 @@ def summarise(df: DataFrame, group: list[str], value: str, *, weight: str | None
 
     Null and NaN values do not count; null group values form groups of their own.
     """
-    v = F.col(value).cast("double")
+    df = pick(df, **{g: g for g in group}, _v=value, **({"_n": weight} if weight else {}))
+    v = F.col("_v").cast("double")
+    good = v.isNotNull() & ~F.isnan(v)
     if resolution:
         v = F.round(v / F.lit(resolution)) * F.lit(resolution)
-    n = F.sum(F.col(weight)) if weight else F.count("*")
+    n = F.sum("_n") if weight else F.count("*")
     # Adding 0.0 turns -0.0 into 0.0, which is one value in the order.
-    return df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*group, (v + F.lit(0.0)).alias("value"), *([weight] if weight else [])).groupBy(*group, "value").agg(n.cast("long").alias("n"))
+    return df.filter(good).select(*group, (v + F.lit(0.0)).alias("value"), *(["_n"] if weight else [])).groupBy(*group, "value").agg(n.cast("long").alias("n"))
 
 
 def combine(summaries: DataFrame, group: list[str]) -> DataFrame:

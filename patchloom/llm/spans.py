@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..columns import pick
 from ..materialize import cut
 from .rolling import CHUNK, Hasher, pieces, smallest
 
@@ -172,7 +173,7 @@ class SharedSpans:
         if levels < 1 or not 4 <= min_length >> levels <= CHUNK // 8:
             raise ValueError("the first windows must have at least 4 and at most CHUNK / 8 characters")
         self.min_length = need = min_length
-        self.all = df.select(F.col(id).alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull())
+        self.all = pick(df, id=id, text=text).filter(F.col("id").isNotNull())
         texts = self.all.filter(F.col("text").isNotNull())
         kind = texts.schema["id"].dataType
         place = T.StructType([T.StructField("id", kind), T.StructField("pos", T.LongType()), T.StructField("h", T.LongType())])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..columns import pick
 from ..materialize import cut
 from ..ranking import grouped_prefix_sum
 
@@ -38,20 +39,22 @@ def _real(x: Column) -> Column:
 def components(edges: DataFrame, record: str = "record", entity: str = "entity") -> DataFrame:
     """``entity, component``: the smallest entity each entity is connected to.
 
-    Minimum labels are passed between records and entities until nothing changes; a
-    label's own label is followed in each round, so that chains shorten to half.
-    Records of a single entity link nothing and take no part; records that name the
-    same entities take part once.
+    Minimum labels pass between records and entities until nothing changes; a label's
+    own label is followed in each round, so that chains shorten to half.  Records of a
+    single entity link nothing.  A record of several links its smallest entity to each
+    other one, so that records which name the same entities pass their labels once.
+    Null records and entities link nothing.
     """
-    e = edges.select(F.col(record).alias("r"), F.col(entity).alias("e")).filter("r is not null and e is not null")
-    sets = e.groupBy("r").agg(F.array_sort(F.collect_set("e")).alias("es")).filter(F.size("es") > 1).select("es").distinct()
-    links = cut(sets.select(F.xxhash64(F.concat_ws("\u0001", F.col("es").cast("array<string>"))).alias("r"), F.explode("es").alias("e")))
-    label = cut(links.select("e").distinct().withColumn("l", F.col("e")))
+    e = pick(edges, r=record, e=entity).filter("r is not null and e is not null")
+    first = e.groupBy("r").agg(F.min("e").alias("a"), F.max("e").alias("z")).filter("a < z").select("r", "a")
+    links = e.join(first, "r").filter("e > a").select("a", F.col("e").alias("b")).distinct()
+    links = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    label = cut(links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("e"), F.least("a", "m").alias("l")))
     while True:
-        low = links.join(label, "e").groupBy("r").agg(F.min("l").alias("m"))
-        new = links.join(low, "r").groupBy("e").agg(F.min("m").alias("m"))
-        hop = new.join(label.select(F.col("e").alias("m"), F.col("l").alias("ll")), "m")
-        step = cut(hop.join(label, "e").select("e", F.least("m", "ll").alias("l"), (F.least("m", "ll") < F.col("l")).alias("changed")))
+        low = links.join(label, links["b"] == label["e"]).groupBy("a").agg(F.min("l").alias("m")).withColumnRenamed("a", "e")
+        new = label.join(low, "e").select("e", "l", F.least("l", "m").alias("m"))
+        hop = label.select(F.col("e").alias("m"), F.col("l").alias("ll"))
+        step = cut(new.join(hop, "m").select("e", F.least("m", "ll").alias("l"), (F.least("m", "ll") < F.col("l")).alias("changed")))
         if step.filter("changed").isEmpty():
             break
         label = step.select("e", "l")
@@ -60,10 +63,11 @@ def components(edges: DataFrame, record: str = "record", entity: str = "entity")
 
 
 def related(records: DataFrame, edges: DataFrame, record: str = "record", entity: str = "entity") -> DataFrame:
-    """``record, component``: null for a record that names nobody.  Distinct records."""
-    own = edges.groupBy(record).agg(F.min(entity).alias(entity))
-    named = own.join(components(edges, record, entity), entity)
-    return records.select(record).distinct().join(named.select(record, "component"), record, "left")
+    """``record, component``: null for a record that names nobody.  Distinct records; a null record is none."""
+    all_ = pick(records, r=record).filter("r is not null").distinct()
+    named = pick(edges, r=record, e=entity)
+    own = named.groupBy("r").agg(F.min("e").alias("e")).join(components(named, "r", "e"), "e")
+    return all_.join(own.select("r", "component"), "r", "left").select(F.col("r").alias(record), "component")
 
 
 def grouped_split(records: DataFrame, component: str, label: str, parts: dict[str, float], *, record: str = "record", seed: int = 0) -> DataFrame:
@@ -74,12 +78,13 @@ def grouped_split(records: DataFrame, component: str, label: str, parts: dict[st
     order, and the line is cut at the given shares; a component goes where its middle
     lies.  The shares of every label therefore differ from the wanted ones by half a
     small component at each cut, unless one component alone is larger than a split.
-    A null component stands for a record of its own.
+    A null component stands for a record of its own; rows with neither go together.
     """
     if not parts or any(p < 0 for p in parts.values()) or sum(parts.values()) <= 0:
         raise ValueError("parts must be shares of which one is positive")
-    own = F.coalesce(F.concat(F.lit("c"), F.col(component).cast("string")), F.concat(F.lit("r"), F.col(record).cast("string")))
-    rows = cut(records.select(F.col(record).alias("r"), F.col(component).alias("c"), own.alias("k"), F.col(label).cast("string").alias("label")))
+    own = F.coalesce(F.concat(F.lit("c"), F.col("c").cast("string")), F.concat(F.lit("r"), F.col("r").cast("string")), F.lit(""))
+    rows = pick(records, r=record, c=component, label=label)
+    rows = cut(rows.select("r", "c", own.alias("k"), F.col("label").cast("string").alias("label")))
     votes = rows.groupBy("k", "label").agg(F.count("*").alias("n"))
     # The largest count wins, then the smaller label.
     first = F.min(F.struct((-F.col("n")).alias("n"), F.col("label").isNull().alias("none"), F.col("label").alias("label")))

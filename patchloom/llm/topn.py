@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..columns import pick
 from ..materialize import cut
 from ..ranking import grouped_prefix_sum
 
@@ -31,14 +32,15 @@ def top_n(df: DataFrame, group: str, score: str, id: str, n: int, *, low: float
     """
     if n < 1:
         raise ValueError("n must be at least 1")
-    s = F.col(score).cast("double")
-    good = F.col(group).isNotNull() & F.col(id).isNotNull() & s.isNotNull() & ~F.isnan(s)
+    own = pick(df, g=group, id=id, s=score)
+    s = F.col("s").cast("double")
+    good = F.col("g").isNotNull() & F.col("id").isNotNull() & s.isNotNull() & ~F.isnan(s)
     good = good & (F.abs(s) < F.lit(1e300))
     for limit, over in ((low, s.__ge__), (high, s.__le__)):
         if limit is not None:
             good = good & over(F.lit(float(limit)))
-    items = df.filter(good).select(F.col(group).alias("g"), F.col(id).alias("id"), s.alias("s")).groupBy("g", "id").agg(F.max("s").alias("s"))
-    integral = isinstance(df.schema[id].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
+    items = own.filter(good).select("g", "id", s.alias("s")).groupBy("g", "id").agg(F.max("s").alias("s"))
+    integral = isinstance(own.schema["id"].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
     items = items.withColumn("i", F.col("id").cast("long")) if integral else _numbered(items)
     items = cut(items)
     bounds = items.agg(F.min("s"), F.max("s"), F.min("i"), F.max("i")).first()
