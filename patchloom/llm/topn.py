@@ -20,6 +20,8 @@ from ..materialize import cut
 from ..ranking import grouped_prefix_sum
 
 WAYS = 64
+#: Parts into which every group is split where its items meet its midpoints.
+PARTS = 16
 
 
 def top_n(df: DataFrame, group: str, score: str, id: str, n: int, *, low: float | None = None, high: float | None = None) -> DataFrame:
@@ -63,7 +65,10 @@ def top_n(df: DataFrame, group: str, score: str, id: str, n: int, *, low: float
         counts = counts.withColumn("above", F.sum("k").over(down) - F.col("k")).filter(F.col("above") < F.col("need"))
         counts = counts.withColumn("last", F.row_number().over(Window.partitionBy("g").orderBy("b")) == 1)
         edge = counts.filter("last").select("g", F.col("b").alias("at"), (F.col("need") - F.col("above")).alias("left"), "k", *[F.col(c).alias(f"n_{c}") for c in ("ls", "hs", "li", "hi")])
-        step = rows.drop("ls", "hs", "li", "hi", "need").join(edge, "g").filter(F.col("b") >= F.col("at"))
+        # One row a group meets its items, in as many parts, so that no task gets a whole group.
+        edge = edge.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        parted = rows.drop("ls", "hs", "li", "hi", "need").withColumn("part", F.pmod(F.xxhash64("i"), F.lit(PARTS)).cast("int"))
+        step = parted.join(edge, ["g", "part"]).filter(F.col("b") >= F.col("at")).drop("part")
         step = cut(step.withColumn("in", (F.col("b") > F.col("at")) | (F.col("k") <= F.col("left"))))
         chosen.append(step.filter("in").select("g", "id", "s", "i"))
         rest = step.filter("not in")
