@@ -50,10 +50,12 @@ def grid(slides: DataFrame, patch_size: int = 256, level: Column | int = 0, stri
     if patch_size < 1 or (stride is not None and stride < 1):
         raise ValueError("patch_size and stride must be at least 1")
     ds = downsample_of(level)
-    s = slides.withColumn("_ds", F.when(ds.isNotNull(), ds).otherwise(F.raise_error(F.lit("a slide lacks the level of the grid")).cast("double")))
+    s = slides.withColumn("_ds", ds)
     s = s.withColumn("_p", (F.lit(patch_size) * F.col("_ds")).cast("int")).withColumn("_s", F.greatest(F.lit(1), (F.lit(stride or patch_size) * F.col("_ds")).cast("int")))
-    s = s.filter((F.col("height") >= F.col("_p")) & (F.col("width") >= F.col("_p")))
-    s = s.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - F.col("_p"), F.col("_s"))))
+    s = s.filter(F.col("_ds").isNull() | ((F.col("height") >= F.col("_p")) & (F.col("width") >= F.col("_p"))))
+    # The error is raised where rows are made, so that slides filtered out before raise none.
+    lacks = F.raise_error(F.lit("a slide lacks the level of the grid")).cast("array<int>")
+    s = s.withColumn("y", F.explode(F.when(F.col("_ds").isNull(), lacks).otherwise(F.sequence(F.lit(0), F.col("height") - F.col("_p"), F.col("_s")))))
     s = s.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - F.col("_p"), F.col("_s"))))
     level = F.lit(level) if isinstance(level, int) else level
     return s.select("path", "x", "y", level.alias("level"), F.lit(patch_size).alias("patch_size"), (F.col("mpp") * F.col("_ds")).alias("mpp"), F.col("_p").alias("footprint"), *(keep or []))

@@ -451,13 +451,13 @@ def loader_lifetime(spark, d):
 _BENCH = """WITH b AS (SELECT event_type AS config, user_id % 4 AS rank, value AS ms FROM events),
   r AS (SELECT config, rank, count(*) * 64 AS p, sum(ms) / 1000 AS s, quantile_cont(ms, 0.5) AS p50, quantile_cont(ms, 0.95) AS p95 FROM b GROUP BY 1, 2),
   q AS (SELECT *, p / greatest(s, 1e-9) AS r FROM r), a AS (
-  SELECT config, count(*) AS world_size, round(min(r) * count(*), 4) AS effective, round(sum(r), 4) AS aggregate, round(max(s), 4) AS total_sec, round(max(p50), 4) AS batch_p50_ms, round(max(p95), 4) AS batch_p95_ms FROM q GROUP BY 1)"""
+  SELECT config, count(*) AS world_size, round(min(r) * count(*), 6) AS effective, round(sum(r), 6) AS aggregate, round(max(s), 6) AS total_sec, round(max(p50), 6) AS batch_p50_ms, round(max(p95), 6) AS batch_p95_ms FROM q GROUP BY 1)"""
 
 
 def _bench(spark, d):
     b = table(spark, d, "events").select(F.col("event_type").alias("config"), (F.col("user_id") % 4).alias("rank"), F.col("value").alias("batch_ms"), F.lit(64).alias("patches"))
     s = stats.benchmark_summary(b, ["config"])
-    return s.select("config", "world_size", *[F.round(c, 4).alias(c) for c in ("effective", "aggregate", "total_sec", "batch_p50_ms", "batch_p95_ms")])
+    return s.select("config", "world_size", *[F.round(c, 6).alias(c) for c in ("effective", "aggregate", "total_sec", "batch_p50_ms", "batch_p95_ms")])
 
 
 @query(f"{_BENCH} SELECT * FROM a")

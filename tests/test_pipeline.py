@@ -1,0 +1,99 @@
+import numpy as np
+import pytest
+
+from patchloom.operators import images
+from patchloom.operators.views import View
+from patchloom.plans import presets
+from patchloom.plans.pipeline import Pipeline
+from patchloom.sources import slides as stages
+from patchloom.sources.readers import OpenSlideReader, Synthetic, TiffSlideReader, as_float, rgb
+
+
+def small(slides, full_masks, **kw):
+    return Pipeline(slides, full_masks, seed=1, **kw).grid(256, shuffle=True).schedule(pool=2, per_slide=3).read(Synthetic)
+
+
+def test_patches_and_stats(slides, full_masks):
+    p = small(slides, full_masks)
+    rows = p.patches().collect()
+    assert len(rows) == 6 and all(len(r.image["data"]) == 256 * 256 * 3 for r in rows)
+    stats = {r.key: r.value for r in p.stats().collect()}
+    assert stats["patches"] == 6 and stats["mpp_0.25"] == 3 and stats["mpp_unknown"] == 3
+    assert p.errors().isEmpty()
+
+
+def test_failed_opens_become_errors(slides, full_masks):
+    p = small(slides, full_masks).read(lambda: Synthetic(fail="slide_1"))
+    assert {r.path for r in p.patches().select("path").collect()} == {"memory://slide_0.svs"}
+    e = p.errors().collect()
+    assert len(e) == 3 and all("cannot open" in r.error for r in e)
+
+
+def test_filter_and_transform_in_one_pass(slides, full_masks):
+    p = small(slides, full_masks).transform(images.Resize(32), images.Normalize((0.5,) * 3, (0.5,) * 3))
+    r = p.patches().first()
+    assert (r.image["height"], r.image["dtype"]) == (32, "float32")
+    plan = p.patches()._jdf.queryExecution().toString()
+    assert plan.count("MapInArrow") >= 1
+    assert small(slides, full_masks).filter(images.HsvFilter()).patches().isEmpty()  # gray is no tissue
+
+
+def test_order_covers_all_and_starts_with_the_pool(slides, full_masks):
+    rows = small(slides, full_masks).stream_order().orderBy("seq").collect()
+    assert [r.seq for r in rows] == list(range(6)) and len({r.path for r in rows[:2]}) == 2
+
+
+def test_epochs_differ_in_order_only(slides, full_masks):
+    p = Pipeline(slides.filter("path like '%slide_0%'"), full_masks, seed=1, epochs=2).grid(1024, shuffle=True)
+    rows = p.coordinates().collect()
+    by = {e: [(r.x, r.y) for r in sorted((r for r in rows if r.epoch == e), key=lambda r: r.draw)] for e in (0, 1)}
+    assert sorted(by[0]) == sorted(by[1]) and by[0] != by[1] and len(by[0]) == 16
+
+
+def test_batches(slides, full_masks):
+    b = list(small(slides, full_masks).batches(4))
+    assert [x["image"].shape for x in b] == [(4, 3, 256, 256), (2, 3, 256, 256)]
+    assert -1.0 in b[0]["mpp"] + b[1]["mpp"]
+    v = small(slides, full_masks).views(View("global", crop=images.RandomCrop(32), count=2))
+    x = next(v.batches(2))
+    assert x["global_0"].shape == (2, 3, 32, 32) and "image" not in x
+    with pytest.raises(ValueError):
+        v.transform(images.Resize(3))
+
+
+def test_properties_thumbnails_and_masks(spark):
+    paths = spark.createDataFrame([("memory://a",), ("memory://bad",)], "path string")
+    props = stages.properties(paths, lambda: Synthetic(fail="bad"))
+    got = {r.path: r for r in props.collect()}
+    assert got["memory://a"].width == 4096 and len(got["memory://a"].levels) == 3 and got["memory://bad"].error
+    good = props.filter("error is null").drop("error")
+    p = Pipeline(good, seed=1).tissue(images.OtsuTissue(), Synthetic, size=128).grid(512).read(Synthetic)
+    assert 10 <= p.coordinates().count() <= 36
+    assert p._masks.first().mask_w == 128 and p._masks.first().downsample == 32.0
+
+
+def test_readers():
+    r = Synthetic()
+    with pytest.raises(RuntimeError):
+        r.read(0, 0, 0, 1, 1)
+    assert as_float("0.5") == 0.5 and as_float("x") is None and as_float(None) is None
+    assert rgb(np.zeros((2, 2, 4))).shape == (2, 2, 3)
+    for kind in (OpenSlideReader, TiffSlideReader):
+        try:
+            __import__(kind.module)
+        except ImportError:
+            with pytest.raises(ImportError, match=kind.module):
+                kind().open("x.svs")
+
+
+def test_presets():
+    for name in presets.PRESETS:
+        assert presets.detector(name).detect(np.full((64, 64, 3), 240, np.uint8), (1.0, 1.0)).shape == (64, 64)
+    assert sum(v.count for v in presets.views("uni")) == 10
+
+
+def test_checks(slides, full_masks):
+    with pytest.raises(ValueError):
+        Pipeline(slides).coordinates()
+    with pytest.raises(ValueError):
+        Pipeline(slides, full_masks).schedule(pool=0)
