@@ -43,8 +43,9 @@ def test_cut_keeps_rows_outside_the_lineage(spark):
 def test_pick_by_place(spark):
     df = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int").toDF("id", "ID", "id")
     assert pick(df, x="id").first().x == 1 and pick(df, y="ID").first().y == 2
+    assert pick(spark.range(1), x="ID").first().x == 0
     with pytest.raises(ValueError):
-        pick(df, x="Id")
+        pick(df, x="none")
 
 
 def test_pixels_match_numpy(spark):
