@@ -11,9 +11,15 @@ from pyspark.sql import functions as F
 
 
 def distinct_slides(slides: DataFrame) -> DataFrame:
-    """Repeated rows once.  Rows without a path, size or level describe no slide."""
+    """Repeated rows once.  Rows without a path, size or level describe no slide.
+
+    Partitioned by path into a fixed number of parts: a few slides become very many
+    coordinates, so the parts must not be merged for being small, and joins on the path
+    need no further shuffle.
+    """
     good = F.col("path").isNotNull() & (F.col("width") > 0) & (F.col("height") > 0) & (F.size("levels") > 0)
-    return slides.filter(good).select("path", "width", "height", "mpp", "vendor", "levels").distinct()
+    n = max(int(slides.sparkSession.conf.get("spark.sql.shuffle.partitions")), slides.sparkSession.sparkContext.defaultParallelism)
+    return slides.filter(good).select("path", "width", "height", "mpp", "vendor", "levels").repartition(n, "path").distinct()
 
 
 def downsample_of(level: Column | int) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import CELLS, HSV, LEVELS, PIXELS, SLIDES, mask_cells, masks, pixels, slides, table
+from .catalog import CELLS, HSV, LEVELS, PIXELS, SLIDES, mask_cells, masks, pixels, plane, slides, table
 from .functions import pixels as px
 from .functions.rng import bits, bits_sql, uniform, uniform_sql
 from .materialize import cut
@@ -603,9 +603,10 @@ def view_center(spark, d):
 
 @query(f"WITH {PIXELS}, v AS (SELECT img_id, i, 0 AS c, red AS x FROM px UNION ALL SELECT img_id, i, 1, green FROM px UNION ALL SELECT img_id, i, 2, blue FROM px) SELECT img_id, string_agg(x::VARCHAR, ',' ORDER BY c, i) AS image FROM v GROUP BY img_id")
 def chw_collate(spark, d):
-    hwc = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "red", "green", "blue"))), lambda p: F.array(p["red"], p["green"], p["blue"])))
-    g = pixels(spark, d).groupBy("img_id").agg(hwc.alias("hwc"))
-    return g.select("img_id", F.concat_ws(",", px.chw(F.col("hwc"), 8, 8).cast("array<string>")).alias("image"))
+    """Inside each row: images are never taken apart and put together again."""
+    pixel = lambda p: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.array(*[F.get(p, (i + k) % 64) for k in (0, 21, 42)]))
+    hwc = px.once(plane(), lambda p: F.flatten(pixel(p)))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("img_id"), F.concat_ws(",", px.chw(hwc, 8, 8).cast("array<string>")).alias("image"))
 
 
 @query()
