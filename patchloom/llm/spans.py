@@ -8,8 +8,10 @@ misses no span of the wanted length: of the windows of length ``l`` inside any
 stretch of ``min_length`` characters the one with the smallest hash is taken.
 At the last level every window of ``min_length`` counts.  It belongs to the
 half-length window chosen inside it, so the windows of one such anchor form a
-short run of neighbours, and records whose runs read alike form a class; only
-one record of each class lists its windows one by one.
+short run of neighbours, and records whose runs read alike form a class.  Classes of
+one anchor are compared in blocks of windows, again by class, and only one record of
+each class of blocks that differ lists its windows one by one: an edit in a copy costs
+a few rows and not all windows around it.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..columns import pick
-from ..materialize import cut
+from ..materialize import cut, drop
 from .rolling import CHUNK, Hasher, pieces, smallest
 
 #: Records with survivors are found again through a table of at most so many hash buckets, which is broadcast.
@@ -112,7 +114,7 @@ def _runs(need: int, width: int):
                 new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1])]))
                 last = np.concatenate([new[1:], [len(start)]]) - 1
                 p, lo, hi, pos = piece[new], start[new], start[last], anchor[new]
-                digest = [xxhash.xxh3_128_digest(held[k][a - place[k] : b - place[k] + need].encode("utf-8", "surrogatepass")) for k, a, b in zip(p, lo, hi, strict=True)]
+                digest = [_digest(held[k][a - place[k] : b - place[k] + need]) for k, a, b in zip(p, lo, hi, strict=True)]
                 shift = at[p] - place[p]
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(owner[p])), pa.array(pos + shift), pa.array(hashes[pos].view(np.int64)), pa.array(pos - lo), pa.array(pos - hi), pa.array(digest, pa.binary())],
@@ -122,28 +124,59 @@ def _runs(need: int, width: int):
     return run
 
 
-def _leaves(need: int):
-    """Every window of ``need`` in the listed runs, by its digest."""
+def _blocks(need: int, size: int):
+    """The windows of the listed runs in blocks of ``size`` distances from the anchor.
+
+    ``whole`` is the digest of all text the block's windows cover; ``core`` that of the text
+    which every window at these distances covers, wherever the run ends.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = []
             for text, runs in zip(batch.column(0), batch.column(1), strict=True):
                 text = text.as_py()
-                names, starts, digests = [], [], []
                 for r in runs.as_py():
-                    for q in range(r["pos"] - r["left"], r["pos"] - r["right"] + 1):
-                        names.append(r["run"])
-                        starts.append(q)
-                        digests.append(xxhash.xxh3_128_digest(text[q : q + need].encode("utf-8", "surrogatepass")))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(starts, pa.int64()), pa.array(digests, pa.binary())], ["run", "start", "digest"])
+                    p = r["pos"]
+                    for k in range(r["right"] // size, r["left"] // size + 1):
+                        near, far = max(r["right"], k * size), min(r["left"], k * size + size - 1)
+                        core = text[p - k * size : p - k * size - size + 1 + need]
+                        rows.append((r["run"], k, near, far, _digest(core), _digest(text[p - far : p - near + need])))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["run", "k", "near", "far", "core", "whole"])
 
     return run
 
 
+def _leaves(need: int):
+    """Every window of the listed blocks, by its distance before the anchor, with its digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, distances, digests = [], [], []
+            for text, blocks in zip(batch.column(0), batch.column(1), strict=True):
+                text = text.as_py()
+                for b in blocks.as_py():
+                    for d in range(b["near"], b["far"] + 1):
+                        names.append(b["block"])
+                        distances.append(d)
+                        digests.append(_digest(text[b["pos"] - d : b["pos"] - d + need]))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(distances, pa.int64()), pa.array(digests, pa.binary())], ["block", "distance", "digest"])
+
+    return run
+
+
+def _digest(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+
+
 def _repeated(rows: DataFrame) -> DataFrame:
-    """The rows whose hash occurs in two records, as one array of places for each record."""
+    """The rows whose hash occurs in two records, as one array of places for each record; the rows' table is dropped."""
     twice = rows.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("h")
-    return cut(rows.join(twice, "h", "left_semi").groupBy("id").agg(F.collect_set("pos").alias("at")))
+    found = cut(rows.join(twice, "h", "left_semi").groupBy("id").agg(F.collect_set("pos").alias("at")))
+    drop(rows)
+    return found
 
 
 def _again(texts: DataFrame, found: DataFrame) -> DataFrame:
@@ -161,9 +194,10 @@ def _again(texts: DataFrame, found: DataFrame) -> DataFrame:
 class SharedSpans:
     """The stretches of ``text`` of at least ``min_length`` code points that stand in two records.
 
-    ``classes``: a row for each run of windows and class of records that read it alike
-    (``run, n, rep, pos, left, right``).  ``members``: the records of each class.
-    ``windows``: the single windows of each class whose neighbourhood differs from others'.
+    ``runs``: a row for each run of windows and class of records that read it alike;
+    ``members``: the records of each class, with the run's place; ``blocks``: the parts of
+    runs whose neighbourhood differs from others', by class; ``windows``: the single
+    windows of those blocks that still differ.
     Records are told apart by ``id``: rows with equal ids are one record, a stretch
     repeated inside one record alone is not shared, and rows whose id is null name
     no record and are left out.  Null and short texts share nothing.
@@ -175,42 +209,48 @@ class SharedSpans:
         self.min_length = need = min_length
         self.all = pick(df, id=id, text=text).filter(F.col("id").isNotNull())
         texts = self.all.filter(F.col("text").isNotNull())
-        kind = texts.schema["id"].dataType
-        place = T.StructType([T.StructField("id", kind), T.StructField("pos", T.LongType()), T.StructField("h", T.LongType())])
+        place = T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("pos", T.LongType()), T.StructField("h", T.LongType())])
         widths = [(need >> levels) << k for k in range(levels)]
         found = _repeated(cut(texts.mapInArrow(_first_level(need, widths[0]), place)))
         for width in widths[1:]:
             found = _repeated(cut(_again(texts, found).select("id", "text", "at").mapInArrow(_next_level(need, width), place)))
+
         run = T.StructType([*place.fields, T.StructField("left", T.LongType()), T.StructField("right", T.LongType()), T.StructField("digest", T.BinaryType())])
-        runs = cut(_again(texts, found).select("id", "text", "at").mapInArrow(_runs(need, widths[-1]), run))
+        rows = cut(_again(texts, found).select("id", "text", "at").mapInArrow(_runs(need, widths[-1]), run))
         same = ["h", "left", "right", "digest"]
-        classes = runs.groupBy(*same).agg(F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("last"))
-        classes = classes.select(F.xxhash64(*same).alias("run"), *same, F.col("first.id").alias("rep"), F.col("first.pos").alias("pos"), (F.col("first.id") < F.col("last")).alias("shared"))
-        self.classes = cut(classes)
-        self.members = runs.select(F.xxhash64(*same).alias("run"), "id", "pos", "left", "right")
-        split = self.classes.groupBy("h").agg(F.min("run").alias("a"), F.max("run").alias("b")).filter("a < b").select("h")
-        listed = self.classes.join(split, "h", "left_semi").groupBy(F.col("rep").alias("id")).agg(F.collect_list(F.struct("run", "pos", "left", "right")).alias("runs"))
-        leaf = "run long, start long, digest binary"
-        leaves = cut(_again(texts, listed).select("text", "runs").mapInArrow(_leaves(need), leaf))
-        many = leaves.groupBy("digest").agg(F.min("run").alias("a"), F.max("run").alias("b")).filter("a < b").select("digest")
-        self.windows = cut(leaves.join(many, "digest", "left_semi"))
+        runs = rows.groupBy(*same).agg(F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("last"))
+        self.runs = cut(runs.select(F.xxhash64(*same).alias("run"), "h", "left", "right", F.col("first.id").alias("rep"), F.col("first.pos").alias("pos"), (F.col("first.id") < F.col("last")).alias("shared")))
+        self.members = rows.select(F.xxhash64(*same).alias("run"), "id", "pos", "left", "right")
+
+        # Runs of one anchor that differ are compared in blocks; blocks whose core is nobody else's hold no shared window.
+        differ = _two(self.runs, "h", "run")
+        listed = self.runs.join(differ, "h", "left_semi").groupBy(F.col("rep").alias("id")).agg(F.collect_list(F.struct("run", "pos", "left", "right")).alias("runs"))
+        size = max(1, min(16, need // 8))
+        parts = cut(_again(texts, listed).select("text", "runs").mapInArrow(_blocks(need, size), "run long, k long, near long, far long, core binary, whole binary"))
+        parts = parts.join(self.runs.select("run", "h", "rep", "pos", "shared"), "run").withColumn("core", F.xxhash64("h", "k", "core")).withColumn("block", F.xxhash64("h", "near", "far", "whole"))
+        parts = cut(parts.join(_two(parts, "core", "run"), "core", "left_semi"))
+        blocks = parts.groupBy("block").agg(F.min(F.struct("rep", "pos", "near", "far", "core")).alias("f"), (F.max("shared") | (F.min("rep") < F.max("rep"))).alias("held"))
+        self.blocks = cut(blocks.select("block", "f.*", "held"))
+        self.of_run = parts.select("run", "block", "near", "far")
+
+        listed = self.blocks.join(_two(self.blocks, "core", "block"), "core", "left_semi").groupBy(F.col("rep").alias("id")).agg(F.collect_list(F.struct("block", "pos", "near", "far")).alias("blocks"))
+        leaves = cut(_again(texts, listed).select("text", "blocks").mapInArrow(_leaves(need), "block long, distance long, digest binary"))
+        self.windows = cut(leaves.join(_two(leaves, "digest", "block"), "digest", "left_semi"))
 
     def pairs(self) -> DataFrame:
         """Distinct ``(doc_a, doc_b)``, smaller first, of records that share a stretch: the output is all such pairs.
 
         Groups of the same records are expanded once, however many windows they share.
         """
-        one = self.members.join(self.classes.filter("shared").select("run"), "run", "left_semi").select(F.col("run").alias("key"), "id")
-        # Different classes that hold one window: which sets of classes there are, each once.
-        inside = self.windows.select("digest", "run").distinct()
-        sets = inside.groupBy("digest").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("run")).alias("s"), F.bit_xor(F.xxhash64("run", F.lit(1))).alias("x"))
-        kept = sets.groupBy("n", "s", "x").agg(F.min("digest").alias("digest"))
-        cross = inside.join(kept, "digest", "left_semi").join(self.members.select("run", "id"), "run").select(F.xxhash64("digest").alias("key"), "id")
-        groups = cut(one.unionByName(cross).distinct())
-        sets = groups.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("s"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x"))
-        kept = sets.filter("n > 1").groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key")
-        groups = groups.join(kept, "key", "left_semi")
-        a, b = groups.withColumnRenamed("id", "doc_a"), groups.withColumnRenamed("id", "doc_b")
+        who = self.members.select("run", "id")
+        groups = [who.join(self.runs.filter("shared").select("run"), "run", "left_semi").select(F.col("run").alias("key"), "id")]
+        alike = self.of_run.select(F.col("block").alias("key"), "run").distinct()
+        groups.append(_once(alike, "run").join(who, "run").select("key", "id"))
+        windows = _once(self.windows.select(F.xxhash64("digest").alias("key"), "block").distinct(), "block")
+        groups.append(windows.join(self.of_run.select("block", "run"), "block").join(who, "run").select("key", "id"))
+        both = groups[0].unionByName(groups[1]).unionByName(groups[2])
+        both = _once(cut(both.distinct()), "id")
+        a, b = both.withColumnRenamed("id", "doc_a"), both.withColumnRenamed("id", "doc_b")
         return a.join(b, "key").filter("doc_a < doc_b").select("doc_a", "doc_b").distinct()
 
     def report(self) -> DataFrame:
@@ -220,19 +260,34 @@ class SharedSpans:
         ``min_length`` found in another record.  An empty or null text has share 0.
         """
         need = self.min_length
-        whole = self.members.join(self.classes.filter("shared").select("run"), "run", "left_semi").select("id", (F.col("pos") - F.col("left")).alias("s"), (F.col("pos") - F.col("right") + need).alias("e"))
-        # A window is shared if another record, or a class of several, holds it.
-        held = self.windows.join(self.classes.select("run", "rep", "shared"), "run")
-        good = held.groupBy("digest").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.max("shared").alias("m")).filter("m or a < b").select("digest")
-        single = held.filter("not shared").join(good, "digest", "left_semi").select(F.col("rep").alias("id"), F.col("start").alias("s"), (F.col("start") + need).alias("e"))
-        spans = whole.unionByName(single).distinct()
-        w = Window.partitionBy("id").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
-        spans = spans.withColumn("reach", F.max("e").over(w)).withColumn("new", (F.col("reach").isNull() | (F.col("s") > F.col("reach"))).cast("int"))
-        spans = spans.withColumn("k", F.sum("new").over(Window.partitionBy("id").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, 0)))
+        places = self.members.join(self.runs.select("run", "shared"), "run")
+        span = lambda far, near: (F.col("id"), (F.col("pos") - F.col(far)).alias("s"), (F.col("pos") - F.col(near) + need).alias("e"))
+        spans = places.filter("shared").select(*span("left", "right"))
+        # What is left are runs of one record each: their shared blocks, then their shared windows.
+        own = places.filter("not shared").select("run", "id", "pos").join(self.of_run, "run").join(self.blocks.select("block", "held"), "block")
+        spans = spans.unionByName(own.filter("held").select(*span("far", "near")))
+        of_block = self.windows.join(self.blocks.select("block", "rep", "held"), "block")
+        good = of_block.groupBy("digest").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.max("held").alias("m")).filter("m or a < b").select("digest")
+        single = of_block.filter("not held").join(good, "digest", "left_semi").select("block", "distance")
+        spans = spans.unionByName(own.filter("not held").select("block", "id", "pos").join(single, "block").select(*span("distance", "distance"))).distinct()
+        order = Window.partitionBy("id").orderBy("s", "e")
+        spans = spans.withColumn("reach", F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("new", (F.col("reach").isNull() | (F.col("s") > F.col("reach"))).cast("int"))
+        spans = spans.withColumn("k", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         spans = spans.groupBy("id", "k").agg((F.max("e") - F.min("s")).alias("n"))
         spans = spans.groupBy("id").agg(F.sum("n").alias("shared_chars"), F.count("*").alias("n_spans"), F.max("n").alias("longest_span"))
         size = self.all.groupBy("id").agg(F.max(F.length("text")).cast("long").alias("n_chars"))
         zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-        return size.join(spans, "id", "left").select(
-            "id", "n_chars", zero("shared_chars"), F.when(F.col("n_chars") > 0, F.coalesce(F.col("shared_chars"), F.lit(0)) / F.col("n_chars")).otherwise(F.lit(0.0)).alias("shared_share"), zero("n_spans"), zero("longest_span")
-        )
+        share = F.when(F.col("n_chars") > 0, F.coalesce(F.col("shared_chars"), F.lit(0)) / F.col("n_chars")).otherwise(F.lit(0.0))
+        return size.join(spans, "id", "left").select("id", "n_chars", zero("shared_chars"), share.alias("shared_share"), zero("n_spans"), zero("longest_span"))
+
+
+def _two(rows: DataFrame, key: str, of: str) -> DataFrame:
+    """The keys under which there are two different values of ``of``."""
+    return rows.groupBy(key).agg(F.min(of).alias("_a"), F.max(of).alias("_b")).filter("_a < _b").select(key)
+
+
+def _once(groups: DataFrame, of: str) -> DataFrame:
+    """Of the groups (``key`` and distinct ``of``) with the same members one each; groups of one member none."""
+    sets = groups.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(of)).alias("x"), F.bit_xor(F.xxhash64(of, F.lit(1))).alias("y"))
+    kept = sets.filter("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    return groups.join(kept, "key", "left_semi")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..columns import pick
-from ..materialize import cut
+from ..materialize import cut, drop
 from ..ranking import grouped_prefix_sum
 
 # Words in the shape of a shortened patient id that name nobody.
@@ -57,6 +57,7 @@ def components(edges: DataFrame, record: str = "record", entity: str = "entity")
         step = cut(new.join(hop, "m").select("e", F.least("m", "ll").alias("l"), (F.least("m", "ll") < F.col("l")).alias("changed")))
         if step.filter("changed").isEmpty():
             break
+        drop(label)
         label = step.select("e", "l")
     rest = e.select("e").distinct().join(label, "e", "left")
     return rest.select(F.col("e").alias(entity), F.coalesce("l", "e").alias("component"))

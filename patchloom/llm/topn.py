@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..columns import pick
-from ..materialize import cut
+from ..materialize import cut, drop
 from ..ranking import grouped_prefix_sum
 
 WAYS = 64
@@ -70,6 +70,8 @@ def top_n(df: DataFrame, group: str, score: str, id: str, n: int, *, low: float
         parted = rows.drop("ls", "hs", "li", "hi", "need").withColumn("part", F.pmod(F.xxhash64("i"), F.lit(PARTS)).cast("int"))
         step = parted.join(edge, ["g", "part"]).filter(F.col("b") >= F.col("at")).drop("part")
         step = cut(step.withColumn("in", (F.col("b") > F.col("at")) | (F.col("k") <= F.col("left"))))
+        if not chosen:
+            drop(items)
         chosen.append(step.filter("in").select("g", "id", "s", "i"))
         rest = step.filter("not in")
         if rest.isEmpty():

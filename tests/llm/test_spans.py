@@ -47,6 +47,10 @@ def case(seed, need):
         rows.append((d, (plate if d % 3 == 0 else "") + "".join(parts)))
     copy = rows[7][1]
     rows += [(100 + i, copy) for i in range(8)] + [(110, copy[: len(copy) // 2] + "X" + copy[len(copy) // 2 :])]
+    own = [word(3 * need) for _ in range(4)]
+    for i, b in enumerate(own):
+        # A stretch twice in one record, of which another record holds a part.
+        rows += [(300 + 2 * i, word(9) + b + word(7) + b + word(5)), (301 + 2 * i, word(i * 3) + b[i * 5 : i * 5 + need + 7 * i] + word(4))]
     rows += [(200, None), (201, ""), (202, "short"), (None, copy), (203, "z" * (3 * need)), (204, "z" * need), (205, word(2 * need) * 2)]
     return rows
 
