@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
+def reachable(spark: SparkSession) -> SparkSession:
+    """Let Python workers find this package, wherever the driver was started; executors need it at the same path."""
+    root = str(Path(__file__).resolve().parents[1])
+    env = spark.sparkContext.environment
+    have = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in have:
+        env["PYTHONPATH"] = os.pathsep.join([root, *have])
+    return spark
+
+
 def session(cpus: int | str = 8, memory: str = "8g", partitions: int | None = None, **conf: str) -> SparkSession:
     """A ``local[cpus]`` session; on a cluster make the session yourself."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("patchloom")
@@ -19,4 +32,4 @@ def session(cpus: int | str = 8, memory: str = "8g", partitions: int | None = No
     } | conf
     for k, v in settings.items():
         builder = builder.config(k, v)
-    return builder.getOrCreate()
+    return reachable(builder.getOrCreate())
