@@ -27,8 +27,8 @@ PARTS = 16
 def top_n(df: DataFrame, group: str, score: str, id: str, n: int, *, low: float | None = None, high: float | None = None) -> DataFrame:
     """``group, id, score, rank`` of the ``n`` best items of each group, or of all if there are fewer.
 
-    Rows with a null group or identifier name no item; a null or NaN score, or one
-    outside ``[low, high]``, does not count.  An item delivered twice in a group counts
+    Rows with a null group or identifier name no item; a null, NaN or infinite score (or
+    one beyond 1e300), or one outside ``[low, high]``, does not count.  An item delivered twice in a group counts
     once, with its highest score.  Ties go to the smaller identifier, so the result
     is the same for any partitioning.
     """
@@ -41,13 +41,21 @@ def top_n(df: DataFrame, group: str, score: str, id: str, n: int, *, low: float
     for limit, over in ((low, s.__ge__), (high, s.__le__)):
         if limit is not None:
             good = good & over(F.lit(float(limit)))
-    items = own.filter(good).select("g", "id", s.alias("s")).groupBy("g", "id").agg(F.max("s").alias("s"))
+    rows = own.filter(good).select("g", "id", s.alias("s"))
+    # Names of groups may be long; their hashes go through the shuffles, unless two names share one.
+    names = cut(rows.select("g", F.xxhash64("g").alias("key")).distinct())
+    if not names.groupBy("key").count().filter("count > 1").isEmpty():
+        names = names.withColumn("key", F.col("g"))
+        rows = rows.withColumn("key", F.col("g"))
+    else:
+        rows = rows.withColumn("key", F.xxhash64("g"))
+    items = rows.select(F.col("key").alias("g"), "id", "s").groupBy("g", "id").agg(F.max("s").alias("s"))
     integral = isinstance(own.schema["id"].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
     items = items.withColumn("i", F.col("id").cast("long")) if integral else _numbered(items)
     items = cut(items)
     bounds = items.agg(F.min("s"), F.max("s"), F.min("i"), F.max("i")).first()
     if bounds[0] is None:
-        return _named(items.limit(0), group, score, id)
+        return _named(items.limit(0), names, group, score, id)
     # The first pass has the same midpoints for every group, so the items need not be joined to anything.
     open_rows = items.select("*", *[F.lit(v).alias(k) for k, v in zip(("ls", "hs", "li", "hi"), bounds, strict=True)], F.lit(n).cast("long").alias("need"))
     chosen = []
@@ -80,7 +88,7 @@ def top_n(df: DataFrame, group: str, score: str, id: str, n: int, *, low: float
     result = chosen[0]
     for more in chosen[1:]:
         result = result.unionByName(more)
-    return _named(result, group, score, id)
+    return _named(result, names, group, score, id)
 
 
 def _numbered(items: DataFrame) -> DataFrame:
@@ -89,6 +97,7 @@ def _numbered(items: DataFrame) -> DataFrame:
     return items.join(grouped_prefix_sum(ids, [], ["id"], "one", before="i").drop("one"), "id")
 
 
-def _named(rows: DataFrame, group: str, score: str, id: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("s"), "i"))  # at most n rows a group
-    return rows.withColumn("rank", rank).select(F.col("g").alias(group), F.col("id").alias(id), F.col("s").alias(score), "rank")
+def _named(rows: DataFrame, names: DataFrame, group: str, score: str, id: str) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("s"), "i"))  # at most n rows a group
+    ranked = rows.withColumnRenamed("g", "key").withColumn("rank", rank)
+    return ranked.join(names, "key").select(F.col("g").alias(group), F.col("id").alias(id), F.col("s").alias(score), "rank")
