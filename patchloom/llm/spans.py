@@ -204,8 +204,8 @@ class SharedSpans:
     """
 
     def __init__(self, df: DataFrame, id: str = "doc_id", text: str = "text", min_length: int = 400, levels: int = 2):
-        if levels < 1 or not 4 <= min_length >> levels <= CHUNK // 8:
-            raise ValueError("the first windows must have at least 4 and at most CHUNK / 8 characters")
+        if levels < 1 or min_length >> levels < 4 or min_length > CHUNK // 2:
+            raise ValueError("the first windows must have at least 4 characters, and min_length at most half a chunk")
         self.min_length = need = min_length
         self.all = pick(df, id=id, text=text).filter(F.col("id").isNotNull())
         texts = self.all.filter(F.col("text").isNotNull())
