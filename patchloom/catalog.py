@@ -26,7 +26,10 @@ def slides(spark: SparkSession, folder: str) -> DataFrame:
 
 def mask_cells(s: DataFrame) -> DataFrame:
     n = F.sequence(F.lit(0), F.lit(MASK - 1))
-    c = s.select("path", mask_downsample(F.col("width"), F.col("height"), MASK, MASK).alias("downsample"), (bits("path") % 20 + 30).alias("_r"), F.explode(n).alias("my"))
+    c = s.select(
+        "path", mask_downsample(F.col("width"), F.col("height"), MASK, MASK).alias("downsample"), (bits("path") % 20 + 30).alias("_r"),
+        F.explode(n).alias("my"),
+    )
     c = c.select("*", F.explode(n).alias("mx"))
     return c.select("path", "downsample", "my", "mx", (((F.col("mx") - 7.5) ** 2 + (F.col("my") - 7.5) ** 2) < F.col("_r")).alias("tissue"))
 
@@ -34,8 +37,13 @@ def mask_cells(s: DataFrame) -> DataFrame:
 def masks(s: DataFrame) -> DataFrame:
     """One row for each slide, made inside the row: no shuffle."""
     cell = lambda i: ((i % MASK - 7.5) * (i % MASK - 7.5) + (F.floor(i / MASK) - 7.5) * (F.floor(i / MASK) - 7.5) < F.col("_r")).cast("int")
-    c = s.select("path", mask_downsample(F.col("width"), F.col("height"), MASK, MASK).alias("downsample"), (bits("path") % 20 + 30).alias("_r"))
-    return c.select("path", F.lit(MASK).alias("mask_w"), F.lit(MASK).alias("mask_h"), "downsample", F.transform(F.sequence(F.lit(0), F.lit(MASK * MASK - 1)), cell).alias("cells"))
+    c = s.select(
+        "path", mask_downsample(F.col("width"), F.col("height"), MASK, MASK).alias("downsample"), (bits("path") % 20 + 30).alias("_r"),
+    )
+    return c.select(
+        "path", F.lit(MASK).alias("mask_w"), F.lit(MASK).alias("mask_h"), "downsample",
+        F.transform(F.sequence(F.lit(0), F.lit(MASK * MASK - 1)), cell).alias("cells"),
+    )
 
 
 def plane() -> Column:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 def key(*parts: Column | str | int) -> Column:
     """The parts as text, joined by ``|``; strings name columns, integers are literals."""
-    return F.concat_ws("|", *[F.lit(str(p)) if isinstance(p, int) else (F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
+    return F.concat_ws(
+        "|", *[F.lit(str(p)) if isinstance(p, int) else (F.col(p) if isinstance(p, str) else p).cast("string") for p in parts],
+    )
 
 
 def bits(*parts: Column | str | int) -> Column:

@@ -47,7 +47,9 @@ def coarsest_level(target: Column | float) -> Column:
     return F.coalesce(F.array_max(F.transform(fit, lambda x: x["level"])), F.lit(0))
 
 
-def grid(slides: DataFrame, patch_size: int = 256, level: Column | int = 0, stride: int | None = None, keep: list[str] | None = None) -> DataFrame:
+def grid(
+    slides: DataFrame, patch_size: int = 256, level: Column | int = 0, stride: int | None = None, keep: list[str] | None = None,
+) -> DataFrame:
     """A row for each cell of a regular grid: ``path, x, y, level, patch_size, mpp``.
 
     Slides smaller than a patch have none.  A slide without that level is an error,
@@ -57,14 +59,21 @@ def grid(slides: DataFrame, patch_size: int = 256, level: Column | int = 0, stri
         raise ValueError("patch_size and stride must be at least 1")
     ds = downsample_of(level)
     s = slides.withColumn("_ds", ds)
-    s = s.withColumn("_p", (F.lit(patch_size) * F.col("_ds")).cast("int")).withColumn("_s", F.greatest(F.lit(1), (F.lit(stride or patch_size) * F.col("_ds")).cast("int")))
+    s = s.withColumn("_p", (F.lit(patch_size) * F.col("_ds")).cast("int")).withColumn(
+        "_s", F.greatest(F.lit(1), (F.lit(stride or patch_size) * F.col("_ds")).cast("int")),
+    )
     s = s.filter(F.col("_ds").isNull() | ((F.col("height") >= F.col("_p")) & (F.col("width") >= F.col("_p"))))
     # The error is raised where rows are made, so that slides filtered out before raise none.
     lacks = F.raise_error(F.lit("a slide lacks the level of the grid")).cast("array<int>")
-    s = s.withColumn("y", F.explode(F.when(F.col("_ds").isNull(), lacks).otherwise(F.sequence(F.lit(0), F.col("height") - F.col("_p"), F.col("_s")))))
+    s = s.withColumn(
+        "y", F.explode(F.when(F.col("_ds").isNull(), lacks).otherwise(F.sequence(F.lit(0), F.col("height") - F.col("_p"), F.col("_s")))),
+    )
     s = s.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - F.col("_p"), F.col("_s"))))
     level = F.lit(level) if isinstance(level, int) else level
-    return s.select("path", "x", "y", level.alias("level"), F.lit(patch_size).alias("patch_size"), (F.col("mpp") * F.col("_ds")).alias("mpp"), F.col("_p").alias("footprint"), *(keep or []))
+    return s.select(
+        "path", "x", "y", level.alias("level"), F.lit(patch_size).alias("patch_size"), (F.col("mpp") * F.col("_ds")).alias("mpp"),
+        F.col("_p").alias("footprint"), *(keep or []),
+    )
 
 
 def rank_partition(slides: DataFrame, order: str, rank: int, world: int) -> DataFrame:
@@ -90,7 +99,9 @@ def shards(slides: DataFrame, order: str, world: int, workers: int = 1) -> DataF
     return placed.drop("_i")
 
 
-def view_centre(x: Column, y: Column, downsample: Column, patch_size: Column | int, view_downsample: Column, view_size: int | None = None) -> tuple[Column, Column]:
+def view_centre(
+    x: Column, y: Column, downsample: Column, patch_size: Column | int, view_downsample: Column, view_size: int | None = None,
+) -> tuple[Column, Column]:
     """Where to read a view of another level so that it keeps the patch's centre; may be negative."""
     p = F.lit(patch_size) if isinstance(patch_size, int) else patch_size
     pv = F.lit(view_size) if view_size else p

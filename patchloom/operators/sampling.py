@@ -36,7 +36,9 @@ def attempts(d: DataFrame, masks: DataFrame, seed: int, retries: int, threshold:
     t = t.withColumn("x", _pick(uniform(seed, epoch, "path", "draw", "attempt", F.lit("x")), F.col("width") - F.col("footprint")))
     t = t.withColumn("y", _pick(uniform(seed, epoch, "path", "draw", "attempt", F.lit("y")), F.col("height") - F.col("footprint")))
     hit = contains_tissue(fractions(t, masks), threshold)
-    first = hit.groupBy("path", "draw").agg(F.min(F.struct("attempt", "x", "y", "tissue_fraction")).alias("f")).select("path", "draw", "f.attempt", "f.x", "f.y", "f.tissue_fraction")
+    first = hit.groupBy("path", "draw").agg(
+        F.min(F.struct("attempt", "x", "y", "tissue_fraction")).alias("f")
+    ).select("path", "draw", "f.attempt", "f.x", "f.y", "f.tissue_fraction")
     return d.join(first, ["path", "draw"], "left")
 
 
@@ -49,12 +51,17 @@ def until_failures(rows: DataFrame, most: int) -> DataFrame:
     return r.filter(F.col("_ok") & (F.col("_end").isNull() | (F.col("draw") < F.col("_end")))).drop("_ok", "_last", "_stop", "_end")
 
 
-def random_coords(slides: DataFrame, masks: DataFrame, n: int, *, patch_size: int = 256, level: int = 0, target_mpp: float | None = None, threshold: float = 0.4, retries: int = 50, seed: int = 0, epoch: int = 0) -> DataFrame:
+def random_coords(
+    slides: DataFrame, masks: DataFrame, n: int, *, patch_size: int = 256, level: int = 0, target_mpp: float | None = None,
+    threshold: float = 0.4, retries: int = 50, seed: int = 0, epoch: int = 0,
+) -> DataFrame:
     """Uniform patches by rejection; the first draw that finds no tissue ends its slide."""
     if n < 1 or retries < 1 or patch_size < 1 or not 0 <= threshold <= 1:
         raise ValueError("n, retries and patch_size must be at least 1 and the threshold a share")
     s = slides.withColumn("level", best_level(target_mpp) if target_mpp else F.lit(level))
-    s = s.withColumn("downsample", downsample_of(F.col("level"))).withColumn("footprint", (F.lit(patch_size) * F.col("downsample")).cast("int"))
+    s = s.withColumn("downsample", downsample_of(F.col("level"))).withColumn(
+        "footprint", (F.lit(patch_size) * F.col("downsample")).cast("int"),
+    )
     s = s.select("path", "width", "height", "level", (F.col("mpp") * F.col("downsample")).alias("mpp"), "footprint")
     rows = until_failures(attempts(draws(s, n, seed, epoch), masks, seed, retries, threshold, epoch), 1)
     return rows.select("path", "draw", "x", "y", "level", F.lit(patch_size).alias("patch_size"), "mpp", "tissue_fraction")
@@ -97,7 +104,10 @@ def race(coords: DataFrame, weights: DataFrame, seed: int, size: int | None = No
     return p.filter(F.col("draw") < size) if size else p
 
 
-def multi_pool(slides: DataFrame, targets: list[float], weights: list[float], seed: int, *, patch_size: int = 256, size: int | None = None, epoch: int = 0, masks: DataFrame | None = None, threshold: float = 0.4) -> DataFrame:
+def multi_pool(
+    slides: DataFrame, targets: list[float], weights: list[float], seed: int, *, patch_size: int = 256, size: int | None = None,
+    epoch: int = 0, masks: DataFrame | None = None, threshold: float = 0.4,
+) -> DataFrame:
     """Grids of the levels of several magnifications in one weighted order; a slide of unknown mpp has its level 0 alone."""
     w = level_weights(slides, targets, weights)
     on = slides.join(w.select("path", F.col("level").alias("lv")), "path")
@@ -121,10 +131,15 @@ def categorical(u: Column, values: list[float], weights: list[float]) -> Column:
     return last if chosen is None else chosen.otherwise(last)
 
 
-def multi_magnification(slides: DataFrame, masks: DataFrame, n: int, *, targets=(0.25, 0.5, 1.0, 2.0), weights=None, patch_size: int = 256, threshold: float = 0.4, retries: int = 50, most_failures: int = 100, seed: int = 0, epoch: int = 0) -> DataFrame:
+def multi_magnification(
+    slides: DataFrame, masks: DataFrame, n: int, *, targets=(0.25, 0.5, 1.0, 2.0), weights=None, patch_size: int = 256,
+    threshold: float = 0.4, retries: int = 50, most_failures: int = 100, seed: int = 0, epoch: int = 0,
+) -> DataFrame:
     """Draw a magnification, then a patch of its level; a slide ends after ``most_failures`` draws in a row without tissue."""
     d = draws(slides, n, seed, epoch)
-    d = d.withColumn("target", F.when(F.col("mpp").isNotNull(), categorical(F.col("u_level"), list(targets), list(weights or [1.0] * len(targets)))))
+    d = d.withColumn(
+        "target", F.when(F.col("mpp").isNotNull(), categorical(F.col("u_level"), list(targets), list(weights or [1.0] * len(targets)))),
+    )
     d = d.withColumn("level", best_level(F.col("target"))).withColumn("downsample", downsample_of(F.col("level")))
     d = d.withColumn("footprint", (F.lit(patch_size) * F.col("downsample")).cast("int"))
     d = d.select("path", "draw", "width", "height", "level", "target", (F.col("mpp") * F.col("downsample")).alias("mpp"), "footprint")
@@ -139,7 +154,9 @@ def mpp_grid(spark, low: float, high: float, points: int) -> DataFrame:
     """``i, x``: evenly spaced magnifications, both ends included."""
     if not 0 < low < high or points < 2:
         raise ValueError("the mpp range must be positive and rising, with at least two points")
-    return spark.range(points).select(F.col("id").cast("int").alias("i"), (F.lit(float(low)) + F.col("id") * F.lit((high - low) / (points - 1))).alias("x"))
+    return spark.range(points).select(
+        F.col("id").cast("int").alias("i"), (F.lit(float(low)) + F.col("id") * F.lit((high - low) / (points - 1))).alias("x"),
+    )
 
 
 def maxavg_weights(spark, low: float = 0.25, high: float = 2.0, lam: float = 1.0, points: int = 1000) -> DataFrame:
@@ -163,7 +180,9 @@ def minmax_weights(spark, low: float = 0.25, high: float = 2.0, points: int = 10
     order = Window.orderBy("i")
     sq = lambda c: c * c
     g = mpp_grid(spark, low, high, points)
-    g = g.withColumn("_l", 1 / (1 + sq(F.lag("x").over(order) / F.col("x")))).withColumn("_r", 1 / (1 + sq(F.col("x") / F.lead("x").over(order))))
+    g = g.withColumn("_l", 1 / (1 + sq(F.lag("x").over(order) / F.col("x")))).withColumn(
+        "_r", 1 / (1 + sq(F.col("x") / F.lead("x").over(order))),
+    )
     w = F.when(F.col("_l").isNull(), F.col("_r")).when(F.col("_r").isNull(), F.col("_l")).otherwise(F.col("_l") + F.col("_r") - 1)
     return _with_cdf(g.withColumn("w", w))
 
@@ -174,7 +193,10 @@ def _with_cdf(g: DataFrame) -> DataFrame:
     return g.select("i", "x", p.alias("p")).withColumn("cdf", F.sum("p").over(up))
 
 
-def continuous(slides: DataFrame, masks: DataFrame, n: int, *, output_size: int = 224, low: float = 0.25, high: float = 2.0, cdf: DataFrame | None = None, threshold: float = 0.4, retries: int = 50, most_failures: int = 100, seed: int = 0, epoch: int = 0) -> DataFrame:
+def continuous(
+    slides: DataFrame, masks: DataFrame, n: int, *, output_size: int = 224, low: float = 0.25, high: float = 2.0,
+    cdf: DataFrame | None = None, threshold: float = 0.4, retries: int = 50, most_failures: int = 100, seed: int = 0, epoch: int = 0,
+) -> DataFrame:
     """Patches of a magnification drawn uniformly, or from ``cdf`` (``x, cdf``, a table of fixed length).
 
     The magnification, the finer level and the crop follow; crops larger than the slide

@@ -51,7 +51,10 @@ def summary(rows: list[tuple]) -> dict[str, float]:
     n = len(rows)
     wait, compute, wall, patches = (sum(r[i] for r in rows) for i in range(1, 5))
     sec = max(wall / 1e9, 1e-9)
-    return {"data_wait_ms": wait / 1e6 / n, "compute_ms": compute / 1e6 / n, "step_ms": wall / 1e6 / n, "data_fraction": wait / max(wall, 1), "batches_per_sec": n / sec, "patches_per_sec": patches / sec}
+    return {
+        "data_wait_ms": wait / 1e6 / n, "compute_ms": compute / 1e6 / n, "step_ms": wall / 1e6 / n, "data_fraction": wait / max(wall, 1),
+        "batches_per_sec": n / sec, "patches_per_sec": patches / sec,
+    }
 
 
 class PeakMemory:

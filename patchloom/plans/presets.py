@@ -4,9 +4,18 @@ from __future__ import annotations
 
 # Detector, sampler and schedule of each recipe.
 PRESETS = {
-    "midnight": {"detector": ("hsv", {"hue": (90, 180), "sat": (8, 255), "val": (103, 255)}), "sampler": ("multi", {"targets": (0.25, 0.5, 1.0, 2.0), "patch_size": 256, "threshold": 0.4}), "filter": 0.6, "hed": 0.05, "order": "random", "pool": 8, "per_slide": 100, "cycle": True},
-    "uni": {"detector": ("clam", {}), "sampler": ("random", {"patch_size": 256, "target_mpp": 0.5}), "pool": 8, "per_slide": 100, "cycle": True},
-    "virchow2": {"detector": ("hsv", {"hue": (90, 180), "sat": (8, 255), "val": (103, 255)}), "sampler": ("random", {"patch_size": 392, "target_mpp": 0.5, "threshold": 0.65}), "order": "random"},
+    "midnight": {
+        "detector": ("hsv", {"hue": (90, 180), "sat": (8, 255), "val": (103, 255)}),
+        "sampler": ("multi", {"targets": (0.25, 0.5, 1.0, 2.0), "patch_size": 256, "threshold": 0.4}), "filter": 0.6, "hed": 0.05,
+        "order": "random", "pool": 8, "per_slide": 100, "cycle": True,
+    },
+    "uni": {
+        "detector": ("clam", {}), "sampler": ("random", {"patch_size": 256, "target_mpp": 0.5}), "pool": 8, "per_slide": 100, "cycle": True,
+    },
+    "virchow2": {
+        "detector": ("hsv", {"hue": (90, 180), "sat": (8, 255), "val": (103, 255)}),
+        "sampler": ("random", {"patch_size": 392, "target_mpp": 0.5, "threshold": 0.65}), "order": "random",
+    },
     "gpfm": {"detector": ("clam", {"use_otsu": True, "a_t": 16, "a_h": 4}), "sampler": ("random", {"patch_size": 512, "level": 0})},
     "prov-gigapath": {"detector": ("otsu", {}), "sampler": ("random", {"patch_size": 256, "target_mpp": 0.5, "threshold": 0.1})},
     "phikon": {"detector": ("otsu", {}), "sampler": ("random", {"patch_size": 224, "target_mpp": 0.5, "threshold": 0.6})},

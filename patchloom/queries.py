@@ -69,15 +69,22 @@ def _grid_sql(patch: int, stride: int) -> str:
       grid AS (SELECT *, unnest(range(0, width - p + 1, s))::INT AS x FROM g1)"""
 
 
-@query(f"WITH {SLIDES}, {LEVELS}, {_grid_sql(2048, 2048)} SELECT path, x, y, 0 AS level, 2048 AS patch_size, round(mpp, 6) AS mpp FROM grid")
+@query(
+    f"WITH {SLIDES}, {LEVELS}, {_grid_sql(2048, 2048)} SELECT path, x, y, 0 AS level, 2048 AS patch_size, round(mpp, 6) AS mpp FROM grid"
+)
 def grid_coords(spark, d):
     return geometry.grid(slides(spark, d), 2048).select("path", "x", "y", "level", "patch_size", F.round("mpp", 6).alias("mpp"))
 
 
-@query(f"WITH {SLIDES}, {LEVELS}, {_grid_sql(4096, 2048)} SELECT path, count(*) AS n, max(x) AS max_x, max(y) AS max_y, sum(x::BIGINT + y)::BIGINT AS total FROM grid GROUP BY path")
+@query(
+    f"WITH {SLIDES}, {LEVELS}, {_grid_sql(4096, 2048)} SELECT path, count(*) AS n, max(x) AS max_x, max(y) AS max_y, sum(x::BIGINT + y)::BIGINT AS total FROM grid GROUP BY path"
+)
 def grid_stride_coords(spark, d):
     g = geometry.grid(slides(spark, d), 4096, stride=2048)
-    return g.groupBy("path").agg(F.count("*").alias("n"), F.max("x").alias("max_x"), F.max("y").alias("max_y"), F.sum(F.col("x").cast("long") + F.col("y")).alias("total"))
+    return g.groupBy("path").agg(
+        F.count("*").alias("n"), F.max("x").alias("max_x"), F.max("y").alias("max_y"),
+        F.sum(F.col("x").cast("long") + F.col("y")).alias("total"),
+    )
 
 
 def _fraction_sql(src: str, name: str) -> str:
@@ -98,15 +105,21 @@ def _grid_fraction(spark, d):
     return tissue.fractions(geometry.grid(s, 2048), masks(s))
 
 
-@query(f"{_GRID_FRACTION} SELECT path, count(*) AS n, round(sum(frac), 6) AS sum_fraction, round(max(frac), 6) AS max_fraction FROM fr GROUP BY path")
+@query(
+    f"{_GRID_FRACTION} SELECT path, count(*) AS n, round(sum(frac), 6) AS sum_fraction, round(max(frac), 6) AS max_fraction FROM fr GROUP BY path"
+)
 def tissue_fraction(spark, d):
     f = F.col("tissue_fraction")
-    return _grid_fraction(spark, d).groupBy("path").agg(F.count("*").alias("n"), F.round(F.sum(f), 6).alias("sum_fraction"), F.round(F.max(f), 6).alias("max_fraction"))
+    return _grid_fraction(spark, d).groupBy("path").agg(
+        F.count("*").alias("n"), F.round(F.sum(f), 6).alias("sum_fraction"), F.round(F.max(f), 6).alias("max_fraction"),
+    )
 
 
 @query(f"{_GRID_FRACTION} SELECT path, x, y, 0 AS level, round(mpp, 6) AS mpp, round(frac, 6) AS tissue_fraction FROM fr WHERE frac >= 0.4")
 def tissue_grid(spark, d):
-    return tissue.contains_tissue(_grid_fraction(spark, d), 0.4).select("path", "x", "y", "level", F.round("mpp", 6).alias("mpp"), F.round("tissue_fraction", 6).alias("tissue_fraction"))
+    return tissue.contains_tissue(_grid_fraction(spark, d), 0.4).select(
+        "path", "x", "y", "level", F.round("mpp", 6).alias("mpp"), F.round("tissue_fraction", 6).alias("tissue_fraction"),
+    )
 
 
 @query(f"WITH {SLIDES}, {CELLS} SELECT path, round(avg(tissue::INT), 6) AS tissue_fraction, count(*) AS n_cells FROM cells GROUP BY path")
@@ -114,7 +127,9 @@ def slide_tissue_stats(spark, d):
     return tissue.slide_fraction(mask_cells(slides(spark, d))).withColumn("tissue_fraction", F.round("tissue_fraction", 6))
 
 
-@query(f"WITH {SLIDES}, {CELLS} SELECT a.path, a.my, a.mx, sum(b.tissue::INT)::BIGINT AS area FROM cells a JOIN cells b ON a.path = b.path AND b.my <= a.my AND b.mx <= a.mx GROUP BY 1, 2, 3")
+@query(
+    f"WITH {SLIDES}, {CELLS} SELECT a.path, a.my, a.mx, sum(b.tissue::INT)::BIGINT AS area FROM cells a JOIN cells b ON a.path = b.path AND b.my <= a.my AND b.mx <= a.mx GROUP BY 1, 2, 3"
+)
 def mask_sums(spark, d):
     return tissue.summed(mask_cells(slides(spark, d))).select("path", "my", "mx", "area")
 
@@ -201,7 +216,10 @@ _CONT = f"""WITH {SLIDES}, {LEVELS}, {CELLS},
 def continuous_magnification(spark, d):
     s = slides(spark, d)
     c = sampling.continuous(s, masks(s), 5, output_size=1024, retries=10, seed=9)
-    return c.select("path", "draw", "x", "y", "level", "patch_size", F.round("mpp", 6).alias("mpp"), F.round("tissue_fraction", 6).alias("tissue_fraction"))
+    return c.select(
+        "path", "draw", "x", "y", "level", "patch_size", F.round("mpp", 6).alias("mpp"),
+        F.round("tissue_fraction", 6).alias("tissue_fraction"),
+    )
 
 
 def _pool_sql(part: str = "path") -> str:
@@ -213,7 +231,9 @@ def pool_shuffle(spark, d):
     return sampling.pool(geometry.grid(slides(spark, d), 4096), 3).select("path", "x", "y", F.col("draw").cast("long").alias("draw"))
 
 
-@query(f"WITH {SLIDES}, {LEVELS}, {_grid_sql(4096, 4096)} SELECT path, x, y, draw FROM (SELECT path, x, y, {_pool_sql()} AS draw FROM (SELECT *, 0 AS level FROM grid)) WHERE draw < 5")
+@query(
+    f"WITH {SLIDES}, {LEVELS}, {_grid_sql(4096, 4096)} SELECT path, x, y, draw FROM (SELECT path, x, y, {_pool_sql()} AS draw FROM (SELECT *, 0 AS level FROM grid)) WHERE draw < 5"
+)
 def pool_truncate(spark, d):
     return sampling.pool(geometry.grid(slides(spark, d), 4096), 3, 5).select("path", "x", "y", F.col("draw").cast("long").alias("draw"))
 
@@ -242,7 +262,9 @@ def multilevel_race(spark, d):
     return p.select("path", "level", "x", "y", F.col("draw").cast("long").alias("draw"))
 
 
-@query(f"WITH {SLIDES}, u AS (SELECT path, mpp, draw::INT AS draw, {_LEVEL_DRAW} AS u FROM sl, range(20) r(draw)) SELECT target, count(*) AS n FROM (SELECT {_MULTI_PICK} AS target FROM u WHERE mpp IS NOT NULL) GROUP BY 1")
+@query(
+    f"WITH {SLIDES}, u AS (SELECT path, mpp, draw::INT AS draw, {_LEVEL_DRAW} AS u FROM sl, range(20) r(draw)) SELECT target, count(*) AS n FROM (SELECT {_MULTI_PICK} AS target FROM u WHERE mpp IS NOT NULL) GROUP BY 1"
+)
 def categorical_draw(spark, d):
     u = sampling.draws(slides(spark, d).filter("mpp is not null").select("path"), 20, 9)
     return u.groupBy(sampling.categorical(F.col("u_level"), TARGETS, WEIGHTS).alias("target")).agg(F.count("*").alias("n"))
@@ -253,7 +275,12 @@ def _cdf_sql(points: int, w: str) -> str:
       p AS (SELECT i, x, w / sum(w) OVER () AS p FROM w) SELECT i, round(x, 9) AS x, round(p, 9) AS p, round(sum(p) OVER (ORDER BY i), 9) AS cdf FROM p"""
 
 
-@query(_cdf_sql(1000, "k AS (SELECT *, x * (4 / 3::DOUBLE) - 0.015625::DOUBLE / (x * x * 3) - x * x / 2 AS k FROM g), w AS (SELECT i, x, exp(k - max(k) OVER ()) AS w FROM k)"))
+@query(
+    _cdf_sql(
+        1000,
+        "k AS (SELECT *, x * (4 / 3::DOUBLE) - 0.015625::DOUBLE / (x * x * 3) - x * x / 2 AS k FROM g), w AS (SELECT i, x, exp(k - max(k) OVER ()) AS w FROM k)",
+    )
+)
 def maxavg_weights(spark, d):
     return sampling.maxavg_weights(spark).select("i", *[F.round(c, 9).alias(c) for c in ("x", "p", "cdf")])
 
@@ -264,7 +291,9 @@ def minmax_weights(spark, d):
     return sampling.minmax_weights(spark).select("i", *[F.round(c, 9).alias(c) for c in ("x", "p", "cdf")])
 
 
-@query(f"SELECT slide_path, cancer_type FROM (SELECT *, row_number() OVER (PARTITION BY cancer_type ORDER BY {uniform_sql(5, 'slide_path')}, slide_path) AS r FROM (SELECT DISTINCT slide_path, cancer_type FROM slide_metadata)) WHERE r <= 10")
+@query(
+    f"SELECT slide_path, cancer_type FROM (SELECT *, row_number() OVER (PARTITION BY cancer_type ORDER BY {uniform_sql(5, 'slide_path')}, slide_path) AS r FROM (SELECT DISTINCT slide_path, cancer_type FROM slide_metadata)) WHERE r <= 10"
+)
 def stratified_sample(spark, d):
     m = table(spark, d, "slide_metadata").select("slide_path", "cancer_type").distinct()
     return sampling.stratified(m, F.col("cancer_type"), 10, uniform(5, "slide_path"), "slide_path")
@@ -273,7 +302,9 @@ def stratified_sample(spark, d):
 # -- schedule ----------------------------------------------------------------
 
 
-@query(f"WITH {_ORDERED}, w AS (SELECT i AS pos, draw::INT AS draw FROM o, range(12) r(draw)) SELECT pos, draw, row_number() OVER (ORDER BY pos // 8, draw // 3, pos % 8, draw % 3) - 1 AS seq FROM w")
+@query(
+    f"WITH {_ORDERED}, w AS (SELECT i AS pos, draw::INT AS draw FROM o, range(12) r(draw)) SELECT pos, draw, row_number() OVER (ORDER BY pos // 8, draw // 3, pos % 8, draw % 3) - 1 AS seq FROM w"
+)
 def interleave_order(spark, d):
     pos = grouped_prefix_sum(cut(slides(spark, d).select("path", F.lit(1).alias("one"))), [], ["path"], "one", before="pos")
     draws = pos.select("pos", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("draw"))
@@ -291,20 +322,28 @@ def interleave_visits(spark, d):
 _DRAWS = "once AS (SELECT slide_path, draw, max(epoch) AS epoch FROM patches GROUP BY 1, 2)"
 
 
-@query(f"WITH {_DRAWS}, k AS (SELECT slide_path, draw, row_number() OVER (PARTITION BY slide_path ORDER BY draw) - 1 AS i FROM once) SELECT slide_path, count(*) AS n, max(draw) AS last_draw FROM k WHERE i < 100 GROUP BY 1")
+@query(
+    f"WITH {_DRAWS}, k AS (SELECT slide_path, draw, row_number() OVER (PARTITION BY slide_path ORDER BY draw) - 1 AS i FROM once) SELECT slide_path, count(*) AS n, max(draw) AS last_draw FROM k WHERE i < 100 GROUP BY 1"
+)
 def budget_filter(spark, d):
     once = table(spark, d, "patches").select("slide_path", "draw").distinct().withColumn("one", F.lit(1))
-    k = grouped_prefix_sum(cut(once), ["slide_path"], ["draw"], "one", before="i").withColumnRenamed("draw", "id").withColumnRenamed("i", "draw")
+    k = grouped_prefix_sum(
+        cut(once), ["slide_path"], ["draw"], "one", before="i",
+    ).withColumnRenamed("draw", "id").withColumnRenamed("i", "draw")
     return schedule.budget(k, 100).groupBy("slide_path").agg(F.count("*").alias("n"), F.max("id").alias("last_draw"))
 
 
-@query(f"WITH {SLIDES}, {LEVELS}, {_grid_sql(16384, 16384)}, z AS (SELECT path, count(*) AS n FROM grid GROUP BY path) SELECT path, k::INT AS k, (k // n)::BIGINT AS pass, (k % n)::BIGINT AS place FROM z, range(20) r(k)")
+@query(
+    f"WITH {SLIDES}, {LEVELS}, {_grid_sql(16384, 16384)}, z AS (SELECT path, count(*) AS n FROM grid GROUP BY path) SELECT path, k::INT AS k, (k // n)::BIGINT AS pass, (k % n)::BIGINT AS place FROM z, range(20) r(k)"
+)
 def without_replacement_cycle(spark, d):
     sizes = geometry.grid(slides(spark, d), 16384).groupBy("path").agg(F.count("*").alias("n"))
     return schedule.without_replacement(sizes, 20).select("path", "k", "pass", "place")
 
 
-@query(f"WITH {SLIDES} SELECT epoch::INT AS epoch, path, row_number() OVER (PARTITION BY epoch ORDER BY {uniform_sql(11, 'epoch', 'path')}, path) - 1 AS pos FROM sl, range(3) r(epoch)")
+@query(
+    f"WITH {SLIDES} SELECT epoch::INT AS epoch, path, row_number() OVER (PARTITION BY epoch ORDER BY {uniform_sql(11, 'epoch', 'path')}, path) - 1 AS pos FROM sl, range(3) r(epoch)"
+)
 def slide_cycle(spark, d):
     s = schedule.cycle(slides(spark, d).select("path"), 3).withColumn("u", uniform(11, "epoch", "path")).withColumn("one", F.lit(1))
     return grouped_prefix_sum(cut(s), ["epoch"], ["u", "path"], "one", before="pos").select("epoch", "path", "pos")
@@ -314,7 +353,9 @@ def slide_cycle(spark, d):
   SELECT DISTINCT path FROM slides WHERE path NOT IN (SELECT path FROM f WHERE path IS NOT NULL) AND path IS NOT NULL""")
 def blacklist_anti(spark, d):
     ok = F.coalesce((F.col("tissue_fraction") >= 0.5) & (F.col("tissue_fraction") <= 1), F.lit(False))
-    f = table(spark, d, "patches").groupBy(F.col("slide_path").alias("path")).agg(F.count("*").alias("reads"), F.sum((~ok).cast("int")).alias("failed"))
+    f = table(spark, d, "patches").groupBy(F.col("slide_path").alias("path")).agg(
+        F.count("*").alias("reads"), F.sum((~ok).cast("int")).alias("failed"),
+    )
     return schedule.blacklist(slides(spark, d).select("path"), f)
 
 
@@ -342,10 +383,15 @@ _PARTS = f"""{SLIDES}, st AS (SELECT path, {_STEM} AS stem, regexp_extract(path,
     FROM pt LEFT JOIN codes ON code = p3)"""
 
 
-@query(f"WITH {_PARTS} SELECT path, patient_id, tissue_type, cancer_type, sample_type, vial, portion, slide_id, is_frozen, barcode, parse_error FROM meta")
+@query(
+    f"WITH {_PARTS} SELECT path, patient_id, tissue_type, cancer_type, sample_type, vial, portion, slide_id, is_frozen, barcode, parse_error FROM meta"
+)
 def tcga_barcode(spark, d):
     m = metadata.parse_barcode(slides(spark, d).select("path"))
-    return m.select("path", "patient_id", "tissue_type", "cancer_type", "sample_type", "vial", "portion", "slide_id", "is_frozen", "barcode", "parse_error")
+    return m.select(
+        "path", "patient_id", "tissue_type", "cancer_type", "sample_type", "vial", "portion", "slide_id", "is_frozen", "barcode",
+        "parse_error",
+    )
 
 
 @query(f"WITH {_PARTS} SELECT sample_type, is_frozen, count(*) AS n FROM meta GROUP BY 1, 2")
@@ -365,7 +411,9 @@ def manifest_tsv(spark, d):
     return metadata.manifest_rows(table(spark, d, "manifest"))
 
 
-@query("SELECT cancer_type, count(*) AS n, round(coalesce(sum(file_size), 0) / (1024.0 ** 3), 6) AS gb, grouping(cancer_type)::INT AS is_total FROM manifest GROUP BY ROLLUP (cancer_type)")
+@query(
+    "SELECT cancer_type, count(*) AS n, round(coalesce(sum(file_size), 0) / (1024.0 ** 3), 6) AS gb, grouping(cancer_type)::INT AS is_total FROM manifest GROUP BY ROLLUP (cancer_type)"
+)
 def manifest_rollup(spark, d):
     return metadata.summary(table(spark, d, "manifest")).withColumn("gb", F.round("gb", 6))
 
@@ -373,10 +421,14 @@ def manifest_rollup(spark, d):
 _LIST = f"SELECT '/out/' || cancer_type || '/' || filename AS dest, file_size + ({bits_sql('file_id')} % 6 = 0)::INT AS size FROM manifest WHERE {bits_sql('file_id')} % 3 = 0"
 
 
-@query(f"WITH l AS ({_LIST}), m AS (SELECT DISTINCT '/out/' || cancer_type || '/' || filename AS dest, file_size FROM manifest WHERE cancer_type IS NOT NULL AND filename IS NOT NULL) SELECT DISTINCT dest FROM m WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.dest = m.dest AND l.size IS NOT DISTINCT FROM m.file_size)")
+@query(
+    f"WITH l AS ({_LIST}), m AS (SELECT DISTINCT '/out/' || cancer_type || '/' || filename AS dest, file_size FROM manifest WHERE cancer_type IS NOT NULL AND filename IS NOT NULL) SELECT DISTINCT dest FROM m WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.dest = m.dest AND l.size IS NOT DISTINCT FROM m.file_size)"
+)
 def skip_existing_anti(spark, d):
     m = table(spark, d, "manifest").filter("cancer_type is not null and filename is not null")
-    l = m.filter(bits("file_id") % 3 == 0).select(metadata.destination("/out").alias("dest"), (F.col("file_size") + (bits("file_id") % 6 == 0).cast("int")).alias("size"))  # noqa: E741
+    l = m.filter(bits("file_id") % 3 == 0).select(
+        metadata.destination("/out").alias("dest"), (F.col("file_size") + (bits("file_id") % 6 == 0).cast("int")).alias("size"),
+    )  # noqa: E741
     return metadata.missing(m, l, "/out").select("dest")
 
 
@@ -385,7 +437,11 @@ def skip_existing_anti(spark, d):
 def gdc_hits(spark, d):
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     case = F.struct(F.struct(F.col("n_name").alias("project_id")).alias("project"))
-    nested = s.select(F.col("s_suppkey").cast("string").alias("file_id"), F.col("s_name").alias("file_name"), F.lit(1).cast("long").alias("file_size"), F.lit("").alias("md5sum"), F.lit("released").alias("state"), F.when(F.col("s_suppkey") % 5 != 0, F.array(case)).otherwise(F.slice(F.array(case), 2, 1)).alias("cases"))
+    nested = s.select(
+        F.col("s_suppkey").cast("string").alias("file_id"), F.col("s_name").alias("file_name"), F.lit(1).cast("long").alias("file_size"),
+        F.lit("").alias("md5sum"), F.lit("released").alias("state"),
+        F.when(F.col("s_suppkey") % 5 != 0, F.array(case)).otherwise(F.slice(F.array(case), 2, 1)).alias("cases"),
+    )
     return metadata.hits(nested).select("file_id", "filename", "cancer_type")
 
 
@@ -413,7 +469,9 @@ def pipeline_stats(spark, d):
     return stats.pipeline_stats(opened, patches, errors).withColumn("value", F.round("value", 6))
 
 
-@query("SELECT event_id, value, (SELECT count(*) FROM events WHERE event_type = 'error') AS n_errors FROM events WHERE event_type = 'error' ORDER BY event_id DESC LIMIT 100")
+@query(
+    "SELECT event_id, value, (SELECT count(*) FROM events WHERE event_type = 'error') AS n_errors FROM events WHERE event_type = 'error' ORDER BY event_id DESC LIMIT 100"
+)
 def recent_errors(spark, d):
     e = table(spark, d, "events").filter("event_type = 'error'").select("event_id", "value")
     return stats.recent_errors(e, "event_id")
@@ -431,7 +489,10 @@ def _metric_sql(keys: str) -> str:
 def _steps(spark, d):
     v = F.col("value")
     ns = lambda k, c: F.round(v * k).cast("long").alias(c)
-    return table(spark, d, "events").select(F.col("event_id").alias("step"), ns(1000000, "data_wait_ns"), ns(500000, "compute_ns"), ns(2000000, "wall_ns"), F.lit(64).alias("patches"))
+    return table(spark, d, "events").select(
+        F.col("event_id").alias("step"), ns(1000000, "data_wait_ns"), ns(500000, "compute_ns"), ns(2000000, "wall_ns"),
+        F.lit(64).alias("patches"),
+    )
 
 
 def _rounded(df: DataFrame, *keep: str) -> DataFrame:
@@ -455,9 +516,14 @@ _BENCH = """WITH b AS (SELECT event_type AS config, user_id % 4 AS rank, value A
 
 
 def _bench(spark, d):
-    b = table(spark, d, "events").select(F.col("event_type").alias("config"), (F.col("user_id") % 4).alias("rank"), F.col("value").alias("batch_ms"), F.lit(64).alias("patches"))
+    b = table(spark, d, "events").select(
+        F.col("event_type").alias("config"), (F.col("user_id") % 4).alias("rank"), F.col("value").alias("batch_ms"),
+        F.lit(64).alias("patches"),
+    )
     s = stats.benchmark_summary(b, ["config"])
-    return s.select("config", "world_size", *[F.round(c, 6).alias(c) for c in ("effective", "aggregate", "total_sec", "batch_p50_ms", "batch_p95_ms")])
+    return s.select(
+        "config", "world_size", *[F.round(c, 6).alias(c) for c in ("effective", "aggregate", "total_sec", "batch_p50_ms", "batch_p95_ms")],
+    )
 
 
 @query(f"{_BENCH} SELECT * FROM a")
@@ -470,7 +536,9 @@ def benchmark_best(spark, d):
     return stats.best(_bench(spark, d).select("config", "effective"))
 
 
-@query("SELECT w AS num_workers, p AS pool_size, s AS per_slide, v AS per_visit FROM (SELECT unnest([1, 2, 4]) AS w), (SELECT unnest([4, 8]) AS p), (SELECT 100 AS s), (SELECT unnest([1, 4]) AS v) WHERE (SELECT count(DISTINCT path) FROM slides) >= 4")
+@query(
+    "SELECT w AS num_workers, p AS pool_size, s AS per_slide, v AS per_visit FROM (SELECT unnest([1, 2, 4]) AS w), (SELECT unnest([4, 8]) AS p), (SELECT 100 AS s), (SELECT unnest([1, 4]) AS v) WHERE (SELECT count(DISTINCT path) FROM slides) >= 4"
+)
 def config_sweep(spark, d):
     n = slides(spark, d).select("path").distinct().count()
     rows = stats.sweep(n, 4, num_workers=[1, 2, 4], pool_size=[4, 8], per_slide=100, per_visit=[1, 4])
@@ -493,7 +561,9 @@ def hsv_pixels(spark, d):
     return _hsv(spark, d).select("img_id", "i", "h", "s", "v")
 
 
-@query(f"WITH {PIXELS}, {HSV} SELECT img_id, round(avg(({_BOX})::INT), 6) AS fraction, avg(({_BOX})::INT) >= 0.5 AS accepted FROM hsv GROUP BY img_id")
+@query(
+    f"WITH {PIXELS}, {HSV} SELECT img_id, round(avg(({_BOX})::INT), 6) AS fraction, avg(({_BOX})::INT) >= 0.5 AS accepted FROM hsv GROUP BY img_id"
+)
 def hsv_filter(spark, d):
     ok = F.avg(px.inside(F.col("h"), F.col("s"), F.col("v")).cast("int"))
     return _hsv(spark, d).groupBy("img_id").agg(F.round(ok, 6).alias("fraction"), (ok >= 0.5).alias("accepted"))
@@ -511,7 +581,9 @@ def gray_otsu(spark, d):
     return tissue.otsu_threshold(h, ["img_id"])
 
 
-@query(f"WITH {PIXELS} SELECT img_id, i, round((red / 255::DOUBLE - 0.5) / 0.25, 6) AS red, round((green / 255::DOUBLE - 0.4) / 0.2, 6) AS green, round((blue / 255::DOUBLE - 0.3) / 0.1, 6) AS blue FROM px")
+@query(
+    f"WITH {PIXELS} SELECT img_id, i, round((red / 255::DOUBLE - 0.5) / 0.25, 6) AS red, round((green / 255::DOUBLE - 0.4) / 0.2, 6) AS green, round((blue / 255::DOUBLE - 0.3) / 0.1, 6) AS blue FROM px"
+)
 def normalize(spark, d):
     n = {"red": (0.5, 0.25), "green": (0.4, 0.2), "blue": (0.3, 0.1)}
     return pixels(spark, d).select("img_id", "i", *[F.round(px.normalised(F.col(c), *v), 6).alias(c) for c, v in n.items()])
@@ -549,7 +621,10 @@ def flip_rotate(spark, d):
     p = pixels(spark, d)
     odd = lambda s: bits(s, "img_id") % 2 == 1
     r0, c0 = F.floor(F.col("i") / 8), F.col("i") % 8
-    a = p.select("img_id", "red", F.when(odd(18), 7 - r0).otherwise(r0).alias("r"), F.when(odd(17), 7 - c0).otherwise(c0).alias("c"), F.when(odd(19), 1 + bits(20, "img_id") % 3).otherwise(0).alias("k"))
+    a = p.select(
+        "img_id", "red", F.when(odd(18), 7 - r0).otherwise(r0).alias("r"), F.when(odd(17), 7 - c0).otherwise(c0).alias("c"),
+        F.when(odd(19), 1 + bits(20, "img_id") % 3).otherwise(0).alias("k"),
+    )
     r, c, k = F.col("r"), F.col("c"), F.col("k")
     at = F.when(k == 0, r * 8 + c).when(k == 1, (7 - c) * 8 + r).when(k == 2, (7 - r) * 8 + 7 - c).otherwise(c * 8 + 7 - r)
     return a.select("img_id", at.cast("int").alias("i"), "red")
@@ -580,7 +655,9 @@ def crop_params(spark, d):
     return c.withColumn("x", F.least(F.floor(uniform(23, "path", F.lit("x")) * (512 - F.col("w") + 1)), 512 - F.col("w")).cast("int"))
 
 
-@query("SELECT name, CASE WHEN count = 1 THEN name ELSE name || '_' || i END AS view FROM (SELECT 'global' AS name, 2 AS count UNION ALL SELECT 'local', 8 UNION ALL SELECT 'context', 1), range(8) r(i) WHERE i < count")
+@query(
+    "SELECT name, CASE WHEN count = 1 THEN name ELSE name || '_' || i END AS view FROM (SELECT 'global' AS name, 2 AS count UNION ALL SELECT 'local', 8 UNION ALL SELECT 'context', 1), range(8) r(i) WHERE i < count"
+)
 def view_names(spark, d):
     from .operators.views import View, names_of
 
@@ -596,17 +673,23 @@ def view_names(spark, d):
 def view_center(spark, d):
     p = table(spark, d, "patches").select(F.col("slide_path").alias("path"), "draw", "x", "y", "level", "patch_size").distinct()
     j = p.join(slides(spark, d).select("path", "mpp", "levels"), "path").withColumn("view_level", geometry.best_level(2.0))
-    j = j.withColumn("a", geometry.downsample_of(F.col("level"))).withColumn("b", geometry.downsample_of(F.col("view_level"))).filter("a is not null")
+    j = j.withColumn("a", geometry.downsample_of(F.col("level"))).withColumn(
+        "b", geometry.downsample_of(F.col("view_level")),
+    ).filter("a is not null")
     vx, vy = geometry.view_centre(F.col("x"), F.col("y"), F.col("a"), F.col("patch_size"), F.col("b"))
     return j.select("path", "draw", "level", "view_level", vx.alias("vx"), vy.alias("vy"))
 
 
-@query(f"WITH {PIXELS}, v AS (SELECT img_id, i, 0 AS c, red AS x FROM px UNION ALL SELECT img_id, i, 1, green FROM px UNION ALL SELECT img_id, i, 2, blue FROM px) SELECT img_id, string_agg(x::VARCHAR, ',' ORDER BY c, i) AS image FROM v GROUP BY img_id")
+@query(
+    f"WITH {PIXELS}, v AS (SELECT img_id, i, 0 AS c, red AS x FROM px UNION ALL SELECT img_id, i, 1, green FROM px UNION ALL SELECT img_id, i, 2, blue FROM px) SELECT img_id, string_agg(x::VARCHAR, ',' ORDER BY c, i) AS image FROM v GROUP BY img_id"
+)
 def chw_collate(spark, d):
     """Inside each row: images are never taken apart and put together again."""
     pixel = lambda p: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.array(*[F.get(p, (i + k) % 64) for k in (0, 21, 42)]))
     hwc = px.once(plane(), lambda p: F.flatten(pixel(p)))
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("img_id"), F.concat_ws(",", px.chw(hwc, 8, 8).cast("array<string>")).alias("image"))
+    return table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("img_id"), F.concat_ws(",", px.chw(hwc, 8, 8).cast("array<string>")).alias("image"),
+    )
 
 
 @query()

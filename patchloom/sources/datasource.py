@@ -40,7 +40,9 @@ class _SlideReader(DataSourceReader):
             reader.open(path)
             try:
                 p = reader.properties()
-                yield path, p["width"], p["height"], p["mpp"], p["vendor"], [(lv["level"], lv["width"], lv["height"], lv["downsample"]) for lv in p["levels"]]
+                yield path, p["width"], p["height"], p["mpp"], p["vendor"], [
+                    (lv["level"], lv["width"], lv["height"], lv["downsample"]) for lv in p["levels"]
+                ]
             finally:
                 reader.close()
 
@@ -71,7 +73,12 @@ class _HitReader(DataSourceReader):
             with open(self.url) as f:
                 data = json.load(f)["data"]
             return {"hits": data["hits"][start : start + size], "pagination": {"total": len(data["hits"])}}
-        q = urlencode({"filters": self.filters, "fields": "file_id,file_name,file_size,md5sum,state,cases.project.project_id", "format": "JSON", "from": start, "size": size})
+        q = urlencode(
+            {
+                "filters": self.filters, "fields": "file_id,file_name,file_size,md5sum,state,cases.project.project_id", "format": "JSON",
+                "from": start, "size": size,
+            }
+        )
         with urlopen(f"{self.url}?{q}", timeout=120) as r:
             return json.load(r)["data"]
 

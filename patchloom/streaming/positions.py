@@ -67,7 +67,9 @@ def draws(k: DataFrame, n_slides: int, per_slide: int, pool: int, seed: int = 0)
     width = F.least(F.lit(pool), F.lit(n_slides) - block * pool)
     inside = at - block * pool * per_slide
     d = k.withColumn("epoch", F.floor(F.col("k") / full).cast("int"))
-    return d.withColumn("pos", (block * pool + inside % width).cast("long")).withColumn("draw", F.floor(inside / width).cast("long")).withColumn("seed", F.lit(seed))
+    return d.withColumn(
+        "pos", (block * pool + inside % width).cast("long"),
+    ).withColumn("draw", F.floor(inside / width).cast("long")).withColumn("seed", F.lit(seed))
 
 
 def coordinates(draws_: DataFrame, slides: DataFrame, patch: int) -> DataFrame:
@@ -82,5 +84,8 @@ def live_metrics(steps: DataFrame, late: str = "1 minute", window: str = "10 sec
     return (
         steps.withWatermark("ts", late)
         .groupBy(F.window("ts", window))
-        .agg(F.count("*").alias("steps"), F.sum("patches").alias("patches"), (F.sum("data_wait_ns") / F.greatest(F.sum("wall_ns"), F.lit(1))).alias("data_fraction"))
+        .agg(
+            F.count("*").alias("steps"), F.sum("patches").alias("patches"),
+            (F.sum("data_wait_ns") / F.greatest(F.sum("wall_ns"), F.lit(1))).alias("data_fraction"),
+        )
     )

@@ -21,7 +21,11 @@ def save_png(image: np.ndarray, path: str) -> None:
         return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+    Path(path).write_bytes(
+        b"\x89PNG\r\n\x1a\n" + chunk(
+            b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0),
+        ) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+    )
 
 
 def overlay(thumbnail: np.ndarray, mask: np.ndarray, colour=(0, 255, 0), alpha: float = 0.4) -> np.ndarray:
@@ -51,7 +55,9 @@ def compare(image: np.ndarray, transforms: dict, seed: int = 0, size: int = 128)
     return patch_grid([image, *[t(image.copy(), np.random.default_rng(seed)) for t in transforms.values()]], len(transforms) + 1, size)
 
 
-def markers(thumbnail: np.ndarray, coords: list[tuple[int, int]], slide: tuple[int, int], colour=(255, 0, 0), radius: int = 1) -> np.ndarray:
+def markers(
+    thumbnail: np.ndarray, coords: list[tuple[int, int]], slide: tuple[int, int], colour=(255, 0, 0), radius: int = 1,
+) -> np.ndarray:
     """Sampled positions (level-0 pixels) as marks on the thumbnail."""
     out = thumbnail[..., :3].copy()
     h, w = out.shape[:2]

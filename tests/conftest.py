@@ -35,4 +35,7 @@ def full_masks(spark, slides):
     """100 x 100 cells, all tissue."""
     from pyspark.sql import functions as F
 
-    return slides.select("path", F.lit(100).alias("mask_w"), F.lit(100).alias("mask_h"), (F.greatest("width", "height") / 100).alias("downsample"), F.array_repeat(F.lit(1), 10000).alias("cells"))
+    return slides.select(
+        "path", F.lit(100).alias("mask_w"), F.lit(100).alias("mask_h"), (F.greatest("width", "height") / 100).alias("downsample"),
+        F.array_repeat(F.lit(1), 10000).alias("cells"),
+    )

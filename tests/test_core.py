@@ -56,7 +56,11 @@ def test_pixels_match_numpy(spark):
     r = np.random.default_rng(0).integers(0, 256, (300, 3))
     df = spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(r)], "i int, r int, g int, b int")
     h, s, v = pixels.hsv(F.col("r"), F.col("g"), F.col("b"))
-    got = {x.i: (x.h, x.s, x.v, x.y) for x in df.select("i", h.alias("h"), s.alias("s"), v.alias("v"), pixels.gray(F.col("r"), F.col("g"), F.col("b")).alias("y")).collect()}
+    got = {
+        x.i: (x.h, x.s, x.v, x.y) for x in df.select(
+            "i", h.alias("h"), s.alias("s"), v.alias("v"), pixels.gray(F.col("r"), F.col("g"), F.col("b")).alias("y"),
+        ).collect()
+    }
     image = r.astype(np.uint8).reshape(1, -1, 3)
     want = np.concatenate([to_hsv(image)[0], to_gray(image)[0][:, None]], 1)
     assert [got[i] for i in range(300)] == [tuple(map(int, w)) for w in want]

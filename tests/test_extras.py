@@ -50,7 +50,11 @@ def test_slides_source(spark):
 
 def test_file_hits(spark, tmp_path):
     datasource.register(spark)
-    hits = [{"file_id": str(i), "file_name": f"{i}.svs", "file_size": i, "cases": [{"project": {"project_id": "TCGA-A"}}] if i % 2 else []} for i in range(25)]
+    hits = [
+        {
+            "file_id": str(i), "file_name": f"{i}.svs", "file_size": i, "cases": [{"project": {"project_id": "TCGA-A"}}] if i % 2 else [],
+        } for i in range(25)
+    ]
     (tmp_path / "hits.json").write_text(json.dumps({"data": {"hits": hits}}))
     df = spark.read.format("file_hits").option("url", str(tmp_path / "hits.json")).option("size", 10).load()
     assert df.rdd.getNumPartitions() == 3 and df.count() == 25
@@ -61,7 +65,9 @@ def test_file_hits(spark, tmp_path):
 
 def test_udtf(spark):
     udtf.register(spark)
-    spark.createDataFrame([("a", 1024, 512), ("b", 10, 10), ("c", None, 5)], "path string, width int, height int").createOrReplaceTempView("udtf_slides")
+    spark.createDataFrame(
+        [("a", 1024, 512), ("b", 10, 10), ("c", None, 5)], "path string, width int, height int",
+    ).createOrReplaceTempView("udtf_slides")
     rows = spark.sql("SELECT path, x, y FROM udtf_slides s, LATERAL grid_cells(s.width, s.height, 256, 256)").collect()
     assert len(rows) == 8 and {r.path for r in rows} == {"a"}
 
@@ -100,6 +106,9 @@ def test_benchmark(spark):
 
 def test_demo_runs():
     root = Path(__file__).resolve().parents[1]
-    done = subprocess.run([sys.executable, "examples/demo.py"], cwd=root, env={**__import__("os").environ, "PYTHONPATH": str(root)}, capture_output=True, text=True, timeout=300)
+    done = subprocess.run(
+        [sys.executable, "examples/demo.py"], cwd=root, env={**__import__("os").environ, "PYTHONPATH": str(root)}, capture_output=True,
+        text=True, timeout=300,
+    )
     assert done.returncode == 0, done.stderr[-2000:]
     assert "(16, 3, 256, 256)" in done.stdout

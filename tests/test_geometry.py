@@ -5,7 +5,12 @@ from patchloom.operators import geometry, masks
 
 
 def test_levels(slides):
-    r = {x.path: x for x in slides.select("path", geometry.best_level(0.7).alias("b"), geometry.best_level(0.75).alias("tie"), geometry.coarsest_level(0.7).alias("c"), geometry.mpp_at(1).alias("m")).collect()}
+    r = {
+        x.path: x for x in slides.select(
+            "path", geometry.best_level(0.7).alias("b"), geometry.best_level(0.75).alias("tie"), geometry.coarsest_level(0.7).alias("c"),
+            geometry.mpp_at(1).alias("m"),
+        ).collect()
+    }
     a, b = r["memory://slide_0.svs"], r["memory://slide_1.svs"]
     assert (a.b, a.tie, a.c, a.m) == (1, 1, 1, 0.5)
     assert (b.b, b.c, b.m) == (0, 0, None)
@@ -36,7 +41,9 @@ def test_fraction_against_numpy(spark, slides):
 
     rng = np.random.default_rng(0)
     cells = (rng.random((7, 9)) < 0.5).astype(int)
-    m = spark.createDataFrame([("a", 9, 7, 10.0, cells.ravel().tolist())], "path string, mask_w int, mask_h int, downsample double, cells array<int>")
+    m = spark.createDataFrame(
+        [("a", 9, 7, 10.0, cells.ravel().tolist())], "path string, mask_w int, mask_h int, downsample double, cells array<int>",
+    )
     pts = [(int(x), int(y), int(s)) for x, y, s in zip(rng.integers(0, 120, 200), rng.integers(0, 120, 200), rng.integers(1, 60, 200))]
     c = spark.createDataFrame([("a", *p) for p in pts], "path string, x int, y int, footprint int")
     got = {(r.x, r.y, r.footprint): r.tissue_fraction for r in masks.fractions(c, m).collect()}
@@ -80,6 +87,8 @@ def test_otsu_threshold_matches_numpy(spark):
 
     rng = np.random.default_rng(3)
     gray = np.concatenate([rng.normal(60, 10, 300), rng.normal(180, 20, 500)]).clip(0, 255).astype(np.uint8)
-    df = spark.createDataFrame([(1, int(g)) for g in gray] + [(2, 7)], "img int, gray int").groupBy("img", "gray").agg(F.count("*").alias("n"))
+    df = spark.createDataFrame(
+        [(1, int(g)) for g in gray] + [(2, 7)], "img int, gray int",
+    ).groupBy("img", "gray").agg(F.count("*").alias("n"))
     got = {r.img: r.threshold for r in masks.otsu_threshold(df, ["img"]).collect()}
     assert got == {1: otsu(gray), 2: None}

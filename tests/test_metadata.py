@@ -31,7 +31,9 @@ def test_barcodes(spark):
 
 def test_hits(spark):
     ddl = "file_id string, file_name string, file_size long, md5sum string, state string, cases array<struct<project:struct<project_id:string>>>"
-    rows = [("1", "a.svs", 5, "m", "released", [(("TCGA-BRCA",),)]), ("2", "b.svs", None, None, None, []), ("3", "c.svs", 1, "x", "s", None)]
+    rows = [
+        ("1", "a.svs", 5, "m", "released", [(("TCGA-BRCA",),)]), ("2", "b.svs", None, None, None, []), ("3", "c.svs", 1, "x", "s", None),
+    ]
     got = {r.file_id: r.cancer_type for r in metadata.hits(spark.createDataFrame(rows, ddl)).collect()}
     assert got == {"1": "TCGA-BRCA", "2": "unknown", "3": "unknown"}
     tree = metadata.query_filter(["TCGA-BRCA"], "Diagnostic Slide")
@@ -39,7 +41,10 @@ def test_hits(spark):
 
 
 def manifest(spark):
-    rows = [("1", "a.svs", 1 << 30, "TCGA-A", "m", "released"), ("2", "b.svs", None, "TCGA-A", None, None), ("3", "c.svs", 1 << 29, None, "m", "error"), ("1", "a.svs", 1 << 30, "TCGA-A", "m", "submitted")]
+    rows = [
+        ("1", "a.svs", 1 << 30, "TCGA-A", "m", "released"), ("2", "b.svs", None, "TCGA-A", None, None),
+        ("3", "c.svs", 1 << 29, None, "m", "error"), ("1", "a.svs", 1 << 30, "TCGA-A", "m", "submitted"),
+    ]
     return spark.createDataFrame(rows, "file_id string, filename string, file_size long, cancer_type string, md5sum string, state string")
 
 

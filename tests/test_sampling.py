@@ -23,7 +23,9 @@ def test_no_tissue_gives_nothing(slides, full_masks):
 
 
 def test_target_mpp_picks_the_level(slides, full_masks):
-    r = sampling.random_coords(slides, full_masks, 3, target_mpp=1.0).filter("path like '%slide_0%'").select("level", "mpp").distinct().collect()
+    r = sampling.random_coords(
+        slides, full_masks, 3, target_mpp=1.0,
+    ).filter("path like '%slide_0%'").select("level", "mpp").distinct().collect()
     assert [tuple(x) for x in r] == [(2, 1.0)]
 
 
@@ -54,7 +56,9 @@ def test_race_follows_the_weights(spark):
     first = Counter(r.level for r in sampling.race(c, w, 1).filter("draw < 200").collect())
     assert first[0] > 3 * first[1]
     assert sampling.race(c, w, 1, 5).count() == 5
-    short = spark.createDataFrame([("s", lv, i, 0) for lv, k in ((0, 3), (1, 100)) for i in range(k)], "path string, level int, x int, y int")
+    short = spark.createDataFrame(
+        [("s", lv, i, 0) for lv, k in ((0, 3), (1, 100)) for i in range(k)], "path string, level int, x int, y int",
+    )
     got = Counter(r.level for r in sampling.race(short, w, 2).collect())
     assert got == {0: 3, 1: 100}
 

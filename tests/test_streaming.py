@@ -49,5 +49,7 @@ def test_coordinates_depend_on_the_draw_alone(spark):
 
 
 def test_live_metrics(spark):
-    stream = spark.readStream.format("rate").load().select(F.col("timestamp").alias("ts"), F.lit(1).alias("data_wait_ns"), F.lit(2).alias("wall_ns"), F.lit(3).alias("patches"))
+    stream = spark.readStream.format("rate").load().select(
+        F.col("timestamp").alias("ts"), F.lit(1).alias("data_wait_ns"), F.lit(2).alias("wall_ns"), F.lit(3).alias("patches"),
+    )
     assert P.live_metrics(stream).isStreaming
