@@ -32,7 +32,10 @@ def _handed(quota: Column, spare: Column, group: list[str], order: list[str]) ->
     return (part + F.when((quota > given) & (spare > part) & (seat <= quota - given), 1).otherwise(0)).cast("long")
 
 
-def allocate(available: DataFrame, targets: DataFrame, size: int, *, parent: str = "parent", leaf: str = "leaf", share: str = "share", least: str = "least") -> DataFrame:
+def allocate(
+    available: DataFrame, targets: DataFrame, size: int, *, parent: str = "parent", leaf: str = "leaf", share: str = "share",
+    least: str = "least",
+) -> DataFrame:
     """How many to draw of each leaf: ``parent, leaf, share, least, wanted, quota, n_available, n_taken, n_extra, short``.
 
     ``wanted`` is the larger of ``least`` and ``share * size``, ``quota`` the same as a
@@ -41,7 +44,10 @@ def allocate(available: DataFrame, targets: DataFrame, size: int, *, parent: str
     raise the total above ``size``.  ``short``: fewer are available than wanted.
     Targets are one small table; nulls in it count as a share or minimum of 0.
     """
-    t = targets.select(F.col(parent).alias("parent"), F.col(leaf).alias("leaf"), F.coalesce(F.col(share).cast("double"), F.lit(0.0)).alias("share"), F.coalesce(F.col(least).cast("long"), F.lit(0)).alias("least"))
+    t = targets.select(
+        F.col(parent).alias("parent"), F.col(leaf).alias("leaf"), F.coalesce(F.col(share).cast("double"), F.lit(0.0)).alias("share"),
+        F.coalesce(F.col(least).cast("long"), F.lit(0)).alias("least"),
+    )
     a = t.join(available.select("parent", "leaf", "n_available"), ["parent", "leaf"], "left").fillna(0, ["n_available"])
     a = a.withColumn("wanted", F.greatest(F.col("least").cast("double"), F.col("share") * F.lit(size)))
     a = a.withColumn("quota", F.greatest(F.col("least"), F.floor(F.col("share") * F.lit(size) + 0.5)).cast("long"))
@@ -49,11 +55,15 @@ def allocate(available: DataFrame, targets: DataFrame, size: int, *, parent: str
     branch = Window.partitionBy("parent")
     a = a.withColumn("lack", F.sum(F.col("quota") - F.col("own")).over(branch)).withColumn("spare", F.col("n_available") - F.col("own"))
     a = a.withColumn("sibling", _handed(F.col("lack"), F.col("spare"), ["parent"], ["leaf"]))
-    a = a.withColumn("lack", F.sum(F.col("quota") - F.col("own") - F.col("sibling")).over(Window.partitionBy())).withColumn("spare", F.col("spare") - F.col("sibling"))
+    a = a.withColumn(
+        "lack", F.sum(F.col("quota") - F.col("own") - F.col("sibling")).over(Window.partitionBy()),
+    ).withColumn("spare", F.col("spare") - F.col("sibling"))
     a = a.withColumn("cousin", _handed(F.col("lack"), F.col("spare"), [], ["parent", "leaf"]))
     return a.select(
         "parent", "leaf", "share", "least", "wanted", "quota", "n_available",
-        (F.col("own") + F.col("sibling") + F.col("cousin")).alias("n_taken"), (F.col("sibling") + F.col("cousin")).alias("n_extra"), (F.col("n_available") < F.col("wanted")).alias("short"),
+        (
+            F.col("own") + F.col("sibling") + F.col("cousin")
+        ).alias("n_taken"), (F.col("sibling") + F.col("cousin")).alias("n_extra"), (F.col("n_available") < F.col("wanted")).alias("short"),
     )
 
 
@@ -61,7 +71,9 @@ def draw(members: DataFrame, plan: DataFrame, *, id: str, seed: int = 0) -> Data
     """The members (``id, parent, leaf``) whose rank in a hashed order of their leaf is below ``n_taken``."""
     keyed = cut(members.select(id, "parent", "leaf", F.xxhash64(F.col(id), F.lit(seed)).alias("h"), F.lit(1).alias("one")))
     ranked = grouped_prefix_sum(keyed, ["parent", "leaf"], ["h", id], "one", before="rank")
-    return ranked.join(plan.select("parent", "leaf", "n_taken"), ["parent", "leaf"]).filter(F.col("rank") < F.col("n_taken")).select(id, "parent", "leaf", "rank")
+    return ranked.join(
+        plan.select("parent", "leaf", "n_taken"), ["parent", "leaf"],
+    ).filter(F.col("rank") < F.col("n_taken")).select(id, "parent", "leaf", "rank")
 
 
 class BalancedSample:
@@ -72,16 +84,23 @@ class BalancedSample:
     and items of no target are not drawn.  Null ids name no item.
     """
 
-    def __init__(self, items: DataFrame, targets: DataFrame, *, id: str, parent: str, leaf: str, share: str, least: str, size: int | None = None, fraction: float = 0.25, parent_key=key_of, leaf_key=key_of, seed: int = 0):
+    def __init__(
+        self, items: DataFrame, targets: DataFrame, *, id: str, parent: str, leaf: str, share: str, least: str, size: int | None = None,
+        fraction: float = 0.25, parent_key=key_of, leaf_key=key_of, seed: int = 0,
+    ):
         own = pick(items, _id=id, p=parent, l=leaf).filter(F.col("_id").isNotNull())
         one = own.groupBy("_id").agg(F.max(parent_key(F.col("p"))).alias("parent"), F.max(leaf_key(F.col("l"))).alias("leaf"))
         one = cut(one)
         self.size = int(one.count() * fraction) if size is None else size
         members = one.filter("parent is not null and leaf is not null")
         named = pick(targets, _p=parent, _l=leaf, share=share, least=least)
-        named = named.select(parent_key(F.col("_p")).alias("parent"), leaf_key(F.col("_l")).alias("leaf"), "_p", "_l", "share", "least").filter("parent is not null and leaf is not null")
+        named = named.select(
+            parent_key(F.col("_p")).alias("parent"), leaf_key(F.col("_l")).alias("leaf"), "_p", "_l", "share", "least",
+        ).filter("parent is not null and leaf is not null")
         # Of repeated targets the one with the largest share holds.
-        named = cut(named.groupBy("parent", "leaf").agg(F.max(F.struct("share", "least", "_p", "_l")).alias("t")).select("parent", "leaf", "t.*"))
+        named = cut(
+            named.groupBy("parent", "leaf").agg(F.max(F.struct("share", "least", "_p", "_l")).alias("t")).select("parent", "leaf", "t.*")
+        )
         available = members.groupBy("parent", "leaf").agg(F.count("*").alias("n_available"))
         plan = cut(allocate(available, named, self.size))
         names = named.select("parent", "leaf", "_p", "_l")
@@ -94,4 +113,6 @@ class BalancedSample:
         keys = self.plan.columns[:2]
         drawn = self.sample.groupBy(*keys).agg(F.count("*").alias("n_drawn"))
         all_ = F.sum("n_drawn").over(Window.partitionBy())
-        return self.plan.join(drawn, keys, "left").fillna(0, ["n_drawn"]).withColumn("actual_share", F.when(all_ > 0, F.col("n_drawn") / all_).otherwise(F.lit(0.0)))
+        return self.plan.join(drawn, keys, "left").fillna(0, ["n_drawn"]).withColumn(
+            "actual_share", F.when(all_ > 0, F.col("n_drawn") / all_).otherwise(F.lit(0.0)),
+        )

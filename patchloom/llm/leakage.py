@@ -29,7 +29,12 @@ from .rolling import CHUNK, Hasher
 FILTER_BITS = 1 << 23
 
 # Letters that no decomposition takes apart, and dashes.
-_LETTERS = str.maketrans({"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i", "ſ": "s", "\u00ad": None, "\u200b": None, "\u200c": None, "\u200d": None, "\u2060": None, "\ufeff": None, "\u2010": "-", "\u2011": "-"})
+_LETTERS = str.maketrans(
+    {
+        "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i", "ſ": "s", "\u00ad": None,
+        "\u200b": None, "\u200c": None, "\u200d": None, "\u2060": None, "\ufeff": None, "\u2010": "-", "\u2011": "-",
+    }
+)
 
 _ACCENT = re.compile(rb"\\+(?:[`'^\"~=.]\s*|[uvHtcdbrk](?=\{))\{?\\?([A-Za-z])\}?")
 _POINTER = re.compile(rb"\\+(?:cite[a-z]*|[a-z]*ref|label)\*?(?:\[[^\]\n]*\])*\{[^{}]*\}")
@@ -123,7 +128,10 @@ def _hits(run: int, bits: np.ndarray | None):
                     h, piece, at = h[keep], piece[keep], at[keep]
                 words = np.array([p.count(b" ") for p in held], np.int64) + np.array(bases)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(np.array(owners, np.int64)[piece])), pa.array(words[piece]), pa.array(at + np.array(bases, np.int64)[piece]), pa.array(h.view(np.int64))],
+                    [
+                        ids.take(pa.array(np.array(owners, np.int64)[piece])), pa.array(words[piece]),
+                        pa.array(at + np.array(bases, np.int64)[piece]), pa.array(h.view(np.int64)),
+                    ],
                     ["id", "n_words", "at", "h"],
                 )
 
@@ -132,13 +140,17 @@ def _hits(run: int, bits: np.ndarray | None):
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([plain(t.as_py() or "").count(b" ") for t in batch.column(1)], pa.int64())], ["item", "m"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([plain(t.as_py() or "").count(b" ") for t in batch.column(1)], pa.int64())], ["item", "m"],
+        )
 
 
 def _filter_bits(items: DataFrame) -> np.ndarray:
     """The filter of the shingles in ``items``: one row of 4 KB for each used bucket of bits, at most FILTER_BITS / 8 bytes in all."""
     low = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
-    rows = items.select(low.alias("bit")).distinct().groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("b"))
+    rows = items.select(low.alias("bit")).distinct().groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("b")
+    )
     size = FILTER_BITS // 8
     bits = np.zeros(size, np.uint8)
     for k, b in rows.toLocalIterator():
@@ -170,7 +182,11 @@ def find_leaks(
     wanted = pick(items, item=item_id, text=item_text).filter(F.col("item").isNotNull() & F.col("text").isNotNull()).distinct()
     kind, item_kind = texts.schema["id"].dataType.simpleString(), wanted.schema["item"].dataType.simpleString()
     rows = f"id {item_kind}, n_words long, at long, h long"
-    known = cut(wanted.mapInArrow(_hits(run, None), rows).select(F.col("id").alias("item"), F.col("n_words").alias("m"), F.col("at").alias("item_at"), "h"))
+    known = cut(
+        wanted.mapInArrow(_hits(run, None), rows).select(
+            F.col("id").alias("item"), F.col("n_words").alias("m"), F.col("at").alias("item_at"), "h",
+        )
+    )
     # An item spelled in several texts keeps the longest text's length.
     known = known.withColumn("m", F.max("m").over(Window.partitionBy("item")))
     bits = _filter_bits(known)
@@ -188,4 +204,7 @@ def find_leaks(
     found = known.join(pairs, "item").filter(F.col("n_words") >= need).join(hits.select("id", "h").distinct(), ["id", "h"])
     found = found.groupBy("id", "item", "m").agg(F.count_distinct("h").alias("k"), _covered(run).alias("words"))
     found = found.filter(F.col("k") >= least).filter(F.col("words") >= need)
-    return found.select(F.col("id").alias(id), F.col("item").alias(item_id), F.col("m").alias("n_words"), F.col("words").alias("words_found"), (F.col("words") / F.col("m")).alias("share"))
+    return found.select(
+        F.col("id").alias(id), F.col("item").alias(item_id), F.col("m").alias("n_words"), F.col("words").alias("words_found"),
+        (F.col("words") / F.col("m")).alias("share"),
+    )

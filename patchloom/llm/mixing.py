@@ -62,13 +62,28 @@ class Mix:
     null or negative weights and repeats count as 0.
     """
 
-    def __init__(self, docs: DataFrame, targets: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", weight: str = "target_weight", repeats: str = "max_repeats", total: int | None = None, vocabulary: str = VOCABULARY, seed: int = 0):
+    def __init__(
+        self, docs: DataFrame, targets: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source",
+        weight: str = "target_weight", repeats: str = "max_repeats", total: int | None = None, vocabulary: str = VOCABULARY, seed: int = 0,
+    ):
         rows = pick(docs, id=id, source=source, text=text).filter(F.col("id").isNotNull()).withColumn("source", source_key(F.col("source")))
         kind = rows.schema["id"].dataType.simpleString()
-        named = pick(targets, name=source, weight=weight, repeats=repeats).withColumn("source", source_key(F.col("name"))).filter("source is not null")
+        named = pick(
+            targets, name=source, weight=weight, repeats=repeats,
+        ).withColumn("source", source_key(F.col("name"))).filter("source is not null")
         # Of repeated names the one with the largest weight holds.
-        named = named.groupBy("source").agg(F.max(F.struct(F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("weight"), F.coalesce(F.col("repeats").cast("long"), F.lit(0)).alias("repeats"), "name")).alias("t"))
-        named = named.select("source", "t.name", F.greatest(F.col("t.weight"), F.lit(0.0)).alias("weight"), F.greatest(F.col("t.repeats"), F.lit(0)).alias("repeats"))
+        named = named.groupBy("source").agg(
+            F.max(
+                F.struct(
+                    F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("weight"),
+                    F.coalesce(F.col("repeats").cast("long"), F.lit(0)).alias("repeats"), "name",
+                )
+            ).alias("t")
+        )
+        named = named.select(
+            "source", "t.name", F.greatest(F.col("t.weight"), F.lit(0.0)).alias("weight"),
+            F.greatest(F.col("t.repeats"), F.lit(0)).alias("repeats"),
+        )
         named = cut(named)
         wanted = rows.join(named.select("source"), "source", "left_semi").select("id", "source", "text")
         self.sizes = cut(wanted.mapInArrow(_counts(vocabulary), f"id {kind}, source string, n long"))
@@ -76,16 +91,26 @@ class Mix:
         sums = have.agg(F.sum("tokens")).first()[0] or 0
         self.total = sums if total is None else total
         scale = named.agg(F.sum("weight")).first()[0] or 1.0
-        plan = named.join(have, "source", "left").fillna(0, ["tokens", "docs"]).withColumn("weight", F.col("weight") / F.lit(scale) if abs(scale - 1) > 1e-9 else F.col("weight"))
+        plan = named.join(have, "source", "left").fillna(0, ["tokens", "docs"]).withColumn(
+            "weight", F.col("weight") / F.lit(scale) if abs(scale - 1) > 1e-9 else F.col("weight"),
+        )
         plan = plan.withColumn("budget", F.col("weight") * F.lit(float(self.total)))
-        plan = plan.withColumn("reach", F.col("tokens") * F.col("repeats")).withColumn("goal", F.least(F.floor("budget"), F.col("reach")).cast("long"))
-        plan = plan.withColumn("passes", F.when(F.col("tokens") > 0, F.floor(F.col("goal") / F.col("tokens"))).otherwise(F.lit(0)).cast("long"))
+        plan = plan.withColumn("reach", F.col("tokens") * F.col("repeats")).withColumn(
+            "goal", F.least(F.floor("budget"), F.col("reach")).cast("long"),
+        )
+        plan = plan.withColumn(
+            "passes", F.when(F.col("tokens") > 0, F.floor(F.col("goal") / F.col("tokens"))).otherwise(F.lit(0)).cast("long"),
+        )
         self.plan = cut(plan.withColumn("rest", F.col("goal") - F.col("passes") * F.col("tokens")))
         keyed = cut(self.sizes.filter("n > 0").withColumn("h", F.xxhash64("id", F.lit(seed))))
         placed = grouped_prefix_sum(keyed, ["source"], ["h", "id", "n"], "n")
         used = placed.join(self.plan.select("source", "name", "passes", "rest"), "source")
         copies = (F.col("passes") + F.when(F.col("before") + F.col("n") <= F.col("rest"), 1).otherwise(0)).cast("long")
-        self.mix = cut(used.select(F.col("id").alias(id), F.col("name").alias(source), F.col("n").alias("n_tokens"), copies.alias("copies")).filter("copies > 0"))
+        self.mix = cut(
+            used.select(
+                F.col("id").alias(id), F.col("name").alias(source), F.col("n").alias("n_tokens"), copies.alias("copies"),
+            ).filter("copies > 0")
+        )
         self._source = source
 
     def report(self) -> DataFrame:
@@ -98,5 +123,7 @@ class Mix:
         short = F.col("budget") - F.col("reach")
         return self.plan.join(used, "name", "left").fillna(0, ["tokens_used"]).select(
             F.col("name").alias(self._source), F.col("weight").alias("target_weight"), F.col("repeats").alias("max_repeats"), "docs", "tokens", "budget", "tokens_used",
-            (F.col("tokens_used") / F.lit(full)).alias("actual_share"), F.greatest(short, F.lit(0.0)).alias("shortfall"), (F.col("reach").cast("double") < F.col("budget")).alias("cannot_fill"),
+            (F.col("tokens_used") / F.lit(full)).alias("actual_share"), F.greatest(short, F.lit(0.0)).alias("shortfall"), (
+                F.col("reach").cast("double") < F.col("budget")
+            ).alias("cannot_fill"),
         )

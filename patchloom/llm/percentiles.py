@@ -31,7 +31,9 @@ def summarise(df: DataFrame, group: list[str], value: str, *, weight: str | None
         v = F.round(v / F.lit(resolution)) * F.lit(resolution)
     n = F.sum("_n") if weight else F.count("*")
     # Adding 0.0 turns -0.0 into 0.0, which is one value in the order.
-    return df.filter(good).select(*group, (v + F.lit(0.0)).alias("value"), *(["_n"] if weight else [])).groupBy(*group, "value").agg(n.cast("long").alias("n"))
+    return df.filter(good).select(
+        *group, (v + F.lit(0.0)).alias("value"), *(["_n"] if weight else []),
+    ).groupBy(*group, "value").agg(n.cast("long").alias("n"))
 
 
 def combine(summaries: DataFrame, group: list[str]) -> DataFrame:
@@ -54,4 +56,6 @@ def percentiles(summary: DataFrame, group: list[str], at: list[float]) -> DataFr
         F.max(F.when(holds(upper), F.col("value"))).alias("upper"),
     )
     part = (F.col("n_values") - 1) * F.col("p")
-    return near.select(*group, "n_values", "p", (F.col("lower") + (F.col("upper") - F.col("lower")) * (part - F.floor(part))).alias("percentile"))
+    return near.select(
+        *group, "n_values", "p", (F.col("lower") + (F.col("upper") - F.col("lower")) * (part - F.floor(part))).alias("percentile"),
+    )

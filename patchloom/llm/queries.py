@@ -34,7 +34,9 @@ def fraction_summary(spark: SparkSession, d: str) -> DataFrame:
     """Valid tissue fractions, each draw once, by day of extraction, cancer type and mpp of two decimals."""
     p = _table(spark, d, "patches").select("slide_path", "draw", "tissue_fraction", "mpp", F.to_date("extracted_at").alias("day"))
     p = p.filter((F.col("tissue_fraction") >= 0) & (F.col("tissue_fraction") <= 1))
-    once = p.groupBy("slide_path", "draw").agg(F.max("tissue_fraction").alias("value"), F.max("mpp").alias("mpp"), F.min("day").alias("day"))
+    once = p.groupBy("slide_path", "draw").agg(
+        F.max("tissue_fraction").alias("value"), F.max("mpp").alias("mpp"), F.min("day").alias("day"),
+    )
     mpp = F.when(F.col("mpp") > 0, F.round("mpp", 2))
     part = once.groupBy("slide_path", "day", mpp.alias("mpp"), "value").agg(F.count("*").alias("n"))
     m = _table(spark, d, "slide_metadata").filter(F.col("slide_path").isNotNull())
@@ -59,7 +61,9 @@ def p2_days(spark: SparkSession, d: str) -> DataFrame:
 def slide_edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All slides; which patients each names; and the metadata."""
     m = _table(spark, d, "slide_metadata").filter(F.col("slide_path").isNotNull())
-    paths = m.select("slide_path").unionByName(_table(spark, d, "patches").select("slide_path").filter(F.col("slide_path").isNotNull())).distinct()
+    paths = m.select("slide_path").unionByName(
+        _table(spark, d, "patches").select("slide_path").filter(F.col("slide_path").isNotNull())
+    ).distinct()
     given = m.select("slide_path", F.explode(patients(F.col("patient_id"))).alias("patient"))
     opened = paths.select("slide_path", F.explode(patient_of_path(F.col("slide_path"))).alias("patient"))
     return paths, given.unionByName(opened).distinct(), m
@@ -83,7 +87,9 @@ def p3_split(spark: SparkSession, d: str) -> DataFrame:
     groups, m = slide_groups(spark, d)
     label = m.groupBy("slide_path").agg(F.max(project_key(F.col("cancer_type"))).alias("label"))
     records = groups.join(label, "slide_path", "left")
-    return grouped_split(records, "component", "label", {"train": 0.8, "validation": 0.1, "test": 0.1}, record="slide_path").select("slide_path", "split")
+    return grouped_split(
+        records, "component", "label", {"train": 0.8, "validation": 0.1, "test": 0.1}, record="slide_path",
+    ).select("slide_path", "split")
 
 
 def slide_sample(spark: SparkSession, d: str) -> BalancedSample:
@@ -130,7 +136,10 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p2_percentiles, p2_days, p3_found, p3_split, p4_found, p4_sample, p4_report, p5_found, p6_found, p6_mix, p7_found, p7_report]
+    found = [
+        p1_found, p2_percentiles, p2_days, p3_found, p3_split, p4_found, p4_sample, p4_report, p5_found, p6_found, p6_mix, p7_found,
+        p7_report,
+    ]
     return {"p1_best": best_patches} | {f.__name__: f for f in found}
 
 

@@ -77,7 +77,9 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def pieces(texts: Iterable[tuple[int, str | None]], need: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]]:
+def pieces(texts: Iterable[tuple[int, str | None]], need: int) -> Iterator[
+    tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]
+]:
     """Texts packed into chunks, long ones cut with an overlap of ``need - 1``.
 
     Yields the chunk's code points, and for each piece its place in the chunk,

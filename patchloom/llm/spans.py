@@ -59,7 +59,9 @@ def _first_level(need: int, width: int):
                 pos = np.flatnonzero(mark)
                 piece = np.searchsorted(place, pos, "right") - 1
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(owner[piece])), pa.array((pos - place[piece] + at[piece])), pa.array(hashes[pos].view(np.int64))], ["id", "pos", "h"]
+                    [
+                        ids.take(pa.array(owner[piece])), pa.array((pos - place[piece] + at[piece])), pa.array(hashes[pos].view(np.int64)),
+                    ], ["id", "pos", "h"]
                 )
 
     return run
@@ -87,7 +89,9 @@ def _next_level(need: int, width: int):
                 pos = np.flatnonzero(mark)
                 piece = np.searchsorted(place, pos, "right") - 1
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(owner[piece])), pa.array((pos - place[piece] + at[piece])), pa.array(hashes[pos].view(np.int64))], ["id", "pos", "h"]
+                    [
+                        ids.take(pa.array(owner[piece])), pa.array((pos - place[piece] + at[piece])), pa.array(hashes[pos].view(np.int64)),
+                    ], ["id", "pos", "h"]
                 )
 
     return run
@@ -117,7 +121,10 @@ def _runs(need: int, width: int):
                 digest = [_digest(held[k][a - place[k] : b - place[k] + need]) for k, a, b in zip(p, lo, hi, strict=True)]
                 shift = at[p] - place[p]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(owner[p])), pa.array(pos + shift), pa.array(hashes[pos].view(np.int64)), pa.array(pos - lo), pa.array(pos - hi), pa.array(digest, pa.binary())],
+                    [
+                        ids.take(pa.array(owner[p])), pa.array(pos + shift), pa.array(hashes[pos].view(np.int64)), pa.array(pos - lo),
+                        pa.array(pos - hi), pa.array(digest, pa.binary()),
+                    ],
                     ["id", "pos", "h", "left", "right", "digest"],
                 )
 
@@ -144,7 +151,9 @@ def _blocks(need: int, size: int):
                         rows.append((r["run"], k, near, far, _digest(core), _digest(text[p - far : p - near + need])))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["run", "k", "near", "far", "core", "whole"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["run", "k", "near", "far", "core", "whole"],
+            )
 
     return run
 
@@ -162,7 +171,10 @@ def _leaves(need: int):
                         names.append(b["block"])
                         distances.append(d)
                         digests.append(_digest(text[b["pos"] - d : b["pos"] - d + need]))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(distances, pa.int64()), pa.array(digests, pa.binary())], ["block", "distance", "digest"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.int64()), pa.array(distances, pa.int64()), pa.array(digests, pa.binary())],
+                ["block", "distance", "digest"],
+            )
 
     return run
 
@@ -209,31 +221,56 @@ class SharedSpans:
         self.min_length = need = min_length
         self.all = pick(df, id=id, text=text).filter(F.col("id").isNotNull())
         texts = self.all.filter(F.col("text").isNotNull())
-        place = T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("pos", T.LongType()), T.StructField("h", T.LongType())])
+        place = T.StructType(
+            [T.StructField("id", texts.schema["id"].dataType), T.StructField("pos", T.LongType()), T.StructField("h", T.LongType())]
+        )
         widths = [(need >> levels) << k for k in range(levels)]
         found = _repeated(cut(texts.mapInArrow(_first_level(need, widths[0]), place)))
         for width in widths[1:]:
             found = _repeated(cut(_again(texts, found).select("id", "text", "at").mapInArrow(_next_level(need, width), place)))
 
-        run = T.StructType([*place.fields, T.StructField("left", T.LongType()), T.StructField("right", T.LongType()), T.StructField("digest", T.BinaryType())])
+        run = T.StructType(
+            [
+                *place.fields, T.StructField("left", T.LongType()), T.StructField("right", T.LongType()),
+                T.StructField("digest", T.BinaryType()),
+            ]
+        )
         rows = cut(_again(texts, found).select("id", "text", "at").mapInArrow(_runs(need, widths[-1]), run))
         same = ["h", "left", "right", "digest"]
         runs = rows.groupBy(*same).agg(F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("last"))
-        self.runs = cut(runs.select(F.xxhash64(*same).alias("run"), "h", "left", "right", F.col("first.id").alias("rep"), F.col("first.pos").alias("pos"), (F.col("first.id") < F.col("last")).alias("shared")))
+        self.runs = cut(
+            runs.select(
+                F.xxhash64(*same).alias("run"), "h", "left", "right", F.col("first.id").alias("rep"), F.col("first.pos").alias("pos"),
+                (F.col("first.id") < F.col("last")).alias("shared"),
+            )
+        )
         self.members = rows.select(F.xxhash64(*same).alias("run"), "id", "pos", "left", "right")
 
         # Runs of one anchor that differ are compared in blocks; blocks whose core is nobody else's hold no shared window.
         differ = _two(self.runs, "h", "run")
-        listed = self.runs.join(differ, "h", "left_semi").groupBy(F.col("rep").alias("id")).agg(F.collect_list(F.struct("run", "pos", "left", "right")).alias("runs"))
+        listed = self.runs.join(differ, "h", "left_semi").groupBy(F.col("rep").alias("id")).agg(
+            F.collect_list(F.struct("run", "pos", "left", "right")).alias("runs")
+        )
         size = max(1, min(16, need // 8))
-        parts = cut(_again(texts, listed).select("text", "runs").mapInArrow(_blocks(need, size), "run long, k long, near long, far long, core binary, whole binary"))
-        parts = parts.join(self.runs.select("run", "h", "rep", "pos", "shared"), "run").withColumn("core", F.xxhash64("h", "k", "core")).withColumn("block", F.xxhash64("h", "near", "far", "whole"))
+        parts = cut(
+            _again(texts, listed).select("text", "runs").mapInArrow(
+                _blocks(need, size), "run long, k long, near long, far long, core binary, whole binary",
+            )
+        )
+        parts = parts.join(
+            self.runs.select("run", "h", "rep", "pos", "shared"), "run",
+        ).withColumn("core", F.xxhash64("h", "k", "core")).withColumn("block", F.xxhash64("h", "near", "far", "whole"))
         parts = cut(parts.join(_two(parts, "core", "run"), "core", "left_semi"))
-        blocks = parts.groupBy("block").agg(F.min(F.struct("rep", "pos", "near", "far", "core")).alias("f"), (F.max("shared") | (F.min("rep") < F.max("rep"))).alias("held"))
+        blocks = parts.groupBy("block").agg(
+            F.min(F.struct("rep", "pos", "near", "far", "core")).alias("f"),
+            (F.max("shared") | (F.min("rep") < F.max("rep"))).alias("held"),
+        )
         self.blocks = cut(blocks.select("block", "f.*", "held"))
         self.of_run = parts.select("run", "block", "near", "far")
 
-        listed = self.blocks.join(_two(self.blocks, "core", "block"), "core", "left_semi").groupBy(F.col("rep").alias("id")).agg(F.collect_list(F.struct("block", "pos", "near", "far")).alias("blocks"))
+        listed = self.blocks.join(_two(self.blocks, "core", "block"), "core", "left_semi").groupBy(F.col("rep").alias("id")).agg(
+            F.collect_list(F.struct("block", "pos", "near", "far")).alias("blocks")
+        )
         leaves = cut(_again(texts, listed).select("text", "blocks").mapInArrow(_leaves(need), "block long, distance long, digest binary"))
         self.windows = cut(leaves.join(_two(leaves, "digest", "block"), "digest", "left_semi"))
 
@@ -264,21 +301,31 @@ class SharedSpans:
         span = lambda far, near: (F.col("id"), (F.col("pos") - F.col(far)).alias("s"), (F.col("pos") - F.col(near) + need).alias("e"))
         spans = places.filter("shared").select(*span("left", "right"))
         # What is left are runs of one record each: their shared blocks, then their shared windows.
-        own = places.filter("not shared").select("run", "id", "pos").join(self.of_run, "run").join(self.blocks.select("block", "held"), "block")
+        own = places.filter("not shared").select("run", "id", "pos").join(self.of_run, "run").join(
+            self.blocks.select("block", "held"), "block",
+        )
         spans = spans.unionByName(own.filter("held").select(*span("far", "near")))
         of_block = self.windows.join(self.blocks.select("block", "rep", "held"), "block")
-        good = of_block.groupBy("digest").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.max("held").alias("m")).filter("m or a < b").select("digest")
+        good = of_block.groupBy("digest").agg(
+            F.min("rep").alias("a"), F.max("rep").alias("b"), F.max("held").alias("m"),
+        ).filter("m or a < b").select("digest")
         single = of_block.filter("not held").join(good, "digest", "left_semi").select("block", "distance")
-        spans = spans.unionByName(own.filter("not held").select("block", "id", "pos").join(single, "block").select(*span("distance", "distance"))).distinct()
+        spans = spans.unionByName(
+            own.filter("not held").select("block", "id", "pos").join(single, "block").select(*span("distance", "distance"))
+        ).distinct()
         order = Window.partitionBy("id").orderBy("s", "e")
-        spans = spans.withColumn("reach", F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("new", (F.col("reach").isNull() | (F.col("s") > F.col("reach"))).cast("int"))
+        spans = spans.withColumn("reach", F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn(
+            "new", (F.col("reach").isNull() | (F.col("s") > F.col("reach"))).cast("int"),
+        )
         spans = spans.withColumn("k", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         spans = spans.groupBy("id", "k").agg((F.max("e") - F.min("s")).alias("n"))
         spans = spans.groupBy("id").agg(F.sum("n").alias("shared_chars"), F.count("*").alias("n_spans"), F.max("n").alias("longest_span"))
         size = self.all.groupBy("id").agg(F.max(F.length("text")).cast("long").alias("n_chars"))
         zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
         share = F.when(F.col("n_chars") > 0, F.coalesce(F.col("shared_chars"), F.lit(0)) / F.col("n_chars")).otherwise(F.lit(0.0))
-        return size.join(spans, "id", "left").select("id", "n_chars", zero("shared_chars"), share.alias("shared_share"), zero("n_spans"), zero("longest_span"))
+        return size.join(spans, "id", "left").select(
+            "id", "n_chars", zero("shared_chars"), share.alias("shared_share"), zero("n_spans"), zero("longest_span"),
+        )
 
 
 def _two(rows: DataFrame, key: str, of: str) -> DataFrame:
@@ -288,6 +335,8 @@ def _two(rows: DataFrame, key: str, of: str) -> DataFrame:
 
 def _once(groups: DataFrame, of: str) -> DataFrame:
     """Of the groups (``key`` and distinct ``of``) with the same members one each; groups of one member none."""
-    sets = groups.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(of)).alias("x"), F.bit_xor(F.xxhash64(of, F.lit(1))).alias("y"))
+    sets = groups.groupBy("key").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64(of)).alias("x"), F.bit_xor(F.xxhash64(of, F.lit(1))).alias("y"),
+    )
     kept = sets.filter("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
     return groups.join(kept, "key", "left_semi")

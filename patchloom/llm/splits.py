@@ -71,7 +71,9 @@ def related(records: DataFrame, edges: DataFrame, record: str = "record", entity
     return all_.join(own.select("r", "component"), "r", "left").select(F.col("r").alias(record), "component")
 
 
-def grouped_split(records: DataFrame, component: str, label: str, parts: dict[str, float], *, record: str = "record", seed: int = 0) -> DataFrame:
+def grouped_split(
+    records: DataFrame, component: str, label: str, parts: dict[str, float], *, record: str = "record", seed: int = 0,
+) -> DataFrame:
     """``record, component, split``: records of one component always share a split.
 
     Components fall into strata by their commonest label (null is one; ties go to the
@@ -89,7 +91,9 @@ def grouped_split(records: DataFrame, component: str, label: str, parts: dict[st
     votes = rows.groupBy("k", "label").agg(F.count("*").alias("n"))
     # The largest count wins, then the smaller label.
     first = F.min(F.struct((-F.col("n")).alias("n"), F.col("label").isNull().alias("none"), F.col("label").alias("label")))
-    groups = votes.groupBy("k").agg(first.alias("f"), F.sum("n").alias("n")).select("k", F.col("f.label").alias("stratum"), "n", F.xxhash64("k", F.lit(seed)).alias("h"))
+    groups = votes.groupBy("k").agg(first.alias("f"), F.sum("n").alias("n")).select(
+        "k", F.col("f.label").alias("stratum"), "n", F.xxhash64("k", F.lit(seed)).alias("h"),
+    )
     placed = grouped_prefix_sum(cut(groups), ["stratum"], [F.desc("n"), "h", "k"], "n", total="total")
     middle = (F.col("before") + F.col("n") / 2) / F.col("total")
     whole, done, split = sum(parts.values()), 0.0, None

@@ -57,7 +57,9 @@ def top_n(df: DataFrame, group: str, score: str, id: str, n: int, *, low: float
     if bounds[0] is None:
         return _named(items.limit(0), names, group, score, id)
     # The first pass has the same midpoints for every group, so the items need not be joined to anything.
-    open_rows = items.select("*", *[F.lit(v).alias(k) for k, v in zip(("ls", "hs", "li", "hi"), bounds, strict=True)], F.lit(n).cast("long").alias("need"))
+    open_rows = items.select(
+        "*", *[F.lit(v).alias(k) for k, v in zip(("ls", "hs", "li", "hi"), bounds, strict=True)], F.lit(n).cast("long").alias("need"),
+    )
     chosen = []
     while True:
         by_score = F.col("hs") > F.col("ls")
@@ -72,7 +74,10 @@ def top_n(df: DataFrame, group: str, score: str, id: str, n: int, *, low: float
         down = Window.partitionBy("g").orderBy(F.desc("b"))
         counts = counts.withColumn("above", F.sum("k").over(down) - F.col("k")).filter(F.col("above") < F.col("need"))
         counts = counts.withColumn("last", F.row_number().over(Window.partitionBy("g").orderBy("b")) == 1)
-        edge = counts.filter("last").select("g", F.col("b").alias("at"), (F.col("need") - F.col("above")).alias("left"), "k", *[F.col(c).alias(f"n_{c}") for c in ("ls", "hs", "li", "hi")])
+        edge = counts.filter("last").select(
+            "g", F.col("b").alias("at"), (F.col("need") - F.col("above")).alias("left"), "k",
+            *[F.col(c).alias(f"n_{c}") for c in ("ls", "hs", "li", "hi")],
+        )
         # One row a group meets its items, in as many parts, so that no task gets a whole group.
         edge = edge.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
         parted = rows.drop("ls", "hs", "li", "hi", "need").withColumn("part", F.pmod(F.xxhash64("i"), F.lit(PARTS)).cast("int"))
@@ -84,7 +89,9 @@ def top_n(df: DataFrame, group: str, score: str, id: str, n: int, *, low: float
         rest = step.filter("not in")
         if rest.isEmpty():
             break
-        open_rows = rest.select("g", "id", "s", "i", *[F.col(f"n_{c}").alias(c) for c in ("ls", "hs", "li", "hi")], F.col("left").alias("need"))
+        open_rows = rest.select(
+            "g", "id", "s", "i", *[F.col(f"n_{c}").alias(c) for c in ("ls", "hs", "li", "hi")], F.col("left").alias("need"),
+        )
     result = chosen[0]
     for more in chosen[1:]:
         result = result.unionByName(more)

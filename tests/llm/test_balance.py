@@ -5,7 +5,10 @@ from patchloom.llm.balance import BalancedSample, allocate, key_of, project_key
 
 
 def sample(items, targets, **kw):
-    return BalancedSample(items, targets, id="id", parent="c", leaf="s", share="share", least="least", **{"parent_key": project_key, "leaf_key": key_of, **kw})
+    return BalancedSample(
+        items, targets, id="id", parent="c", leaf="s", share="share", least="least",
+        **{"parent_key": project_key, "leaf_key": key_of, **kw},
+    )
 
 
 def test_keys(spark):
@@ -17,17 +20,28 @@ def items(spark):
     rows = [(f"a{i}", "TCGA-A", "Primary Tumor") for i in range(50)]
     rows += [(f"b{i}", "tcga_a", "primary_tumor" if i % 2 else "Normal") for i in range(20)]
     rows += [(f"c{i}", "B", " NORMAL ") for i in range(30)]
-    rows += [("a0", None, None), ("a1", "a", "primary  tumor"), ("d", "TCGA-A", None), (None, "TCGA-A", "Normal"), ("e", "TCGA-Z", "Normal")]
-    return spark.createDataFrame(rows, "id string, c string, s string").select("*", F.lit("x").alias("C")).select("*", F.lit("y").alias("parent"))
+    rows += [
+        ("a0", None, None), ("a1", "a", "primary  tumor"), ("d", "TCGA-A", None), (None, "TCGA-A", "Normal"), ("e", "TCGA-Z", "Normal"),
+    ]
+    return spark.createDataFrame(
+        rows, "id string, c string, s string",
+    ).select("*", F.lit("x").alias("C")).select("*", F.lit("y").alias("parent"))
 
 
 def test_siblings_then_cousins(spark):
-    t = spark.createDataFrame([("TCGA-A", "Primary Tumor", 0.5, 0), ("TCGA-A", "Normal", 0.3, 0), ("TCGA-B", "Normal", 0.1, 0), ("TCGA-W", "Normal", 0.1, 2)], "c string, s string, share double, least int")
+    t = spark.createDataFrame(
+        [("TCGA-A", "Primary Tumor", 0.5, 0), ("TCGA-A", "Normal", 0.3, 0), ("TCGA-B", "Normal", 0.1, 0), ("TCGA-W", "Normal", 0.1, 2)],
+        "c string, s string, share double, least int",
+    )
     b = sample(items(spark), t, size=60)
     got = {(r.c, r.s): r for r in b.report().collect()}
-    assert {k: r.n_available for k, r in got.items()} == {("TCGA-A", "Primary Tumor"): 60, ("TCGA-A", "Normal"): 10, ("TCGA-B", "Normal"): 30, ("TCGA-W", "Normal"): 0}
+    assert {k: r.n_available for k, r in got.items()} == {
+        ("TCGA-A", "Primary Tumor"): 60, ("TCGA-A", "Normal"): 10, ("TCGA-B", "Normal"): 30, ("TCGA-W", "Normal"): 0,
+    }
     # 18 normals wanted, 10 there: 8 more primaries; W's 6 go to both that have any left.
-    assert {k: r.short for k, r in got.items()} == {("TCGA-A", "Primary Tumor"): False, ("TCGA-A", "Normal"): True, ("TCGA-B", "Normal"): False, ("TCGA-W", "Normal"): True}
+    assert {k: r.short for k, r in got.items()} == {
+        ("TCGA-A", "Primary Tumor"): False, ("TCGA-A", "Normal"): True, ("TCGA-B", "Normal"): False, ("TCGA-W", "Normal"): True,
+    }
     assert sum(r.n_drawn for r in got.values()) == 60 and all(r.n_drawn == r.n_taken <= r.n_available for r in got.values())
     assert got["TCGA-A", "Primary Tumor"].n_taken >= 38 and got["TCGA-B", "Normal"].n_taken >= 6
     drawn = [r.id for r in b.sample.collect()]
@@ -54,7 +68,9 @@ def test_nothing(spark):
 @pytest.mark.parametrize("lack", [0, 5, 40])
 def test_allocation_never_takes_more_than_there_is(spark, lack):
     t = spark.createDataFrame([("p", str(i), 0.25, 0) for i in range(4)], "parent string, leaf string, share double, least int")
-    a = spark.createDataFrame([("p", str(i), max(0, 25 - lack if i == 0 else 25 + 7 * i)) for i in range(4)], "parent string, leaf string, n_available long")
+    a = spark.createDataFrame(
+        [("p", str(i), max(0, 25 - lack if i == 0 else 25 + 7 * i)) for i in range(4)], "parent string, leaf string, n_available long",
+    )
     rows = allocate(a, t, 100).collect()
     assert all(r.n_taken <= r.n_available for r in rows)
     assert sum(r.n_taken for r in rows) == min(100, sum(r.n_available for r in rows))

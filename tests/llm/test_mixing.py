@@ -9,14 +9,26 @@ pytestmark = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocab
 
 
 def docs(spark):
-    rows = [(i, f"word number {i} and some more text " * (1 + i % 4), ["big", " BIG ", "b-i g"][i % 3] if False else ["big_one", " Big One ", "BIG-ONE"][i % 3]) for i in range(300)]
+    rows = [
+        (
+            i, f"word number {i} and some more text " * (1 + i % 4),
+            ["big", " BIG ", "b-i g"][i % 3] if False else ["big_one", " Big One ", "BIG-ONE"][i % 3],
+        ) for i in range(300)
+    ]
     rows += [(1000 + i, "tiny text here", "small") for i in range(5)]
-    rows += [(2000, None, "big_one"), (2001, "", "big_one"), (2002, "unnamed", "other"), (2003, "nobody", None), (None, "no id", "small"), (1000, "tiny text here", "small")]
-    return spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", F.lit("x").alias("Text")).select("*", F.lit(1).alias("n"))
+    rows += [
+        (2000, None, "big_one"), (2001, "", "big_one"), (2002, "unnamed", "other"), (2003, "nobody", None), (None, "no id", "small"),
+        (1000, "tiny text here", "small"),
+    ]
+    return spark.createDataFrame(
+        rows, "doc_id long, text string, source string",
+    ).select("*", F.lit("x").alias("Text")).select("*", F.lit(1).alias("n"))
 
 
 def targets(spark):
-    return spark.createDataFrame([("big_one", 0.7, 1), ("small", 0.2, 3), ("absent", 0.1, 2)], "source string, target_weight double, max_repeats int")
+    return spark.createDataFrame(
+        [("big_one", 0.7, 1), ("small", 0.2, 3), ("absent", 0.1, 2)], "source string, target_weight double, max_repeats int",
+    )
 
 
 def test_source_key(spark):

@@ -57,7 +57,9 @@ def test_resolution_bounds_the_error(spark):
 
 
 def test_weights_signs_and_empty(spark):
-    df = spark.createDataFrame([("a", 1.0, 3), ("a", 5.0, 1), ("a", -0.0, 1), ("a", 0.0, 1)], "g string, v double, w int").select("*", F.lit("x").alias("V"))
+    df = spark.createDataFrame(
+        [("a", 1.0, 3), ("a", 5.0, 1), ("a", -0.0, 1), ("a", 0.0, 1)], "g string, v double, w int",
+    ).select("*", F.lit("x").alias("V"))
     s = summarise(df, ["g"], "v", weight="w")
     assert s.filter("value = 0").collect()[0].n == 2 and s.count() == 3
     check(percentiles(s, ["g"], [0.5]), {("a", 0.5): (6, 1.0)})

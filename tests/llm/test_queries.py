@@ -32,6 +32,9 @@ def test_against_sql(spark, name):
 
 
 def test_columns_of_the_found_queries(spark):
-    want = {"p1": ["slide_path", "draw"], "p3": ["anchor_path", "slide_path"], "p4": ["cancer_type", "sample_type"], "p5": ["doc_id", "item_id"], "p6": ["source"], "p7": ["doc_a", "doc_b"]}
+    want = {
+        "p1": ["slide_path", "draw"], "p3": ["anchor_path", "slide_path"], "p4": ["cancer_type", "sample_type"],
+        "p5": ["doc_id", "item_id"], "p6": ["source"], "p7": ["doc_a", "doc_b"],
+    }
     for p, c in want.items():
         assert llm.queries()[f"{p}_found"](spark, FOLDER).columns == c

@@ -81,7 +81,10 @@ def test_very_long_text(spark, monkeypatch):
     rnd = random.Random(3)
     base = "".join(rnd.choice("abcdefghij") for _ in range(1_300_000))
     at = rolling.CHUNK // 2 - 150
-    df = spark.createDataFrame([(1, base), (2, "q" * 500 + base[at : at + 400] + "r" * 500), (3, base[-450:] + "s"), (4, base[at : at + 399])], "doc_id long, text string")
+    df = spark.createDataFrame(
+        [(1, base), (2, "q" * 500 + base[at : at + 400] + "r" * 500), (3, base[-450:] + "s"), (4, base[at : at + 399])],
+        "doc_id long, text string",
+    )
     s = SharedSpans(df)
     assert {tuple(r) for r in s.pairs().collect()} == {(1, 2), (1, 3)}
     assert {r.id: r.shared_chars for r in s.report().collect()} == {1: 850, 2: 400, 3: 450, 4: 0}

@@ -85,7 +85,9 @@ def test_long_chain_star_and_nothing(spark):
     n = 150
     chain = [(f"r{i}", f"e{j:04d}") for i in range(n) for j in (i, i + 1)]
     star = [(f"s{i}", e) for i in range(n) for e in ("hub", f"leaf{i}")]
-    df = spark.createDataFrame(chain + star, "record string, entity string").select("*", F.lit(1).alias("Record")).select("*", F.lit(2).alias("l"))
+    df = spark.createDataFrame(
+        chain + star, "record string, entity string",
+    ).select("*", F.lit(1).alias("Record")).select("*", F.lit(2).alias("l"))
     got = {r.entity: r.component for r in components(df).collect()}
     assert {v for k, v in got.items() if k[0] == "e"} == {"e0000"} and {v for k, v in got.items() if k[0] != "e"} == {"hub"}
     assert components(df.limit(0)).isEmpty()

@@ -13,7 +13,9 @@ def brute(rows, n, low=None, high=None):
             continue
         d = groups.setdefault(g, {})
         d[i] = max(d.get(i, s), s)
-    return sorted((g, i, s, k + 1) for g, d in groups.items() for k, (i, s) in enumerate(sorted(d.items(), key=lambda x: (-x[1], x[0]))[:n]))
+    return sorted(
+        (g, i, s, k + 1) for g, d in groups.items() for k, (i, s) in enumerate(sorted(d.items(), key=lambda x: (-x[1], x[0]))[:n])
+    )
 
 
 def rows_of(df):
@@ -45,7 +47,9 @@ def test_all_scores_tie_and_identifiers_are_extreme(spark):
 
 def test_text_identifiers_extra_columns_and_empty(spark):
     rows = [("g", 0.5, "b"), ("g", 0.5, "a"), ("g", 0.1, "c")]
-    df = spark.createDataFrame(rows, "g string, s double, i string").select("*", F.lit(1).alias("b")).select("*", F.lit(1).alias("need")).select("*", F.lit(1).alias("k")).select("*", F.lit(9).alias("G"))
+    df = spark.createDataFrame(
+        rows, "g string, s double, i string",
+    ).select("*", F.lit(1).alias("b")).select("*", F.lit(1).alias("need")).select("*", F.lit(1).alias("k")).select("*", F.lit(9).alias("G"))
     assert rows_of(top_n(df, "g", "s", "i", 2)) == [("g", "a", 0.5, 1), ("g", "b", 0.5, 2)]
     empty = top_n(df.limit(0), "g", "s", "i", 2)
     assert empty.isEmpty() and empty.columns == ["g", "i", "s", "rank"]
