@@ -25,8 +25,9 @@ from ..columns import pick
 from ..materialize import cut
 from .rolling import CHUNK, Hasher
 
-#: Bits of the filter that keeps other shingles out of the shuffle; it is broadcast, of this size however many items there are.
-FILTER_BITS = 1 << 23
+#: Most bits of the filter that keeps other shingles out of the shuffle; it is broadcast, so this (64 MB) bounds its size.
+#: With more shingles than it can tell apart it lets more rows through; the join that follows is exact.
+FILTER_BITS = 1 << 29
 
 # Letters that no decomposition takes apart, and dashes.
 _LETTERS = str.maketrans(
@@ -123,7 +124,7 @@ def _hits(run: int, bits: np.ndarray | None):
             for owners, bases, held in _chunks(batch.column(1), run):
                 h, piece, at = _shingles(held, run)
                 if bits is not None:
-                    slot = (h & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+                    slot = (h & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
                     keep = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
                     h, piece, at = h[keep], piece[keep], at[keep]
                 words = np.array([p.count(b" ") for p in held], np.int64) + np.array(bases)
@@ -146,14 +147,12 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _filter_bits(items: DataFrame) -> np.ndarray:
-    """The filter of the shingles in ``items``: one row of 4 KB for each used bucket of bits, at most FILTER_BITS / 8 bytes in all."""
-    low = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
-    rows = items.select(low.alias("bit")).distinct().groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("b")
-    )
-    size = FILTER_BITS // 8
-    bits = np.zeros(size, np.uint8)
-    for k, b in rows.toLocalIterator():
+    """The filter of the shingles in ``items``, some 16 bits for each, in rows of 4 KB for each used bucket of bits."""
+    size = 1 << min(FILTER_BITS.bit_length() - 1, max(18, (16 * items.count()).bit_length()))
+    low = F.col("h").bitwiseAND(F.lit(size - 1)) + 1
+    rows = items.select(low.alias("bit")).distinct().groupBy(F.bitmap_bucket_number("bit").alias("k"))
+    bits = np.zeros(size // 8, np.uint8)
+    for k, b in rows.agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("b")).toLocalIterator():
         # Bucket k holds the values from (k - 1) * 32768 + 1 on.
         bits[(k - 1) * 4096 : (k - 1) * 4096 + 4096] = np.frombuffer(b, np.uint8)
     return bits
