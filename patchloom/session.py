@@ -15,6 +15,9 @@ def reachable(spark: SparkSession) -> SparkSession:
     have = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in have:
         env["PYTHONPATH"] = os.pathsep.join([root, *have])
+    # Spark runs a worker for each core; libraries inside must not start threads of their own.
+    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
+        env.setdefault(name, "1")
     return spark
 
 
