@@ -121,3 +121,55 @@ def test_split_keeps_groups_and_shares(spark):
     assert grouped_split(df.limit(0), "component", "label", parts).isEmpty()
     with pytest.raises(ValueError):
         grouped_split(df, "component", "label", {"train": 0.0})
+
+
+PARTS = {"train": 0.8, "validation": 0.1, "test": 0.1}
+
+
+def counts(spark, rows, parts=PARTS):
+    """Records of each label in each split; no component is divided."""
+    df = spark.createDataFrame(rows, "record string, component string, label string")
+    got = {r.record: r.split for r in grouped_split(df, "component", "label", parts).collect()}
+    assert len(got) == len(rows)
+    by = defaultdict(set)
+    for rec, c, _ in rows:
+        by[c].add(got[rec])
+    assert all(len(s) == 1 for s in by.values())
+    n = defaultdict(Counter)
+    for rec, _, lab in rows:
+        n[lab][got[rec]] += 1
+    return n
+
+
+def mixed(n=300):
+    """Components of a common label and one record of a second one, which is the commonest nowhere."""
+    rnd, rows = random.Random(2), []
+    for g in range(n):
+        more = [rnd.choice(["x", "y", None])] if g % 3 == 0 else []
+        labels = [rnd.choice("ab")] * rnd.choice([2, 2, 3, 4]) + more
+        rows += [(f"s{g}_{i}", f"c{g:03d}", lab) for i, lab in enumerate(labels)]
+    return rows
+
+
+@pytest.mark.parametrize("greedy", [100_000, 3, 0])
+def test_split_balances_every_label_of_a_component(spark, monkeypatch, greedy):
+    from patchloom.llm import splits
+
+    monkeypatch.setattr(splits, "GREEDY", greedy)
+    n = counts(spark, mixed())
+    for lab in ("a", "b", "x", "y", None):
+        for name, share in PARTS.items():
+            assert abs(n[lab][name] - share * sum(n[lab].values())) <= (2.5 if greedy > 3 else 12), (lab, n[lab])
+
+
+def test_split_balances_across_rare_labels(spark):
+    rows = [(f"s{lab}_{i}", f"c{lab}_{i}", f"l{lab}") for lab in range(20) for i in range(5)]
+    n = counts(spark, rows)
+    total = sum(n.values(), Counter())
+    assert total == {"train": 80, "validation": 10, "test": 10}
+    assert all(c["train"] == 4 for c in n.values())
+
+
+def test_split_without_a_share_stays_empty(spark):
+    n = counts(spark, mixed(30), {"none": 0.0, "train": 3.0, "test": 1.0})
+    assert not any(c["none"] for c in n.values()) and all(c["train"] for c in n.values())
