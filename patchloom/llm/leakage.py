@@ -3,11 +3,13 @@
 Both sides are reduced to lower-case words (:func:`plain`).  A document holds an
 item if runs of ``run`` or more words that stand there cover ``share`` of the
 item's words.  A run of ``run`` words is one shingle and covers ``run`` words, so
-a document that holds ``need`` words has at least ``ceil(need / run)`` of the
-item's shingles; hence it has one of the ``n - ceil(need / run) + 1`` rarest of
-the item's ``n`` shingles, its prefix.  Only documents that hold a shingle of the
-prefix are candidates; they must then be long enough, have enough of the item's
-shingles, and cover enough of its words, counted exactly over the item.
+a document that holds ``need`` words has the shingles of at least
+``ceil(need / run)`` places of the item; a shingle that the item repeats has
+several places.  The most frequent shingles, as long as they have fewer places
+together, are not enough; the rest is the item's prefix.  Only documents that
+hold a shingle of the prefix are candidates; they must then have the shingles of
+enough places and cover enough of the item's words, counted exactly over the item.
+The length of a document says nothing: its words may serve many places.
 """
 
 from __future__ import annotations
@@ -193,15 +195,16 @@ def find_leaks(
 
     # Rarity over the whole corpus: documents that hold the shingle.
     rarity = hits.select("id", "h").distinct().groupBy("h").agg(F.count("*").alias("df"))
-    of_item = known.groupBy("item", "m", "h").agg(F.min("item_at").alias("first")).join(rarity, "h", "left").fillna(0, ["df"])
+    of_item = known.groupBy("item", "m", "h").agg(F.count_distinct("item_at").alias("places")).join(rarity, "h", "left").fillna(0, ["df"])
     need = F.ceil(F.col("m") * F.lit(float(share)) - F.lit(1e-9))
     least = F.ceil(need / F.lit(float(run)))
-    order = Window.partitionBy("item").orderBy("df", "h")
-    ranked = of_item.withColumn("r", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("item")))
-    prefix = cut(ranked.filter(F.col("r") <= F.col("n") - least + 1).filter("df > 0").select("item", "h"))
-    pairs = hits.select("id", "h", "n_words").join(prefix, "h").groupBy("id", "item").agg(F.max("n_words").alias("n_words"))
-    found = known.join(pairs, "item").filter(F.col("n_words") >= need).join(hits.select("id", "h").distinct(), ["id", "h"])
-    found = found.groupBy("id", "item", "m").agg(F.count_distinct("h").alias("k"), _covered(run).alias("words"))
+    # Places of the shingle and of all more frequent ones.
+    order = Window.partitionBy("item").orderBy(F.desc("df"), F.desc("h")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = of_item.withColumn("k", F.sum("places").over(order))
+    prefix = cut(ranked.filter(F.col("k") >= least).filter("df > 0").select("item", "h"))
+    pairs = hits.select("id", "h").join(prefix, "h").select("id", "item").distinct()
+    found = known.join(pairs, "item").join(hits.select("id", "h").distinct(), ["id", "h"])
+    found = found.groupBy("id", "item", "m").agg(F.count_distinct("item_at").alias("k"), _covered(run).alias("words"))
     found = found.filter(F.col("k") >= least).filter(F.col("words") >= need)
     return found.select(
         F.col("id").alias(id), F.col("item").alias(item_id), F.col("m").alias("n_words"), F.col("words").alias("words_found"),

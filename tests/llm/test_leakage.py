@@ -80,6 +80,22 @@ def test_against_brute_force(spark, seed, share, run):
     assert {(r.doc_id, r.item_id) for r in got} == brute(docs, items, run, share) and len(got) == len({(r.doc_id, r.item_id) for r in got})
 
 
+@pytest.mark.parametrize(("share", "run"), [(0.5, 5), (1.0, 5), (0.3, 3)])
+def test_items_that_repeat_their_words(spark, share, run):
+    refrain = "one two three four five six seven "
+    items = [
+        (1, "x " * 60), (2, "0 1 " * 30), (3, refrain * 12), (4, "x " * 30 + " ".join(f"w{i}" for i in range(30))),
+        (5, " ".join(f"v{i}" for i in range(20)) + " " + refrain * 3), (6, "a b c d e z b c d e f"),
+    ]
+    docs = [
+        *((i, "before " + t + " after") for i, t in items), (10, "x x x x x"), (11, "x x x x"), (12, refrain), (13, refrain * 2), (14, "0 1 0 1 0 1"),
+        (15, " ".join(f"w{i}" for i in range(14))), (16, " ".join(f"w{i}" for i in range(30))), (17, "a b c d e f"), (18, "0 0 0 0 0 0"),
+    ]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items, run, share)
+    assert {(r.doc_id, r.item_id) for r in find_leaks(d, i, run=run, share=share).collect()} == want and {(j, j) for j, _ in items} <= want
+
+
 def test_very_long_text(spark, monkeypatch):
     docs, items = case(5)
     long = " ".join(f"filler{i % 977}" for i in range(400_000)) + " " + items[1][1] + " " + " ".join(f"end{i % 13}" for i in range(5000))
