@@ -29,6 +29,32 @@ def test_failed_opens_become_errors(slides, full_masks):
     assert len(e) == 3 and all("cannot open" in r.error for r in e)
 
 
+def half(torn=2048, **options):
+    class Half(Synthetic):
+        """Stained left of x = 2048 and gray right of it; from ``torn`` down it can't be read."""
+
+        def read(self, x, y, level, width, height):
+            if y >= torn:
+                raise OSError("torn")
+            return np.full((height, width, 3), (180, 110, 190) if x < 2048 else 128, np.uint8)
+
+    return lambda: Half(**options)
+
+
+def test_stats_count_what_is_yielded(slides, full_masks):
+    p = Pipeline(slides, full_masks, seed=1, epochs=2).grid(512).read(half(fail="slide_1")).filter(images.HsvFilter())
+    n = {r.key: r.value for r in p.stats().collect()}
+    # In each of 2 epochs slide_0 has 64 patches, 32 of them torn and 16 gray; tiny has none, and slide_1 does not open.
+    assert n["patches"] == n["mpp_0.25"] == p.patches().count() == 32 and "mpp_unknown" not in n
+    assert n["patches_filtered"] == 32 and n["slides_failed"] == 2 and n["error_count"] == 2 + 64
+    assert n["slides_opened"] == 4 and n["slides_seen"] == 2
+    p = Pipeline(slides.filter("path like '%slide_0%'"), full_masks).grid(1024).read(half(torn=0))
+    n = {r.key: r.value for r in p.stats().collect()}
+    assert (n["patches"], n["slides_opened"], n["slides_failed"], n["error_count"]) == (0, 1, 1, 16)
+    with pytest.raises(ValueError):
+        Pipeline(slides, full_masks).grid(512).stats()
+
+
 def test_filter_and_transform_in_one_pass(slides, full_masks):
     p = small(slides, full_masks).transform(images.Resize(32), images.Normalize((0.5,) * 3, (0.5,) * 3))
     r = p.patches().first()
