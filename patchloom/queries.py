@@ -694,16 +694,16 @@ def chw_collate(spark, d):
 
 @query()
 def synthetic_patches(spark, d):
-    """Grid patches read through the synthetic reader, filtered and transformed in one pass; pixels have no SQL."""
+    """Patches of 256 px, 100 of each slide, read, filtered and transformed in one pass; pixels have no SQL.
+
+    A row for each patch that passes the filter, with a hash of all its pixels.
+    """
     from .plans.pipeline import Pipeline
-    from .sources.readers import Synthetic
+    from .sources.readers import Stained
 
     s = slides(spark, d)
-    p = Pipeline(s, masks(s), seed=1).grid(8192, shuffle=True).schedule(per_slide=2).read(Synthetic)
-    c = p.coordinates().withColumn("patch_size", F.lit(64))
-    from .sources.slides import patches
-
-    read = images.apply(patches(c, Synthetic).filter("error is null").drop("error"), [images.FlipRotate(), images.HedJitter()], seed=1)
-    return read.select("path", "draw", F.length("image.data").alias("n_bytes"), F.col("image.dtype").alias("dtype"))
-
-
+    p = Pipeline(s, masks(s), seed=1).grid(256, shuffle=True).schedule(per_slide=100).read(Stained).filter(images.HsvFilter())
+    return p.transform(images.FlipRotate(), images.HedJitter()).patches().select(
+        "path", "draw", "x", "y", "level", "patch_size", "mpp", "tissue_fraction", F.length("image.data").alias("n_bytes"),
+        F.col("image.dtype").alias("dtype"), F.xxhash64("image.data").alias("pixels"),
+    )

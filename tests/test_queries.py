@@ -33,6 +33,20 @@ def test_against_sql(spark, name):
     assert rows(df.columns, got) == rows(want.columns, want.fetchall())
 
 
+def test_synthetic_patches(spark):
+    from patchloom.catalog import slides
+
+    got = core.queries()["synthetic_patches"](spark, FOLDER).collect()
+    most = 100 * slides(spark, FOLDER).count()
+    n = {r.path: 0 for r in got}
+    for r in got:
+        n[r.path] += 1
+    # More than the two of each slide there once were, and the filter rejects some.
+    assert 2 < max(n.values()) <= 100 and most / 4 < len(got) < most
+    assert {(r.n_bytes, r.dtype, r.patch_size) for r in got} == {(256 * 256 * 3, "uint8", 256)}
+    assert all(0 <= r.draw < 100 for r in got) and len({r.pixels for r in got}) > len(got) / 2
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns and not entry.entry(spark).isEmpty()
     assert set(entry.oracle_sql()) <= set(entry.queries())
