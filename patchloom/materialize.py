@@ -2,8 +2,9 @@
 
 Long plans and driver loops write their intermediate tables as Parquet below
 ``spark.checkpoint.dir`` and read them again.  The files outlive executors, so
-a lost executor costs a re-read and not the whole lineage.  Only where the
-session names no such folder (a local session, tests) is one made.
+a lost executor costs a re-read and not the whole lineage.  Only a local session
+(tests) that names no such folder gets one; on a cluster, whose executors would each
+write to a disk of their own, that is an error.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,10 +22,13 @@ _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one if it is unset."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one if it is unset in a local session."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="patchloom-"))
     return _own[0]
@@ -47,6 +52,19 @@ def drop(*frames: DataFrame) -> None:
             _written.remove((spark, path))
 
 
+@contextmanager
+def scratch():
+    """Tables made by :func:`cut` inside the block are deleted at its end: run what reads them inside."""
+    have = len(_written)
+    try:
+        yield
+    finally:
+        made = _written[have:]
+        del _written[have:]
+        for spark, path in made:
+            _delete(spark, path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)

@@ -2,9 +2,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from patchloom import skew
 from patchloom.columns import pick
 from patchloom.functions import pixels, rng
-from patchloom.materialize import cut, drop, shared_folder
+from patchloom.materialize import cut, drop, scratch, shared_folder
 from patchloom.ranking import grouped_prefix_sum
 
 
@@ -38,6 +39,48 @@ def test_cut_keeps_rows_outside_the_lineage(spark):
     drop(df)
     with pytest.raises(Exception):
         df.collect()
+    with scratch():
+        inside = cut(spark.range(3))
+        assert inside.count() == 3
+    with pytest.raises(Exception):
+        inside.collect()
+
+
+def test_no_folder_of_its_own_on_a_cluster(spark):
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = spark.conf, Context
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session)
+
+
+def test_hot_keys_are_split_and_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT", 50)
+    many = spark.range(1000).select((F.when(F.col("id") < 700, 0).otherwise(F.col("id") % 40)).alias("k"), "id")
+    one = many.select("k").distinct().withColumn("v", F.col("k") * 2)
+    hot = skew.hot_buckets(many, "k")
+    assert hot.count() == 1
+    parts = skew.split_many(many, "k", F.col("id"), hot)
+    j = parts.join(skew.repeat_one(one, "k", hot), ["k", "_part"])
+    assert j.count() == 1000 and j.filter("v <> k * 2").isEmpty()
+    assert parts.filter("k = 0").select("_part").distinct().count() > 5 and parts.filter("k = 1").select("_part").distinct().count() == 1
+    counted = many.groupBy("k").agg(F.count("*").alias("n"))
+    assert skew.hot_buckets(counted, "k", "n").collect() == hot.collect()
+    monkeypatch.setattr(skew, "HOT", 5000)
+    assert skew.hot_buckets(many, "k") is None
+
+
+def test_the_whole_tree_is_collected():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    run = subprocess.run([sys.executable, "-m", "pytest", "tests", "--collect-only", "-q"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert run.returncode == 0, run.stdout[-2000:]
 
 
 def test_pick_by_place(spark):
