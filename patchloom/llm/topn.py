@@ -123,19 +123,20 @@ def top_n(df: DataFrame, group: str, score: str, id: str, n: int, *, low: float
         counts = counts.withColumn("above", F.sum("k").over(down) - F.col("k")).withColumn("all", F.sum("k").over(Window.partitionBy("g")))
         counts = counts.filter(F.col("above") < F.col("need"))
         counts = counts.withColumn("last", F.row_number().over(Window.partitionBy("g").orderBy("b")) == 1)
-        edge = cut(
-            counts.filter("last").select(
-                "g", "all", F.col("b").alias("at"), (F.col("need") - F.col("above")).alias("left"), "k", order_code(F.col("ls")).alias("lc"),
-                order_code(F.col("hs")).alias("hc"), "li", "hi",
-            )
+        edge = counts.filter("last").select(
+            "g", "all", F.col("b").alias("at"), (F.col("need") - F.col("above")).alias("left"), "k", order_code(F.col("ls")).alias("lc"),
+            order_code(F.col("hs")).alias("hc"), "li", "hi",
         )
+        if not chosen:
+            # Groups only get smaller: those of many items are known from the first pass.
+            edge = cut(edge)
+            hot = hot_buckets(edge, "g", "all")
         # What the next pass needs of a group: the shift and the shifted end of its interval.
         by_score = F.col("hc") > F.col("lc")
         shift = F.when(by_score, _shift(F.col("lc"), F.col("hc"))).otherwise(_shift(F.col("li"), F.col("hi")))
         ends = edge.withColumn("by_score", by_score).withColumn("shift", shift)
         ends = ends.withColumn("end", _shifted(F.when(F.col("by_score"), F.col("lc")).otherwise(F.col("hi")), F.col("shift")))
         # One row a group meets its items; groups of many items meet it in parts, so that no task gets a whole group.
-        hot = hot_buckets(edge, "g", "all")
         one = repeat_one(ends.select("g", "at", "left", "k", "by_score", "shift", "end"), "g", hot)
         many = split_many(open_rows.drop("need"), "g", F.col("i"), hot)
         step = many.join(one, ["g", "_part"]).filter(F.col("b") >= F.col("at"))
@@ -144,7 +145,6 @@ def top_n(df: DataFrame, group: str, score: str, id: str, n: int, *, low: float
                 "g", "s", "i", ((F.col("b") > F.col("at")) | (F.col("k") <= F.col("left"))).alias("in"), "left", "by_score", "shift", "end",
             )
         )
-        drop(edge)
         chosen.append(step.filter("in").select("g", "s", "i"))
         rest = step.filter("not in")
         if rest.isEmpty():
