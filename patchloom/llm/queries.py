@@ -174,6 +174,25 @@ _SAMPLE = f"""
   WHERE coalesce(h.k, 0) < greatest(t.min_rows, t.target_share * (SELECT count(*) // 4 FROM one))"""
 _SOURCE = r"regexp_replace(regexp_replace(lower(source), '[\s\p{Z}\p{Pd}_.]+', '_', 'g'), '^_+|_+$', '', 'g')"
 
+# Windows of 400 characters that stand in two documents, by their digest.
+_WINDOWS = """
+  every AS (SELECT doc_id, i, md5_number(substr(text, i, 400)) AS h FROM (
+    SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS i FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 400)),
+  w AS (SELECT * FROM every SEMI JOIN (SELECT h FROM every GROUP BY h HAVING min(doc_id) < max(doc_id)) USING (h))"""
+_SPANS = f"""
+  WITH {_WINDOWS.strip()},
+  twos AS (SELECT a.doc_id, b.doc_id AS other, a.i - b.i AS shift, a.i FROM w a JOIN w b ON a.h = b.h AND a.doc_id <> b.doc_id),
+  runs AS (SELECT doc_id, other, shift, min(i) AS s, max(i) + 400 AS e FROM (
+    SELECT *, i - row_number() OVER (PARTITION BY doc_id, other, shift ORDER BY i) AS g FROM twos) GROUP BY doc_id, other, shift, g),
+  far AS (SELECT doc_id, s, max(e) AS e FROM runs GROUP BY 1, 2),
+  kept AS (SELECT doc_id, s, e, r FROM (
+    SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM far) WHERE r IS NULL OR e > r),
+  found AS (SELECT doc_id, sum(e - greatest(s, coalesce(r, s))) AS shared, count(*) AS n, max(e - s) AS most FROM kept GROUP BY 1)
+  SELECT doc_id, length(text) AS n_chars, coalesce(shared, 0)::BIGINT AS shared_chars,
+    CASE WHEN length(text) > 0 THEN coalesce(shared, 0)::DOUBLE / length(text) ELSE 0.0::DOUBLE END AS shared_share,
+    coalesce(n, 0)::BIGINT AS n_spans, coalesce(most, 0)::BIGINT AS longest_span
+  FROM documents LEFT JOIN found USING (doc_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
     """No SQL for p3_split, p4_sample, p6_mix (hashed orders) and p5, p7 (too slow over whole texts): these are tested against brute force."""
@@ -187,6 +206,8 @@ def oracle_sql() -> dict[str, str]:
         "p2_days": f"{_FRACTIONS} SELECT day, cancer_type, mpp, count(*) AS n_values, round(quantile_cont(v, 0.5), 9) AS median FROM rows GROUP BY 1, 2, 3",
         "p3_found": f"WITH RECURSIVE {_NAMES.strip()} SELECT anchor_path, slide_path FROM member JOIN anchor USING (c) WHERE slide_path > anchor_path",
         "p4_found": _SAMPLE,
+        "p7_found": f"WITH {_WINDOWS.strip()} SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id",
+        "p7_report": _SPANS,
         "p6_found": f"""
           WITH size AS (SELECT {_SOURCE} AS s, sum(len(regexp_extract_all(text, '\\w+|[^\\w\\s]'))) AS k FROM documents GROUP BY 1),
           have AS (SELECT t.source, t.target_weight, t.max_repeats, coalesce(z.k, 0) AS k FROM mix_targets t LEFT JOIN size z ON z.s = t.source)

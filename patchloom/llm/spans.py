@@ -12,6 +12,13 @@ short run of neighbours, and records whose runs read alike form a class.  Classe
 one anchor are compared in blocks of windows, again by class, and only one record of
 each class of blocks that differ lists its windows one by one: an edit in a copy costs
 a few rows and not all windows around it.
+
+That decides the pairs.  For the report the doubling goes on past the wanted length.  What
+was compared last (whole runs, blocks, single windows) are units: a shared window lies in a
+unit that reads alike in all records that hold it, so a longer shared stretch is a sequence of
+neighbouring units.  Sequences that always occur together become one unit; then sequences of
+1, 2, 4, ... units that stand in two records are extended to twice their number until none
+survives, and the way back down gives the longest sequence that starts at each unit.
 """
 
 from __future__ import annotations
@@ -102,7 +109,7 @@ def _runs(need: int, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, survivors = batch.column(0), batch.column(1), batch.column(2)
+            ids, texts, survivors, names = (batch.column(i) for i in range(4))
             for codes, place, owner, at, held in pieces(((i, t.as_py()) for i, t in enumerate(texts)), need):
                 chosen, hashes = _anchors(codes, need, width)
                 start, piece = _starts(place, held, need)
@@ -123,9 +130,9 @@ def _runs(need: int, width: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.take(pa.array(owner[p])), pa.array(pos + shift), pa.array(hashes[pos].view(np.int64)), pa.array(pos - lo),
-                        pa.array(pos - hi), pa.array(digest, pa.binary()),
+                        pa.array(pos - hi), pa.array(digest, pa.binary()), names.take(pa.array(owner[p])),
                     ],
-                    ["id", "pos", "h", "left", "right", "digest"],
+                    ["id", "pos", "h", "left", "right", "digest", "t"],
                 )
 
     return run
@@ -232,10 +239,12 @@ class SharedSpans:
         run = T.StructType(
             [
                 *place.fields, T.StructField("left", T.LongType()), T.StructField("right", T.LongType()),
-                T.StructField("digest", T.BinaryType()),
+                T.StructField("digest", T.BinaryType()), T.StructField("t", T.LongType()),
             ]
         )
-        rows = cut(_again(texts, found).select("id", "text", "at").mapInArrow(_runs(need, widths[-1]), run))
+        # Texts of one record are told apart by their hash, so that places in them are not mixed up.
+        last = _again(texts, found).select("id", "text", "at", F.xxhash64("text").alias("t"))
+        rows = cut(last.mapInArrow(_runs(need, widths[-1]), run))
         same = ["h", "left", "right", "digest"]
         runs = rows.groupBy(*same).agg(F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("last"))
         self.runs = cut(
@@ -244,11 +253,11 @@ class SharedSpans:
                 (F.col("first.id") < F.col("last")).alias("shared"),
             )
         )
-        self.members = rows.select(F.xxhash64(*same).alias("run"), "id", "pos", "left", "right")
+        self.members = rows.select(F.xxhash64(*same).alias("run"), "id", "t", "pos", "left", "right")
 
         # Runs of one anchor that differ are compared in blocks; blocks whose core is nobody else's hold no shared window.
-        differ = _two(self.runs, "h", "run")
-        listed = self.runs.join(differ, "h", "left_semi").groupBy(F.col("rep").alias("id")).agg(
+        self.differ = cut(_two(self.runs, "h", "run"))
+        listed = self.runs.join(self.differ, "h", "left_semi").groupBy(F.col("rep").alias("id")).agg(
             F.collect_list(F.struct("run", "pos", "left", "right")).alias("runs")
         )
         size = max(1, min(16, need // 8))
@@ -260,7 +269,8 @@ class SharedSpans:
         parts = parts.join(
             self.runs.select("run", "h", "rep", "pos", "shared"), "run",
         ).withColumn("core", F.xxhash64("h", "k", "core")).withColumn("block", F.xxhash64("h", "near", "far", "whole"))
-        parts = cut(parts.join(_two(parts, "core", "run"), "core", "left_semi"))
+        self.parts = cut(parts.select("run", "rep", "pos", "shared", "near", "far", "core", "block"))
+        parts = cut(self.parts.join(_two(self.parts, "core", "run"), "core", "left_semi"))
         blocks = parts.groupBy("block").agg(
             F.min(F.struct("rep", "pos", "near", "far", "core")).alias("f"),
             (F.max("shared") | (F.min("rep") < F.max("rep"))).alias("held"),
@@ -268,11 +278,14 @@ class SharedSpans:
         self.blocks = cut(blocks.select("block", "f.*", "held"))
         self.of_run = parts.select("run", "block", "near", "far")
 
-        listed = self.blocks.join(_two(self.blocks, "core", "block"), "core", "left_semi").groupBy(F.col("rep").alias("id")).agg(
+        self.mixed = cut(_two(self.blocks, "core", "block"))
+        listed = self.blocks.join(self.mixed, "core", "left_semi").groupBy(F.col("rep").alias("id")).agg(
             F.collect_list(F.struct("block", "pos", "near", "far")).alias("blocks")
         )
-        leaves = cut(_again(texts, listed).select("text", "blocks").mapInArrow(_leaves(need), "block long, distance long, digest binary"))
-        self.windows = cut(leaves.join(_two(leaves, "digest", "block"), "digest", "left_semi"))
+        self.leaves = cut(
+            _again(texts, listed).select("text", "blocks").mapInArrow(_leaves(need), "block long, distance long, digest binary")
+        )
+        self.windows = cut(self.leaves.join(_two(self.leaves, "digest", "block"), "digest", "left_semi"))
 
     def pairs(self) -> DataFrame:
         """Distinct ``(doc_a, doc_b)``, smaller first, of records that share a stretch: the output is all such pairs.
@@ -290,37 +303,56 @@ class SharedSpans:
         a, b = both.withColumnRenamed("id", "doc_a"), both.withColumnRenamed("id", "doc_b")
         return a.join(b, "key").filter("doc_a < doc_b").select("doc_a", "doc_b").distinct()
 
+    def units(self) -> DataFrame:
+        """``id, t, first, last, key``: the first and last window start of every unit that two records hold.
+
+        An anchor whose runs all read alike has its run as unit.  Else the units are blocks, or
+        single windows where blocks of one core differ; which it is depends on the anchor or core
+        alone, so it is the same in all records.
+        """
+        at = lambda far, near: ((F.col("pos") - F.col(far)).alias("first"), (F.col("pos") - F.col(near)).alias("last"))
+        key = lambda kind, of: F.xxhash64(F.lit(kind), F.col(of)).alias("key")
+        who = ["id", "t"]
+        whole = self.runs.filter("shared").join(self.differ, "h", "left_anti").select("run")
+        found = self.members.join(whole, "run").select(*who, *at("left", "right"), key(0, "run"))
+        cores = _two(self.parts, "core", "run").unionByName(self.parts.filter("shared").select("core")).distinct()
+        parts = self.parts.select("run", "block", "core", "near", "far").join(cores, "core", "left_semi")
+        mixed = self.mixed.withColumn("mixed", F.lit(True))
+        parts = parts.join(mixed, "core", "left").select("run", "block", "near", "far", F.coalesce("mixed", F.lit(False)).alias("mixed"))
+        own = self.members.select("run", *who, "pos").join(cut(parts), "run")
+        found = found.unionByName(own.filter("not mixed").select(*who, *at("far", "near"), key(1, "block")))
+        single = own.filter("mixed").select("block", *who, "pos").join(self.leaves, "block")
+        found = cut(found.unionByName(single.select(*who, *at("distance", "distance"), key(2, "digest"))).distinct())
+        return found.join(_two(found, "key", "id"), "key", "left_semi").select(*who, "first", "last", "key")
+
+    def stretches(self) -> DataFrame:
+        """``id, t, s, e``: the longest stretch from ``s`` on that another record holds as well.
+
+        For each place where a unit begins; stretches that lie in an earlier one of the record are left out.
+        """
+        units = _joined(cut(self.units()))
+        long = _longest(units).withColumn("e", F.col("e") + self.min_length)
+        order = Window.partitionBy("id", "t").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+        return long.withColumn("reach", F.max("e").over(order)).filter("reach is null or e > reach").drop("reach")
+
     def report(self) -> DataFrame:
         """One row for each record: ``id, n_chars, shared_chars, shared_share, n_spans, longest_span``.
 
         ``shared_chars`` counts the code points that lie in a stretch of at least
-        ``min_length`` found in another record.  An empty or null text has share 0.
+        ``min_length`` found in another record.  ``longest_span`` is the longest stretch
+        that some one other record holds, ``n_spans`` the number of such stretches that lie in
+        no longer one.  Of a record with several distinct texts all are counted.  An empty
+        or null text has share 0.
         """
-        need = self.min_length
-        places = self.members.join(self.runs.select("run", "shared"), "run")
-        span = lambda far, near: (F.col("id"), (F.col("pos") - F.col(far)).alias("s"), (F.col("pos") - F.col(near) + need).alias("e"))
-        spans = places.filter("shared").select(*span("left", "right"))
-        # What is left are runs of one record each: their shared blocks, then their shared windows.
-        own = places.filter("not shared").select("run", "id", "pos").join(self.of_run, "run").join(
-            self.blocks.select("block", "held"), "block",
+        spans = cut(self.stretches())
+        order = Window.partitionBy("id", "t").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+        # No stretch lies in another, so ends rise with starts, and what is new begins at the last end.
+        new = F.col("e") - F.greatest(F.col("s"), F.coalesce(F.max("e").over(order), F.col("s")))
+        spans = spans.withColumn("new", new).groupBy("id").agg(
+            F.sum("new").alias("shared_chars"), F.count("*").alias("n_spans"), F.max(F.col("e") - F.col("s")).alias("longest_span"),
         )
-        spans = spans.unionByName(own.filter("held").select(*span("far", "near")))
-        of_block = self.windows.join(self.blocks.select("block", "rep", "held"), "block")
-        good = of_block.groupBy("digest").agg(
-            F.min("rep").alias("a"), F.max("rep").alias("b"), F.max("held").alias("m"),
-        ).filter("m or a < b").select("digest")
-        single = of_block.filter("not held").join(good, "digest", "left_semi").select("block", "distance")
-        spans = spans.unionByName(
-            own.filter("not held").select("block", "id", "pos").join(single, "block").select(*span("distance", "distance"))
-        ).distinct()
-        order = Window.partitionBy("id").orderBy("s", "e")
-        spans = spans.withColumn("reach", F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn(
-            "new", (F.col("reach").isNull() | (F.col("s") > F.col("reach"))).cast("int"),
-        )
-        spans = spans.withColumn("k", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        spans = spans.groupBy("id", "k").agg((F.max("e") - F.min("s")).alias("n"))
-        spans = spans.groupBy("id").agg(F.sum("n").alias("shared_chars"), F.count("*").alias("n_spans"), F.max("n").alias("longest_span"))
-        size = self.all.groupBy("id").agg(F.max(F.length("text")).cast("long").alias("n_chars"))
+        each = self.all.select("id", F.xxhash64("text").alias("t"), F.length("text").cast("long").alias("n")).distinct()
+        size = each.groupBy("id").agg(F.sum("n").alias("n_chars"))
         zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
         share = F.when(F.col("n_chars") > 0, F.coalesce(F.col("shared_chars"), F.lit(0)) / F.col("n_chars")).otherwise(F.lit(0.0))
         return size.join(spans, "id", "left").select(
@@ -328,6 +360,66 @@ class SharedSpans:
         )
 
 
+def _joined(units: DataFrame) -> DataFrame:
+    """``id, t, i, s, e, key``: units that always follow each other as one; ``i`` counts them and skips one at each gap."""
+    order = Window.partitionBy("id", "t").orderBy("first")
+    n = units.groupBy("key").agg(F.count("*").alias("n"))
+    u = units.join(n, "key")
+    u = u.withColumn("before", F.when(F.lag("last").over(order) == F.col("first") - 1, F.struct(F.lag("key").over(order).alias("key"), F.lag("n").over(order).alias("n"))))
+    u = cut(u)
+    links = u.filter("before is not null").groupBy(F.col("before.key").alias("k"), F.col("key").alias("l")).agg(
+        F.count("*").alias("c"), F.first("n").alias("nl"), F.first("before.n").alias("nk"),
+    )
+    firm = links.filter("c = nl and c = nk").select("k", "l").withColumn("firm", F.lit(True))
+    u = u.join(firm, (F.col("before.key") == F.col("k")) & (F.col("key") == F.col("l")), "left")
+    step = F.when(F.col("firm"), 0).when(F.col("before").isNotNull(), 1).otherwise(2)
+    u = u.withColumn("i", F.sum(step).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return cut(
+        u.groupBy("id", "t", "i").agg(F.min("first").alias("s"), F.max("last").alias("e"), F.min_by("key", "first").alias("key"))
+    )
+
+
+def _longest(units: DataFrame) -> DataFrame:
+    """``id, t, s, e`` for each unit: where the longest sequence of units that starts there and stands in two records ends.
+
+    ``levels[k]`` holds the sequences of 2^k units that two records hold.  On the way down
+    every unit keeps the sequence found so far, and takes the next 2^k units in if another
+    record has the same.  Those that do so leave one of each kind behind, so that
+    shorter matches still find them.
+    """
+    here = ["id", "t", "i"]
+    levels = [units.select(*here, "key")]
+    while True:
+        k = levels[-1]
+        after = k.select("id", "t", (F.col("i") - (1 << (len(levels) - 1))).alias("i"), F.col("key").alias("next"))
+        twice = cut(k.join(after, here).select(*here, F.xxhash64("key", "next").alias("key")))
+        twice = cut(twice.join(_two(twice, "key", "id"), "key", "left_semi").select(*here, "key"))
+        if twice.isEmpty():
+            break
+        levels.append(twice)
+    zero = F.lit(0).cast("long")
+    rows = units.select(*here, zero.alias("n"), zero.alias("key"), F.col("id").alias("low"), F.col("id").alias("high"), F.lit(True).alias("own"))
+    for k in range(len(levels) - 1, -1, -1):
+        block = levels[k].select("id", "t", F.col("i").alias("at"), F.col("key").alias("block"))
+        tried = rows.withColumn("at", F.col("i") + F.col("n")).join(block, ["id", "t", "at"], "left").drop("at")
+        tried = cut(tried.withColumn("new", F.when(F.col("block").isNotNull(), F.xxhash64("key", "block"))).drop("block"))
+        kinds = tried.filter("new is not null").groupBy("new").agg(
+            F.min("low").alias("l"), F.max("high").alias("h"), F.max("own").alias("o"), F.min(F.struct(*here, "n", "key")).alias("one"),
+        ).filter("l < h and o")
+        kinds = cut(kinds)
+        moved = tried.join(kinds.select("new", F.lit(True).alias("moves")), "new", "left")
+        go = F.coalesce("moves", F.lit(False))
+        moved = moved.select(
+            *here, F.when(go, F.col("n") + (1 << k)).otherwise(F.col("n")).alias("n"), F.when(go, F.col("new")).otherwise(F.col("key")).alias("key"),
+            "low", "high", "own",
+        )
+        left = kinds.select(*[f"one.{c}" for c in (*here, "n", "key")], F.col("l").alias("low"), F.col("h").alias("high"), F.lit(False).alias("own"))
+        rows = cut(moved.unionByName(left)) if k else moved
+    end = units.select("id", "t", F.col("i").alias("last"), "e")
+    found = rows.filter("own and n > 0").withColumn("last", F.col("i") + F.col("n") - 1).select(*here, "last")
+    return found.join(units.select(*here, "s"), here).join(end, ["id", "t", "last"]).select("id", "t", "s", "e")
+
+
 def _two(rows: DataFrame, key: str, of: str) -> DataFrame:
     """The keys under which there are two different values of ``of``."""
     return rows.groupBy(key).agg(F.min(of).alias("_a"), F.max(of).alias("_b")).filter("_a < _b").select(key)

@@ -21,6 +21,36 @@ def brute(rows, need):
                 win[t[q : q + need]].add(d)
     pairs = {(a, b) for g in win.values() for a in g for b in g if a < b}
     shared = {}
+    return pairs, _marked(texts, win, need, shared)
+
+
+def longest(rows, need):
+    """For each record: how many maximal stretches it has, and the longest, by pairs of places."""
+    texts = {(d, t) for d, t in rows if d is not None and t is not None}
+    places = defaultdict(list)
+    for d, t in texts:
+        for q in range(len(t) - need + 1):
+            places[t[q : q + need]].append((d, t, q))
+    out = {}
+    for d, t in texts:
+        ends, found = 0, []
+        for q in range(len(t) - need + 1):
+            best = 0
+            for d2, t2, q2 in places[t[q : q + need]]:
+                if d2 != d:
+                    n = need
+                    while q + n < len(t) and q2 + n < len(t2) and t[q + n] == t2[q2 + n]:
+                        n += 1
+                    best = max(best, n)
+            if best and q + best > ends:
+                ends = q + best
+                found.append(best)
+        n, m = out.get(d, (0, 0))
+        out[d] = (n + len(found), max([m, *found]))
+    return out
+
+
+def _marked(texts, win, need, shared):
     for d, ts in texts.items():
         t = ts[0]
         mark = np.zeros(len(t), bool)
@@ -28,7 +58,7 @@ def brute(rows, need):
             if len(win[t[q : q + need]]) > 1:
                 mark[q : q + need] = True
         shared[d] = int(mark.sum())
-    return pairs, shared
+    return shared
 
 
 def case(seed, need):
@@ -65,7 +95,8 @@ def test_against_brute_force(spark, seed, need, levels):
     assert len(got) == len(set(got)) and set(got) == pairs
     rep = {r.id: r for r in s.report().collect()}
     assert {d: r.shared_chars for d, r in rep.items()} == shared | {200: 0}
-    assert rep[200].n_chars is None and rep[201].shared_share == 0 and rep[100].shared_share == 1 and rep[100].n_spans == 1
+    assert {d: (r.n_spans, r.longest_span) for d, r in rep.items()} == longest(rows, need) | {200: (0, 0)}
+    assert rep[200].n_chars is None and rep[201].shared_share == 0 and rep[100].shared_share == 1
 
 
 def test_repeated_rows_and_text_ids(spark):
@@ -74,7 +105,38 @@ def test_repeated_rows_and_text_ids(spark):
     df = spark.createDataFrame([("a", t), ("a", t), ("b", "x" * 50 + t[:100]), ("c", t[200:] + t[200:])], "doc_id string, text string")
     s = SharedSpans(df, min_length=60)
     assert {tuple(r) for r in s.pairs().collect()} == {("a", "b"), ("a", "c")}
-    assert {r.id: r.shared_chars for r in s.report().collect()} == {"a": 200, "b": 100, "c": 200}
+    got = {r.id: (r.shared_chars, r.n_spans, r.longest_span) for r in s.report().collect()}
+    assert got == {"a": (200, 2, 100), "b": (100, 1, 100), "c": (200, 2, 100)}
+
+
+def test_neighbouring_stretches_of_different_partners(spark):
+    rnd = random.Random(9)
+    x, y = ("".join(rnd.choice("abcdefghij ") for _ in range(400)) for _ in range(2))
+    rows = [(1, x + y), (2, "2" + x + "3"), (3, "4" + y + "5"), (4, y[50:] + x), (5, None)]
+    got = {r.id: (r.shared_chars, r.n_spans, r.longest_span) for r in SharedSpans(spark.createDataFrame(rows, "doc_id long, text string")).report().collect()}
+    assert got == {1: (800, 2, 400), 2: (400, 1, 400), 3: (400, 1, 400), 4: (400, 1, 400), 5: (0, 0, 0)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_many_edited_copies(spark, seed):
+    """Stretches of many units, whose partners end at different places."""
+    rnd = random.Random(seed)
+    base = "".join(rnd.choice("abcdefgh ") for _ in range(1500))
+    rows = []
+    for d in range(25):
+        t = base[rnd.randrange(600) : 1500 - rnd.randrange(600)]
+        for _ in range(rnd.randrange(4)):
+            k = rnd.randrange(len(t))
+            t = t[:k] + rnd.choice(["#", "", "##"]) + t[k + rnd.randrange(3) :]
+        rows.append((d, t))
+    rows += [(50, base), (51, base), (52, "z" * 300), (53, "z" * 200), (54, base + base)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    s = SharedSpans(df, min_length=40)
+    pairs, shared = brute(rows, 40)
+    assert {tuple(r) for r in s.pairs().collect()} == pairs
+    rep = {r.id: r for r in s.report().collect()}
+    assert {d: r.shared_chars for d, r in rep.items()} == shared
+    assert {d: (r.n_spans, r.longest_span) for d, r in rep.items()} == longest(rows, 40)
 
 
 def test_very_long_text(spark, monkeypatch):
