@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,18 +77,18 @@ def plain(text: str) -> bytes:
     return raw[letter].tobytes()
 
 
-def _shingles(texts: list[bytes], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text index and word position of every shingle of ``run`` words."""
-    codes = np.frombuffer(b"".join(texts), np.uint8)
+def _shingles(codes: np.ndarray, texts: list[bytes], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text index, word position, start and end (in ``codes``, the texts end to end) of every shingle of ``run`` words."""
     ends = np.flatnonzero(codes == _SPACE)
     if len(ends) < run:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, none, none
     starts = np.concatenate([[0], ends[:-1] + 1])
     owner = np.repeat(np.arange(len(texts)), [t.count(b" ") for t in texts])
     first = np.searchsorted(owner, np.arange(len(texts)))
     hashes = Hasher(codes).some(starts[: len(starts) - run + 1], ends[run - 1 :])
     inside = np.flatnonzero(owner[: len(owner) - run + 1] == owner[run - 1 :])
-    return hashes[inside], owner[inside], (inside - first[owner[inside]])
+    return hashes[inside], owner[inside], inside - first[owner[inside]], starts[inside], ends[inside + run - 1]
 
 
 def _chunks(texts: pa.Array, run: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
@@ -118,36 +119,31 @@ def _chunks(texts: pa.Array, run: int) -> Iterator[tuple[list[int], list[int], l
 
 
 def _hits(run: int, bits: np.ndarray | None):
-    """Rows ``id, n_words, at, h``: the shingles of each text that pass the filter."""
+    """Rows ``id, n_words, at, h, d``: the shingles of each text that pass the filter, with the digest of their words."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for owners, bases, held in _chunks(batch.column(1), run):
-                h, piece, at = _shingles(held, run)
+                raw = b"".join(held)
+                h, piece, at, start, end = _shingles(np.frombuffer(raw, np.uint8), held, run)
                 if bits is not None:
                     slot = (h & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
                     keep = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
-                    h, piece, at = h[keep], piece[keep], at[keep]
+                    h, piece, at, start, end = (x[keep] for x in (h, piece, at, start, end))
+                digest = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
                 words = np.array([p.count(b" ") for p in held], np.int64) + np.array(bases)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.take(pa.array(np.array(owners, np.int64)[piece])), pa.array(words[piece]),
-                        pa.array(at + np.array(bases, np.int64)[piece]), pa.array(h.view(np.int64)),
+                        pa.array(at + np.array(bases, np.int64)[piece]), pa.array(h.view(np.int64)), pa.array(digest, pa.binary()),
                     ],
-                    ["id", "n_words", "at", "h"],
+                    ["id", "n_words", "at", "h", "d"],
                 )
 
     return scan
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([plain(t.as_py() or "").count(b" ") for t in batch.column(1)], pa.int64())], ["item", "m"],
-        )
-
-
 def _filter_bits(items: DataFrame) -> np.ndarray:
     """The filter of the shingles in ``items``, some 16 bits for each, in rows of 4 KB for each used bucket of bits."""
     size = 1 << min(FILTER_BITS.bit_length() - 1, max(18, (16 * items.count()).bit_length()))
@@ -182,10 +178,10 @@ def find_leaks(
     texts = pick(corpus, id=id, text=text).filter(F.col("id").isNotNull() & F.col("text").isNotNull())
     wanted = pick(items, item=item_id, text=item_text).filter(F.col("item").isNotNull() & F.col("text").isNotNull()).distinct()
     kind, item_kind = texts.schema["id"].dataType.simpleString(), wanted.schema["item"].dataType.simpleString()
-    rows = f"id {item_kind}, n_words long, at long, h long"
+    rows = f"id {item_kind}, n_words long, at long, h long, d binary"
     known = cut(
         wanted.mapInArrow(_hits(run, None), rows).select(
-            F.col("id").alias("item"), F.col("n_words").alias("m"), F.col("at").alias("item_at"), "h",
+            F.col("id").alias("item"), F.col("n_words").alias("m"), F.col("at").alias("item_at"), "h", "d",
         )
     )
     # An item spelled in several texts keeps the longest text's length.
@@ -194,16 +190,23 @@ def find_leaks(
     hits = cut(texts.mapInArrow(_hits(run, bits), rows.replace(item_kind, kind, 1)))
 
     # Rarity over the whole corpus: documents that hold the shingle.
-    rarity = hits.select("id", "h").distinct().groupBy("h").agg(F.count("*").alias("df"))
+    held = hits.groupBy("id").agg(F.collect_set("h").alias("hs")).select("id", F.size("hs").alias("size"), F.explode("hs").alias("h"))
+    rarity = held.groupBy("h").agg(F.count("*").alias("df"))
     of_item = known.groupBy("item", "m", "h").agg(F.count_distinct("item_at").alias("places")).join(rarity, "h", "left").fillna(0, ["df"])
     need = F.ceil(F.col("m") * F.lit(float(share)) - F.lit(1e-9))
     least = F.ceil(need / F.lit(float(run)))
-    # Places of the shingle and of all more frequent ones.
+    # Places of the shingle and of all more frequent ones; and of it and all that have more places.
     order = Window.partitionBy("item").orderBy(F.desc("df"), F.desc("h")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = of_item.withColumn("k", F.sum("places").over(order))
-    prefix = cut(ranked.filter(F.col("k") >= least).filter("df > 0").select("item", "h"))
-    pairs = hits.select("id", "h").join(prefix, "h").select("id", "item").distinct()
-    found = known.join(pairs, "item").join(hits.select("id", "h").distinct(), ["id", "h"])
+    ranked = of_item.withColumn("k", F.sum("places").over(order)).withColumn("of_prefix", F.col("k") >= least)
+    full = Window.partitionBy("item").orderBy(F.desc("places"), "h").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ranked.withColumn("filled", F.sum("places").over(full))
+    whole = Window.partitionBy("item")
+    ranked = ranked.withColumn("rest", F.coalesce(F.sum(F.when(~F.col("of_prefix"), F.col("places"))).over(whole), F.lit(0)))
+    ranked = ranked.withColumn("fewest", F.sum(F.when(F.col("filled") - F.col("places") < least, 1).otherwise(0)).over(whole))
+    prefix = cut(ranked.filter("of_prefix and df > 0").select("item", "h", "places", "fewest", (least - F.col("rest")).alias("wanted")))
+    pairs = held.join(prefix, "h").filter(F.col("size") >= F.col("fewest"))
+    pairs = pairs.groupBy("id", "item").agg(F.sum("places").alias("n"), F.max("wanted").alias("wanted")).filter("n >= wanted").select("id", "item")
+    found = known.join(pairs, "item").join(hits.select("id", "h", "d").distinct(), ["id", "h", "d"])
     found = found.groupBy("id", "item", "m").agg(F.count_distinct("item_at").alias("k"), _covered(run).alias("words"))
     found = found.filter(F.col("k") >= least).filter(F.col("words") >= need)
     return found.select(

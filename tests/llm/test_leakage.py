@@ -96,6 +96,27 @@ def test_items_that_repeat_their_words(spark, share, run):
     assert {(r.doc_id, r.item_id) for r in find_leaks(d, i, run=run, share=share).collect()} == want and {(j, j) for j, _ in items} <= want
 
 
+def test_an_item_spread_over_the_texts_of_one_document(spark):
+    words = [f"w{i}" for i in range(40)]
+    docs = [(1, " ".join(words[:12])), (1, "z " + " ".join(words[12:24]) + " z"), (2, " ".join(words[:12])), (3, " ".join(words[:20]))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    assert {(r.doc_id, r.words_found) for r in find_leaks(d, i).collect()} == {(1, 24), (3, 20)}
+
+
+def test_equal_hashes_are_told_apart_by_their_words(spark, monkeypatch):
+    """All shingles share one hash: the digests decide."""
+
+    class Same(leakage.Hasher):
+        def some(self, start, end):
+            return super().some(start, end) & leakage.np.uint64(3)
+
+    bare = leakage._hits
+    monkeypatch.setattr(leakage, "Hasher", Same)
+    rows = list(bare(5, None)(iter([leakage.pa.RecordBatch.from_arrays([leakage.pa.array([7]), leakage.pa.array(["a b c d e f g h i j k l"])], ["id", "text"])])))
+    assert len(set(rows[0].column(3).to_pylist())) <= 4 and len(set(rows[0].column(4).to_pylist())) == 8
+
+
 def test_very_long_text(spark, monkeypatch):
     docs, items = case(5)
     long = " ".join(f"filler{i % 977}" for i in range(400_000)) + " " + items[1][1] + " " + " ".join(f"end{i % 13}" for i in range(5000))
