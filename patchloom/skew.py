@@ -51,3 +51,11 @@ def repeat_one(one: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
     j = one.withColumn("_bucket", _bucket(F.col(key))).join(F.broadcast(hot), "_bucket", "left")
     each = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
     return j.withColumn("_part", F.explode(each)).drop("_bucket", "_parts")
+
+
+def join_one(many: DataFrame, one: DataFrame, key: str, by: Column, how: str = "inner") -> DataFrame:
+    """``many`` (a written table: it is counted first) joined to the single rows of ``one`` by ``key``; hot keys in parts."""
+    hot = hot_buckets(many, key)
+    if hot is None:
+        return many.join(one, key, how)
+    return split_many(many, key, by, hot).join(repeat_one(one, key, hot), [key, "_part"], how).drop("_part")

@@ -67,6 +67,9 @@ def test_hot_keys_are_split_and_lose_nothing(spark, monkeypatch):
     j = parts.join(skew.repeat_one(one, "k", hot), ["k", "_part"])
     assert j.count() == 1000 and j.filter("v <> k * 2").isEmpty()
     assert parts.filter("k = 0").select("_part").distinct().count() > 5 and parts.filter("k = 1").select("_part").distinct().count() == 1
+    for how in ("inner", "left"):
+        again = skew.join_one(many, one.filter("k <> 5"), "k", F.col("id"), how)
+        assert again.columns == ["k", "id", "v"] and again.count() == (1000 if how == "left" else 1000 - many.filter("k = 5").count())
     counted = many.groupBy("k").agg(F.count("*").alias("n"))
     assert skew.hot_buckets(counted, "k", "n").collect() == hot.collect()
     monkeypatch.setattr(skew, "HOT", 5000)
