@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from ..columns import pick
 from ..materialize import cut
 from ..ranking import grouped_prefix_sum
 
-#: Where the vocabularies lie on every executor; a parameter of the operator.
+#: Where the vocabulary lies on the driver, which sends it to the executors; a parameter of the operator.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public pre-tokenizer pattern that belongs to this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -32,8 +34,10 @@ def tokenizer(path: str):
 
 
 def _counts(path: str):
+    """Rows ``id, source, n``; ``path`` is the name of a file sent to the executors."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).encode_ordinary
+        encode = tokenizer(SparkFiles.get(path)).encode_ordinary
         for batch in batches:
             n = [0 if t is None else len(encode(t)) for t in (x.as_py() for x in batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["id", "source", "n"])
@@ -86,7 +90,8 @@ class Mix:
         )
         named = cut(named)
         wanted = rows.join(named.select("source"), "source", "left_semi").select("id", "source", "text")
-        self.sizes = cut(wanted.mapInArrow(_counts(vocabulary), f"id {kind}, source string, n long"))
+        docs.sparkSession.sparkContext.addFile(vocabulary)
+        self.sizes = cut(wanted.mapInArrow(_counts(os.path.basename(vocabulary)), f"id {kind}, source string, n long"))
         have = self.sizes.groupBy("source").agg(F.sum("n").alias("tokens"), F.count("*").alias("docs"))
         sums = have.agg(F.sum("tokens")).first()[0] or 0
         self.total = sums if total is None else total
@@ -116,14 +121,15 @@ class Mix:
     def report(self) -> DataFrame:
         """``source, target_weight, max_repeats, docs, tokens, budget, tokens_used, actual_share, shortfall, cannot_fill``.
 
-        ``shortfall``: tokens that the source lacks even when repeated as often as allowed.
+        ``shortfall``: tokens that the source lacks even when repeated as often as allowed; it
+        ``cannot_fill`` its budget if all it may give is in the mix and that is less.
         """
         used = self.mix.groupBy(F.col(self._source).alias("name")).agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens_used"))
         full = self.mix.agg(F.sum(F.col("n_tokens") * F.col("copies"))).first()[0] or 1
-        short = F.col("budget") - F.col("reach")
+        short = F.when(F.col("tokens_used") == F.col("reach"), F.col("budget") - F.col("tokens_used")).otherwise(F.lit(0.0))
         return self.plan.join(used, "name", "left").fillna(0, ["tokens_used"]).select(
             F.col("name").alias(self._source), F.col("weight").alias("target_weight"), F.col("repeats").alias("max_repeats"), "docs", "tokens", "budget", "tokens_used",
             (F.col("tokens_used") / F.lit(full)).alias("actual_share"), F.greatest(short, F.lit(0.0)).alias("shortfall"), (
-                F.col("reach").cast("double") < F.col("budget")
+                short > 0
             ).alias("cannot_fill"),
         )

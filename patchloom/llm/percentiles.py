@@ -42,20 +42,35 @@ def combine(summaries: DataFrame, group: list[str]) -> DataFrame:
 
 
 def percentiles(summary: DataFrame, group: list[str], at: list[float]) -> DataFrame:
-    """``*group, n_values, p, percentile`` for each ``p`` of ``at`` (0 to 1), interpolated linearly."""
+    """``*group, n_values, p, percentile`` for each ``p`` of ``at`` (0 to 1), interpolated linearly.
+
+    Infinite values take part: between a finite and an infinite neighbour the percentile is the infinite
+    one, between the two infinities it is NaN.  An empty summary has no rows.
+    """
     if not at or any(not 0 <= p <= 1 for p in at):
         raise ValueError("percentiles lie between 0 and 1")
     placed = grouped_prefix_sum(cut(summary), group, ["value"], "n", before="before", total="total")
+    last = F.col("before") + F.col("n") - 1
+
+    def near_to(p):
+        """Whether the row holds one of the two order statistics beside the position of ``p``."""
+        at_ = (F.col("total") - 1) * p
+        return (F.col("before") <= F.ceil(at_)) & (last >= F.floor(at_))
+
+    # Most rows hold none, so they are left out before any is repeated.
+    wanted = F.filter(F.array(*[F.lit(float(p)) for p in at]), near_to)
+    placed = placed.withColumn("_p", wanted).filter(F.size("_p") > 0).withColumn("p", F.explode("_p"))
     position = (F.col("total") - 1) * F.col("p")
-    placed = placed.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in at])))
-    holds = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("n"))
+    holds = lambda k: (F.col("before") <= k) & (k <= last)
     lower, upper = F.floor(position), F.ceil(position)
-    near = placed.filter(holds(lower) | holds(upper)).groupBy(*group, "p").agg(
+    near = placed.groupBy(*group, "p").agg(
         F.max("total").alias("n_values"),
         F.max(F.when(holds(lower), F.col("value"))).alias("lower"),
         F.max(F.when(holds(upper), F.col("value"))).alias("upper"),
     )
     part = (F.col("n_values") - 1) * F.col("p")
-    return near.select(
-        *group, "n_values", "p", (F.col("lower") + (F.col("upper") - F.col("lower")) * (part - F.floor(part))).alias("percentile"),
-    )
+    part = part - F.floor(part)
+    low, high = F.col("lower"), F.col("upper")
+    endless = (F.abs(low) == float("inf")) | (F.abs(high) == float("inf"))
+    between = F.when((part == 0) | (low == high), low).when(endless, low + high).otherwise(low + (high - low) * part)
+    return near.select(*group, "n_values", "p", between.alias("percentile"))

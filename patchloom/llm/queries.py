@@ -4,19 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rng import bits_sql
+from ..materialize import cut
+from ..skew import join_one
 from .balance import BalancedSample, key_of, project_key
 from .leakage import find_leaks
 from .mixing import Mix
 from .percentiles import combine, percentiles, summarise
 from .spans import SharedSpans
-from .splits import grouped_split, patient_of_path, patients, related
+from .splits import grouped_split, related
 from .topn import top_n
 
 POINTS = [0.05, 0.25, 0.5, 0.75, 0.95]
 
+# Words in the shape of a shortened patient id that name nobody.
+FILLERS = ["NO-NAME", "NO-DATA"]
+
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -58,6 +64,29 @@ def p2_days(spark: SparkSession, d: str) -> DataFrame:
     return found.select(*group, "n_values", F.round("percentile", 9).alias("median"))
 
 
+def patients(value: Column, fillers: list[str] = FILLERS) -> Column:
+    """The patients a text names, each as ``SS-PPPP`` (site and participant).
+
+    Letter case and the kind of separator do not matter; the project prefix may be
+    missing and sample, portion and slide codes may follow.  Ids of one repeated
+    character (``00-0000``, ``XX-XXXX``) are fillers and name nobody.
+    """
+    one = F.regexp_replace(F.upper(value), "[^A-Z0-9]+", "-")
+    found = F.regexp_extract_all(one, F.lit(r"(?<![A-Z0-9])(?:TCGA-)?([A-Z0-9]{2}-(?!TCGA(?![A-Z0-9]))[A-Z0-9]{4})(?![A-Z0-9])"), F.lit(1))
+    return F.filter(F.array_distinct(found), lambda x: _real(x, fillers))
+
+
+def patient_of_path(path: Column, fillers: list[str] = FILLERS) -> Column:
+    """The patient whose barcode opens the file name, as a list of one or none."""
+    name = F.upper(F.regexp_extract(path, r"([^/\\]*)$", 1))
+    found = F.regexp_extract(name, r"^TCGA-([A-Z0-9]{2}-[A-Z0-9]{4})(?![A-Z0-9])", 1)
+    return F.filter(F.array(found), lambda x: (x != "") & _real(x, fillers))
+
+
+def _real(x: Column, fillers: list[str]) -> Column:
+    return ~x.rlike(r"^(.)\1-\1{4}$") & ~x.isin(fillers)
+
+
 def slide_edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All slides; which patients each names; and the metadata."""
     m = _table(spark, d, "slide_metadata").filter(F.col("slide_path").isNotNull())
@@ -70,17 +99,15 @@ def slide_edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Data
 
 
 def slide_groups(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    from ..materialize import cut
-
     paths, edges, m = slide_edges(spark, d)
     return related(cut(paths), cut(edges), "slide_path", "patient"), m
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     groups, _ = slide_groups(spark, d)
-    groups = groups.filter(F.col("component").isNotNull())
+    groups = cut(groups.filter(F.col("component").isNotNull()))
     anchors = groups.groupBy("component").agg(F.min("slide_path").alias("anchor_path"))
-    return groups.join(anchors, "component").filter("slide_path > anchor_path").select("anchor_path", "slide_path")
+    return join_one(groups, anchors, "component", F.col("slide_path")).filter("slide_path > anchor_path").select("anchor_path", "slide_path")
 
 
 def p3_split(spark: SparkSession, d: str) -> DataFrame:
@@ -94,8 +121,8 @@ def p3_split(spark: SparkSession, d: str) -> DataFrame:
 
 def slide_sample(spark: SparkSession, d: str) -> BalancedSample:
     return BalancedSample(
-        _table(spark, d, "slide_metadata"), _table(spark, d, "sample_targets"), id="slide_path", parent="cancer_type", leaf="sample_type",
-        share="target_share", least="min_rows", fraction=0.25, parent_key=project_key, leaf_key=key_of,
+        _table(spark, d, "slide_metadata"), _table(spark, d, "sample_targets"), id="slide_path", levels=["cancer_type", "sample_type"],
+        share="target_share", least="min_rows", fraction=0.25, keys=[project_key, key_of],
     )
 
 
@@ -108,7 +135,8 @@ def p4_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    return slide_sample(spark, d).report().select("cancer_type", "sample_type", "quota", "n_available", "n_drawn", "short")
+    columns = ["cancer_type", "sample_type", "quota", "n_available", "n_taken", "n_extra", "n_drawn", "short"]
+    return slide_sample(spark, d).report().select(*columns, F.round("actual_share", 9).alias("actual_share"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -166,12 +194,43 @@ _NAMES = r"""
   label AS (SELECT a AS e, min(b) AS c FROM reach GROUP BY 1),
   member AS (SELECT DISTINCT slide_path, c FROM edges JOIN label USING (e)),
   anchor AS (SELECT c, min(slide_path) AS anchor_path FROM member GROUP BY 1)"""
-_SAMPLE = f"""
-  WITH one AS (SELECT slide_path, max({_PROJECT}) AS c, max({_KEY.format('sample_type')}) AS s FROM slide_metadata WHERE slide_path IS NOT NULL GROUP BY 1),
-  have AS (SELECT c, s, count(*) AS k FROM one WHERE c IS NOT NULL AND s IS NOT NULL GROUP BY 1, 2)
-  SELECT t.cancer_type, t.sample_type FROM sample_targets t
-  LEFT JOIN have h ON h.c = {_PROJECT.replace('cancer_type', 't.cancer_type')} AND h.s = {_KEY.format('t.sample_type')}
-  WHERE coalesce(h.k, 0) < greatest(t.min_rows, t.target_share * (SELECT count(*) // 4 FROM one))"""
+_LEAVES = f"""
+  one AS (SELECT slide_path, max({_PROJECT}) AS pk, max({_KEY.format('sample_type')}) AS sk FROM slide_metadata WHERE slide_path IS NOT NULL GROUP BY 1),
+  have AS (SELECT pk, sk, count(*) AS n FROM one WHERE pk IS NOT NULL AND sk IS NOT NULL GROUP BY 1, 2),
+  named AS (SELECT *, {_PROJECT} AS pk, {_KEY.format('sample_type')} AS sk FROM sample_targets),
+  size AS (SELECT count(*) // 4 AS n FROM one),
+  leaf AS (SELECT t.*, t.target_share AS w, coalesce(h.n, 0) AS n_available, coalesce(h.n, 0) < greatest(t.min_rows, t.target_share * (SELECT n FROM size)) AS short
+    FROM named t LEFT JOIN have h USING (pk, sk))"""
+
+
+def _shared_sql(name: str, kids: str) -> str:
+    """``name``: the parts ``got`` of ``q`` by weight between ``lo`` and ``hi`` of the rows ``p, name, w, lo, hi, q``, tried at every point of change."""
+    return f"""
+  {name}_e AS (SELECT p, lo / w AS t FROM {kids} WHERE w > 0 UNION SELECT p, hi / w FROM {kids} WHERE w > 0),
+  {name}_f AS (SELECT e.p, e.t, max(k.q) AS q, sum(CASE WHEN k.w > 0 THEN least(k.hi, greatest(k.lo, e.t * k.w)) ELSE k.lo END) AS f,
+    sum(CASE WHEN k.w > 0 AND k.lo / k.w <= e.t AND e.t < k.hi / k.w THEN k.w ELSE 0 END) AS s FROM {name}_e e JOIN {kids} k USING (p) GROUP BY 1, 2),
+  {name}_l AS (SELECT p, arg_max(CASE WHEN s > 1e-12 THEN t + (q - f) / s ELSE t END, t) AS x FROM {name}_f WHERE f <= q + 1e-9 GROUP BY 1),
+  {name}_v AS (SELECT k.*, CASE WHEN w > 0 THEN least(hi::DOUBLE, greatest(lo::DOUBLE, coalesce(x, 0) * w)) ELSE lo END AS v FROM {kids} k LEFT JOIN {name}_l USING (p)),
+  {name}_b AS (SELECT *, floor(v + 1e-9)::BIGINT AS b FROM {name}_v),
+  {name} AS (SELECT p, name, (b + CASE WHEN b < hi AND row_number() OVER (PARTITION BY p ORDER BY b >= hi, round(v - b, 9) DESC, name)
+    <= q - sum(b) OVER (PARTITION BY p) THEN 1 ELSE 0 END)::BIGINT AS got FROM {name}_b)"""
+
+
+_TAKEN = f"""
+  WITH {_LEAVES.strip()},
+  room AS (SELECT *, CASE WHEN w > 0 THEN 10**15 ELSE min_rows END::BIGINT AS most, CASE WHEN w > 0 THEN n_available ELSE least(n_available, min_rows) END AS can FROM leaf),
+  root AS (SELECT greatest((SELECT n FROM size), sum(min_rows))::BIGINT AS q, sum(can)::BIGINT AS can FROM room),
+  q1k AS (SELECT '' AS p, pk AS name, sum(w) AS w, sum(min_rows)::BIGINT AS lo, sum(most)::BIGINT AS hi, (SELECT q FROM root) AS q FROM room GROUP BY pk),
+  {_shared_sql('q1', 'q1k').strip()},
+  q2k AS (SELECT pk AS p, sk AS name, w, min_rows::BIGINT AS lo, most AS hi, got AS q FROM room JOIN q1 ON q1.name = pk),
+  {_shared_sql('q2', 'q2k').strip()},
+  t1k AS (SELECT '' AS p, pk AS name, sum(w) AS w, least(max(got), sum(can))::BIGINT AS lo, sum(can)::BIGINT AS hi, (SELECT least(q, can) FROM root) AS q
+    FROM room JOIN q1 ON q1.name = pk GROUP BY pk),
+  {_shared_sql('t1', 't1k').strip()},
+  t2k AS (SELECT pk AS p, sk AS name, w, least(q2.got, can)::BIGINT AS lo, can::BIGINT AS hi, t1.got AS q
+    FROM room JOIN t1 ON t1.name = pk JOIN q2 ON q2.p = pk AND q2.name = sk),
+  {_shared_sql('t2', 't2k').strip()},
+  plan AS (SELECT r.*, q2.got AS quota, t2.got AS n_taken FROM room r JOIN q2 ON q2.p = pk AND q2.name = sk JOIN t2 ON t2.p = pk AND t2.name = sk)"""
 _SOURCE = r"regexp_replace(regexp_replace(lower(source), '[\s\p{Z}\p{Pd}_.]+', '_', 'g'), '^_+|_+$', '', 'g')"
 
 # Windows of 400 characters that stand in two documents, by their digest.
@@ -195,7 +254,7 @@ _SPANS = f"""
 
 
 def oracle_sql() -> dict[str, str]:
-    """No SQL for p3_split, p4_sample, p6_mix (hashed orders) and p5, p7 (too slow over whole texts): these are tested against brute force."""
+    """No SQL for p3_split (a sequence of choices), p5_found (undoing markup) and p6_mix (a tokenizer): these are tested against brute force."""
     best = f"WITH once AS ({_VALID}), r AS (SELECT slide_path, draw, v AS tissue_fraction, row_number() OVER (PARTITION BY slide_path ORDER BY v DESC, draw) AS rank FROM once)"
     return {
         "p1_best": f"{best} SELECT slide_path, draw, tissue_fraction, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5",
@@ -205,7 +264,11 @@ def oracle_sql() -> dict[str, str]:
           SELECT cancer_type, mpp, n_values, CAST(unnest([{', '.join(map(str, POINTS))}]) AS DOUBLE) AS p, round(unnest(q), 9) AS percentile FROM qs""",
         "p2_days": f"{_FRACTIONS} SELECT day, cancer_type, mpp, count(*) AS n_values, round(quantile_cont(v, 0.5), 9) AS median FROM rows GROUP BY 1, 2, 3",
         "p3_found": f"WITH RECURSIVE {_NAMES.strip()} SELECT anchor_path, slide_path FROM member JOIN anchor USING (c) WHERE slide_path > anchor_path",
-        "p4_found": _SAMPLE,
+        "p4_found": f"WITH {_LEAVES.strip()} SELECT cancer_type, sample_type FROM leaf WHERE short",
+        "p4_report": f"""{_TAKEN} SELECT cancer_type, sample_type, quota, n_available, n_taken, greatest(n_taken - quota, 0) AS n_extra, n_taken AS n_drawn, short,
+          round(n_taken / (SELECT sum(n_taken) FROM plan), 9) AS actual_share FROM plan""",
+        "p4_sample": f"""{_TAKEN}, r AS (SELECT *, row_number() OVER (PARTITION BY pk, sk ORDER BY {bits_sql(0, 'slide_path')}, slide_path) AS k FROM one)
+          SELECT cancer_type, sample_type, slide_path FROM r JOIN plan USING (pk, sk) WHERE k <= n_taken""",
         "p7_found": f"WITH {_WINDOWS.strip()} SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id",
         "p7_report": _SPANS,
         "p6_found": f"""

@@ -5,43 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..columns import pick
 from ..materialize import cut, drop
 from ..ranking import grouped_prefix_sum
-
-# Words in the shape of a shortened patient id that name nobody.
-FILLERS = ["NO-NAME", "NO-DATA"]
+from ..skew import hot_buckets, join_one, repeat_one, split_many
 
 #: Most profiles whose left-over components are placed one after the other.
 GREEDY = 100_000
 
 
-def patients(value: Column) -> Column:
-    """The patients a text names, each as ``SS-PPPP`` (site and participant).
-
-    Letter case and the kind of separator do not matter; the project prefix may be
-    missing and sample, portion and slide codes may follow.  Ids of one repeated
-    character (``00-0000``, ``XX-XXXX``) are fillers and name nobody.
-    """
-    one = F.regexp_replace(F.upper(value), "[^A-Z0-9]+", "-")
-    found = F.regexp_extract_all(one, F.lit(r"(?<![A-Z0-9])(?:TCGA-)?([A-Z0-9]{2}-(?!TCGA(?![A-Z0-9]))[A-Z0-9]{4})(?![A-Z0-9])"), F.lit(1))
-    return F.filter(F.array_distinct(found), _real)
-
-
-def patient_of_path(path: Column) -> Column:
-    """The patient whose barcode opens the file name, as a list of one or none."""
-    name = F.upper(F.regexp_extract(path, r"([^/\\]*)$", 1))
-    found = F.regexp_extract(name, r"^TCGA-([A-Z0-9]{2}-[A-Z0-9]{4})(?![A-Z0-9])", 1)
-    return F.filter(F.array(found), lambda x: (x != "") & _real(x))
-
-
-def _real(x: Column) -> Column:
-    return ~x.rlike(r"^(.)\1-\1{4}$") & ~x.isin(FILLERS)
-
-
 def components(edges: DataFrame, record: str = "record", entity: str = "entity") -> DataFrame:
     """``entity, component``: the smallest entity each entity is connected to.
 
@@ -49,21 +24,24 @@ def components(edges: DataFrame, record: str = "record", entity: str = "entity")
     own label is followed in each round, so that chains shorten to half.  Records of a
     single entity link nothing.  A record of several links its smallest entity to each
     other one, so that records which name the same entities pass their labels once.
-    Null records and entities link nothing.
+    Entities of many links, and labels of many entities, are joined in parts.  Null records and entities link nothing.
     """
     e = pick(edges, r=record, e=entity).filter("r is not null and e is not null")
     first = e.groupBy("r").agg(F.min("e").alias("a"), F.max("e").alias("z")).filter("a < z").select("r", "a")
     links = e.join(first, "r").filter("e > a").select("a", F.col("e").alias("b")).distinct()
     links = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    hot = hot_buckets(links, "b")
+    many = split_many(links, "b", F.col("a"), hot)
     label = cut(links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("e"), F.least("a", "m").alias("l")))
     while True:
-        low = links.join(label, links["b"] == label["e"]).groupBy("a").agg(F.min("l").alias("m")).withColumnRenamed("a", "e")
-        new = label.join(low, "e").select("e", "l", F.least("l", "m").alias("m"))
+        of_b = repeat_one(label.select(F.col("e").alias("b"), "l"), "b", hot)
+        low = many.join(of_b, ["b", "_part"]).groupBy("a").agg(F.min("l").alias("m")).withColumnRenamed("a", "e")
+        new = cut(label.join(low, "e").select("e", "l", F.least("l", "m").alias("m")))
         hop = label.select(F.col("e").alias("m"), F.col("l").alias("ll"))
-        step = cut(new.join(hop, "m").select("e", F.least("m", "ll").alias("l"), (F.least("m", "ll") < F.col("l")).alias("changed")))
+        step = cut(join_one(new, hop, "m", F.col("e")).select("e", F.least("m", "ll").alias("l"), (F.least("m", "ll") < F.col("l")).alias("changed")))
         if step.filter("changed").isEmpty():
             break
-        drop(label)
+        drop(label, new)
         label = step.select("e", "l")
     rest = e.select("e").distinct().join(label, "e", "left")
     return rest.select(F.col("e").alias(entity), F.coalesce("l", "e").alias("component"))
@@ -73,7 +51,8 @@ def related(records: DataFrame, edges: DataFrame, record: str = "record", entity
     """``record, component``: null for a record that names nobody.  Distinct records; a null record is none."""
     all_ = pick(records, r=record).filter("r is not null").distinct()
     named = pick(edges, r=record, e=entity)
-    own = named.groupBy("r").agg(F.min("e").alias("e")).join(components(named, "r", "e"), "e")
+    own = cut(named.filter("r is not null and e is not null").groupBy("r").agg(F.min("e").alias("e")))
+    own = join_one(own, components(named, "r", "e"), "e", F.col("r"))
     return all_.join(own.select("r", "component"), "r", "left").select(F.col("r").alias(record), "component")
 
 
@@ -147,7 +126,7 @@ def grouped_split(
     placed = placed.select("k", "p", (F.col("i") - edge).alias("j"), split.alias("own"))
     # Components on the line were not rounded, whatever their place.
     placed = placed.join(chosen, ["p", "j"], "left").select("k", F.coalesce("split", "own").alias("split"))
-    return rows.join(placed, "k").select(F.col("r").alias(record), F.col("c").alias("component"), "split")
+    return join_one(rows, placed, "k", F.col("r")).select(F.col("r").alias(record), F.col("c").alias("component"), "split")
 
 
 def _line(many: DataFrame, names: list[str], shares: list[float], seed: int) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,8 +8,7 @@ from patchloom.llm.balance import BalancedSample, allocate, key_of, project_key
 
 def sample(items, targets, **kw):
     return BalancedSample(
-        items, targets, id="id", parent="c", leaf="s", share="share", least="least",
-        **{"parent_key": project_key, "leaf_key": key_of, **kw},
+        items, targets, id="id", levels=["c", "s"], share="share", least="least", keys=[project_key, key_of], **kw,
     )
 
 
@@ -38,7 +39,7 @@ def test_siblings_then_cousins(spark):
     assert {k: r.n_available for k, r in got.items()} == {
         ("TCGA-A", "Primary Tumor"): 60, ("TCGA-A", "Normal"): 10, ("TCGA-B", "Normal"): 30, ("TCGA-W", "Normal"): 0,
     }
-    # 18 normals wanted, 10 there: 8 more primaries; W's 6 go to both that have any left.
+    # Quotas 29, 17, 6, 6 and 2 of the minimum.  10 normals are there of 18; A's primaries stand in; W's 6 go to both that have any left.
     assert {k: r.short for k, r in got.items()} == {
         ("TCGA-A", "Primary Tumor"): False, ("TCGA-A", "Normal"): True, ("TCGA-B", "Normal"): False, ("TCGA-W", "Normal"): True,
     }
@@ -65,12 +66,66 @@ def test_nothing(spark):
     assert sample(items(spark), t.limit(0)).report().isEmpty()
 
 
+def plan(spark, rows, have, size, depth=2):
+    levels = [f"l{k}" for k in range(depth)]
+    ddl = ", ".join(f"{c} string" for c in levels)
+    t = spark.createDataFrame([(*p, s, m) for p, s, m in rows], f"{ddl}, share double, least int")
+    a = spark.createDataFrame([(*p, n) for p, n in have.items()], f"{ddl}, n_available long")
+    return {tuple(r[c] for c in levels): r for r in allocate(a, t, size, levels).collect()}
+
+
 @pytest.mark.parametrize("lack", [0, 5, 40])
 def test_allocation_never_takes_more_than_there_is(spark, lack):
-    t = spark.createDataFrame([("p", str(i), 0.25, 0) for i in range(4)], "parent string, leaf string, share double, least int")
-    a = spark.createDataFrame(
-        [("p", str(i), max(0, 25 - lack if i == 0 else 25 + 7 * i)) for i in range(4)], "parent string, leaf string, n_available long",
-    )
-    rows = allocate(a, t, 100).collect()
-    assert all(r.n_taken <= r.n_available for r in rows)
-    assert sum(r.n_taken for r in rows) == min(100, sum(r.n_available for r in rows))
+    got = plan(spark, [(("p", str(i)), 0.25, 0) for i in range(4)], {("p", str(i)): max(0, 25 - lack if i == 0 else 25 + 7 * i) for i in range(4)}, 100)
+    assert all(r.n_taken <= r.n_available for r in got.values())
+    assert sum(r.n_taken for r in got.values()) == min(100, sum(r.n_available for r in got.values()))
+
+
+def test_quotas_are_whole_and_add_up(spark):
+    rows = [((p, str(i)), 1 / 9, 0) for p in "abc" for i in range(3)]
+    got = plan(spark, rows, {r[0]: 100 for r in rows}, 100)
+    assert sorted(r.quota for r in got.values()) == [11] * 8 + [12] and sum(r.n_taken for r in got.values()) == 100
+    # The remainder of 100 / 3 goes to a, and of 34 / 3 to its first leaf.
+    assert got["a", "0"].quota == 12
+
+
+def test_minima_are_part_of_the_size(spark):
+    rows = [(("a", "0"), 0.98, 0), (("a", "1"), 0.01, 10), (("b", "0"), 0.01, 10), (("b", "1"), 0.0, 3)]
+    got = plan(spark, rows, {r[0]: 100 for r in rows}, 100)
+    assert {k: r.quota for k, r in got.items()} == {("a", "0"): 77, ("a", "1"): 10, ("b", "0"): 10, ("b", "1"): 3}
+    # Minima of more than the size hold.
+    got = plan(spark, rows, {r[0]: 100 for r in rows}, 20)
+    assert {k: r.n_taken for k, r in got.items()} == {("a", "0"): 0, ("a", "1"): 10, ("b", "0"): 10, ("b", "1"): 3}
+
+
+def test_siblings_stand_in_before_cousins(spark):
+    rows = [((p, str(i)), 1 / 6, 0) for p in "ab" for i in range(3)]
+    have = dict.fromkeys([r[0] for r in rows], 100)
+    got = plan(spark, rows, have | {("a", "0"): 0}, 60)
+    assert {k: r.n_taken for k, r in got.items()} == {("a", "0"): 0, ("a", "1"): 15, ("a", "2"): 15, ("b", "0"): 10, ("b", "1"): 10, ("b", "2"): 10}
+    got = plan(spark, rows, have | {("a", "0"): 0, ("a", "1"): 12, ("a", "2"): 12}, 60)
+    assert {k: (r.n_taken, r.n_extra) for k, r in got.items()} == {
+        ("a", "0"): (0, 0), ("a", "1"): (12, 2), ("a", "2"): (12, 2), ("b", "0"): (12, 2), ("b", "1"): (12, 2), ("b", "2"): (12, 2),
+    }
+
+
+def test_a_tree_of_three_levels(spark):
+    rows = [((a, b, c), 1 / 8, 0) for a in "xy" for b in "pq" for c in "12"]
+    have = dict.fromkeys([r[0] for r in rows], 100) | {("x", "p", "1"): 0, ("x", "p", "2"): 12}
+    got = plan(spark, rows, have, 80, depth=3)
+    # p lacks 8 of its 20, which stay inside x; y is as it was.
+    assert {k: r.n_taken for k, r in got.items() if k[0] == "x"} == {("x", "p", "1"): 0, ("x", "p", "2"): 12, ("x", "q", "1"): 14, ("x", "q", "2"): 14}
+    assert all(r.n_taken == 10 for k, r in got.items() if k[0] == "y")
+
+
+def test_random_trees(spark):
+    rnd = random.Random(4)
+    for _ in range(4):
+        rows = [((p, str(i)), rnd.random() * rnd.choice([0, 1, 5]), rnd.choice([0, 0, 3])) for p in "abcd" for i in range(rnd.randrange(1, 5))]
+        have = {r[0]: rnd.choice([0, 2, 30, 500]) for r in rows}
+        got = plan(spark, rows, have, 120)
+        assert all(min(r.quota, r.n_available) <= r.n_taken <= r.n_available for r in got.values())
+        assert all(r.quota >= r.least for r in got.values())
+        can = sum(r.n_available if r.share else min(r.n_available, r.least) for r in got.values())
+        assert sum(r.n_taken for r in got.values()) == min(can, max(120, sum(r.least for r in got.values())))
+        assert sum(r.quota for r in got.values()) == max(120, sum(r.least for r in got.values()))

@@ -66,3 +66,12 @@ def test_weights_signs_and_empty(spark):
     assert percentiles(summarise(df.limit(0), ["g"], "v"), ["g"], [0.5]).isEmpty()
     with pytest.raises(ValueError):
         percentiles(s, ["g"], [1.5])
+
+
+def test_infinite_values(spark):
+    inf = float("inf")
+    rows = [("a", v) for v in (inf, inf, inf, 1.0)] + [("b", -inf), ("b", 2.0), ("b", 4.0)] + [("c", -inf), ("c", inf)]
+    got = {(r.g, r.p): r.percentile for r in percentiles(summarise(spark.createDataFrame(rows, "g string, v double"), ["g"], "v"), ["g"], [0.0, 0.25, 0.5, 1.0]).collect()}
+    assert [got["a", p] for p in (0.0, 0.25, 0.5, 1.0)] == [1.0, inf, inf, inf]
+    assert [got["b", p] for p in (0.0, 0.25, 0.5, 1.0)] == [-inf, -inf, 2.0, 4.0]
+    assert got["c", 0.0] == -inf and got["c", 1.0] == inf and got["c", 0.5] != got["c", 0.5]

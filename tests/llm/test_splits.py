@@ -4,7 +4,9 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from patchloom.llm.splits import components, grouped_split, patient_of_path, patients, related
+from patchloom import skew
+from patchloom.llm.queries import patient_of_path, patients
+from patchloom.llm.splits import components, grouped_split, related
 
 
 @pytest.mark.parametrize(
@@ -81,6 +83,17 @@ def test_components_against_union_find(spark, seed):
     assert {r.entity: r.component for r in components(df).collect()} == union_find(edges)
 
 
+def test_hub_entities_are_joined_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT", 40)
+    rnd = random.Random(8)
+    edges = [(f"r{i}", e) for i in range(300) for e in ("zhub" if i % 3 else "hub", f"e{rnd.randrange(200)}")] + [(f"s{i}", f"e{200 + i}") for i in range(30)]
+    df = spark.createDataFrame(edges, "record string, entity string")
+    got = {r.record: r.component for r in related(df.select("record"), df).collect()}
+    groups = Counter(got.values())
+    # The two hubs meet through the entities that name both.
+    assert len(got) == 330 and sorted(groups.values()) == [1] * 30 + [300] and min(groups) == got["r0"]
+
+
 def test_long_chain_star_and_nothing(spark):
     n = 150
     chain = [(f"r{i}", f"e{j:04d}") for i in range(n) for j in (i, i + 1)]
