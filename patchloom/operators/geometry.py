@@ -55,25 +55,34 @@ def grid(
     Slides smaller than a patch have none.  A slide without that level is an error,
     as asked for by name; nulls in ``mpp`` stay null.
     """
+    s = sized(slides, patch_size, level, stride)
+    s = s.withColumn("y", F.explode(steps(F.col("height"))))
+    s = s.withColumn("x", F.explode(steps(F.col("width"))))
+    level = F.lit(level) if isinstance(level, int) else level
+    return s.select(
+        "path", "x", "y", level.alias("level"), F.lit(patch_size).alias("patch_size"), (F.col("mpp") * F.col("_ds")).alias("mpp"),
+        F.col("_p").alias("footprint"), *(keep or []),
+    )
+
+
+def sized(slides: DataFrame, patch_size: int, level: Column | int, stride: int | None) -> DataFrame:
+    """Slides large enough for a patch with ``_ds, _p, _s``: downsample of the level, and patch and stride in level-0 pixels."""
     if patch_size < 1 or (stride is not None and stride < 1):
         raise ValueError("patch_size and stride must be at least 1")
-    ds = downsample_of(level)
-    s = slides.withColumn("_ds", ds)
+    s = slides.withColumn("_ds", downsample_of(level))
     s = s.withColumn("_p", (F.lit(patch_size) * F.col("_ds")).cast("int")).withColumn(
         "_s", F.greatest(F.lit(1), (F.lit(stride or patch_size) * F.col("_ds")).cast("int")),
     )
-    s = s.filter(F.col("_ds").isNull() | ((F.col("height") >= F.col("_p")) & (F.col("width") >= F.col("_p"))))
-    # The error is raised where rows are made, so that slides filtered out before raise none.
+    return s.filter(F.col("_ds").isNull() | ((F.col("height") >= F.col("_p")) & (F.col("width") >= F.col("_p"))))
+
+
+def steps(length: Column) -> Column:
+    """Starts along one side of a slide of :func:`sized`.
+
+    The error is raised where rows are made, so that slides filtered out before raise none.
+    """
     lacks = F.raise_error(F.lit("a slide lacks the level of the grid")).cast("array<int>")
-    s = s.withColumn(
-        "y", F.explode(F.when(F.col("_ds").isNull(), lacks).otherwise(F.sequence(F.lit(0), F.col("height") - F.col("_p"), F.col("_s")))),
-    )
-    s = s.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - F.col("_p"), F.col("_s"))))
-    level = F.lit(level) if isinstance(level, int) else level
-    return s.select(
-        "path", "x", "y", level.alias("level"), F.lit(patch_size).alias("patch_size"), (F.col("mpp") * F.col("_ds")).alias("mpp"),
-        F.col("_p").alias("footprint"), *(keep or []),
-    )
+    return F.when(F.col("_ds").isNull(), lacks).otherwise(F.sequence(F.lit(0), length - F.col("_p"), F.col("_s")))
 
 
 def rank_partition(slides: DataFrame, order: str, rank: int, world: int) -> DataFrame:
@@ -112,9 +121,13 @@ def view_centre(
 def continuous_crop(target: Column, output_size: int) -> tuple[Column, Column, Column]:
     """Level, side at that level and side in level-0 pixels of a crop that shows ``output_size`` pixels at the target mpp."""
     level = coarsest_level(target)
-    ds = downsample_of(level)
-    crop = F.greatest(F.lit(1.0), F.rint(F.lit(float(output_size)) * target / (F.col("mpp") * ds))).cast("int")
-    return level, crop, F.rint(crop * ds).cast("int")
+    return level, *crop_at(target, downsample_of(level), output_size)
+
+
+def crop_at(target: Column, downsample: Column, output_size: int) -> tuple[Column, Column]:
+    """Side of that crop at its level and in level-0 pixels."""
+    crop = F.greatest(F.lit(1.0), F.rint(F.lit(float(output_size)) * target / (F.col("mpp") * downsample))).cast("int")
+    return crop, F.rint(crop * downsample).cast("int")
 
 
 def magnification_histogram(patches: DataFrame) -> DataFrame:

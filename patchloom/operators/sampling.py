@@ -2,6 +2,10 @@
 
 Every draw is a pure function of (seed, slide, draw, attempt), so a sample is the
 same for any partitioning and any draw can be made again alone.
+
+Draws and grid cells are made and tested against the mask inside the slide's row, and only those
+with tissue become rows of their own: slides meet their masks in one join, rejected attempts never
+leave the row, and no further attempt is made once one has found tissue.
 """
 
 from __future__ import annotations
@@ -9,9 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.pixels import once
 from ..functions.rng import uniform
-from .geometry import best_level, continuous_crop, downsample_of, grid
-from .masks import contains_tissue, fractions
+from .geometry import best_level, coarsest_level, crop_at, downsample_of, grid, sized, steps
+from .masks import fraction_at, with_sums
+
+#: Entries of a cumulated distribution that are searched one by one.
+BLOCK = 32
 
 
 def _pick(u: Column, room: Column) -> Column:
@@ -25,21 +33,59 @@ def draws(slides: DataFrame, n: int, seed: int, epoch: int = 0) -> DataFrame:
     return d.withColumn("u_level", uniform(seed, epoch, "path", "draw", F.lit("level")))
 
 
-def attempts(d: DataFrame, masks: DataFrame, seed: int, retries: int, threshold: float, epoch: int = 0) -> DataFrame:
-    """The first of ``retries`` uniform positions of each draw that has tissue.
+def drawn(slides: DataFrame, masks: DataFrame, n: int, draw, seed: int, retries: int, threshold: float, epoch: int = 0) -> DataFrame:
+    """The slides' rows with the fields of ``n`` draws each, and for each the first of ``retries`` uniform positions that has tissue.
 
-    ``d`` has ``path, draw, width, height, footprint``; a footprint larger than the
-    slide finds nothing.  Draws that find nothing have null ``x`` and ``y``.
+    ``draw(k, u)`` is the struct of draw ``k``, with a ``footprint``; ``u`` is its number for the choice of a
+    magnification.  A footprint larger than the slide finds nothing.  Draws that find nothing have null
+    ``x`` and ``y``.
     """
-    fits = d.filter((F.col("footprint") <= F.col("width")) & (F.col("footprint") <= F.col("height")))
-    t = fits.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(retries - 1))))
-    t = t.withColumn("x", _pick(uniform(seed, epoch, "path", "draw", "attempt", F.lit("x")), F.col("width") - F.col("footprint")))
-    t = t.withColumn("y", _pick(uniform(seed, epoch, "path", "draw", "attempt", F.lit("y")), F.col("height") - F.col("footprint")))
-    hit = contains_tissue(fractions(t, masks), threshold)
-    first = hit.groupBy("path", "draw").agg(
-        F.min(F.struct("attempt", "x", "y", "tissue_fraction")).alias("f")
-    ).select("path", "draw", "f.attempt", "f.x", "f.y", "f.tissue_fraction")
-    return d.join(first, ["path", "draw"], "left")
+    s = with_sums(slides, masks)
+    width, height = F.col("width"), F.col("height")
+    none = F.struct(*[F.lit(None).cast("int").alias(c) for c in ("attempt", "x", "y")], F.lit(None).cast("double").alias("tissue_fraction"))
+
+    def position(k: Column, side: Column, t: Column) -> Column:
+        lane = lambda name, room: _pick(uniform(seed, epoch, "path", k, t, F.lit(name)), room - side)
+        return F.struct(lane("x", width).alias("x"), lane("y", height).alias("y"))
+
+    def tried(d: Column) -> Column:
+        k, side = d["draw"], d["footprint"]
+
+        def attempt(found: Column, t: Column) -> Column:
+            def look(c: Column) -> Column:
+                hit = lambda f: F.when(f >= threshold, F.struct(t.alias("attempt"), c["x"].alias("x"), c["y"].alias("y"), f.alias("tissue_fraction"))).otherwise(none)
+                return once(fraction_at(c["x"], c["y"], side), hit)
+
+            return F.when(found["attempt"].isNotNull(), found).otherwise(once(position(k, side, t), look))
+
+        fits = (side <= width) & (side <= height)
+        # A mask with no tissue at all needs no attempts.
+        some = F.lit(threshold <= 0) | (F.element_at("_sat", -1) > 0)
+        return F.when(fits & some, F.aggregate(F.sequence(F.lit(0), F.lit(retries - 1)), none, attempt)).otherwise(none)
+
+    each = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: draw(k, uniform(seed, epoch, "path", k, F.lit("level"))))
+    both = F.transform(each, lambda d: F.struct(d.alias("d"), tried(d).alias("f")))
+    rows = s.select("path", F.explode(both).alias("_r"))
+    return rows.select("path", "_r.d.*", "_r.f.*")
+
+
+def cells(
+    slides: DataFrame, masks: DataFrame, patch_size: int = 256, level: Column | int = 0, stride: int | None = None, threshold: float = 0.4,
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """The cells of :func:`.geometry.grid` with tissue: ``path, x, y, level, patch_size, mpp, footprint, tissue_fraction``."""
+    s = sized(with_sums(slides, masks), patch_size, level, stride)
+    xs, ys = steps(F.col("width")), steps(F.col("height"))
+
+    def row(y: Column) -> Column:
+        cell = lambda x: F.struct(x.alias("x"), y.alias("y"), fraction_at(x, y, F.col("_p")).alias("tissue_fraction"))
+        return F.filter(F.transform(xs, cell), lambda c: c["tissue_fraction"] >= threshold)
+
+    s = s.select(
+        "path", F.explode(F.flatten(F.transform(ys, row))).alias("_c"), (F.lit(level) if isinstance(level, int) else level).alias("level"),
+        F.lit(patch_size).alias("patch_size"), (F.col("mpp") * F.col("_ds")).alias("mpp"), F.col("_p").alias("footprint"), *(keep or []),
+    )
+    return s.select("path", "_c.x", "_c.y", "level", "patch_size", "mpp", "footprint", "_c.tissue_fraction", *(keep or []))
 
 
 def until_failures(rows: DataFrame, most: int) -> DataFrame:
@@ -63,7 +109,8 @@ def random_coords(
         "footprint", (F.lit(patch_size) * F.col("downsample")).cast("int"),
     )
     s = s.select("path", "width", "height", "level", (F.col("mpp") * F.col("downsample")).alias("mpp"), "footprint")
-    rows = until_failures(attempts(draws(s, n, seed, epoch), masks, seed, retries, threshold, epoch), 1)
+    draw = lambda k, u: F.struct(k.alias("draw"), *[F.col(c).alias(c) for c in ("level", "mpp", "footprint")])
+    rows = until_failures(drawn(s, masks, n, draw, seed, retries, threshold, epoch), 1)
     return rows.select("path", "draw", "x", "y", "level", F.lit(patch_size).alias("patch_size"), "mpp", "tissue_fraction")
 
 
@@ -71,8 +118,35 @@ def pool(coords: DataFrame, seed: int, size: int | None = None, epoch: int = 0,
     """A shuffled pool without replacement: ``draw`` is the place in the permutation, cut at ``size``."""
     by = by or ["path"]
     order = [uniform(seed, epoch, "path", "level", "x", "y"), F.col("level"), F.col("y"), F.col("x")]
-    p = coords.withColumn("draw", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
-    return p.filter(F.col("draw") < size) if size else p
+    p = coords.withColumn("draw", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    # The limit on the number itself lets Spark keep no more than ``size`` rows of each group while it sorts.
+    p = p.filter(F.col("draw") <= size) if size else p
+    return p.withColumn("draw", F.col("draw") - 1)
+
+
+def pool_draws(coords: DataFrame, seed: int, most: int | None, opening: int = 0) -> DataFrame:
+    """What the ``opening``-th visit to each slide draws from its pool, at most ``most`` at a time.
+
+    The pool lives on from visit to visit: each takes the next places of the permutation, and the visit after
+    the last place begins a new one.  So every cell comes once before any comes again.  ``draw`` counts from 0.
+    """
+    if most is None:
+        return pool(coords, seed, None, opening)
+    n = F.count("*").over(Window.partitionBy("path"))
+    c = coords.withColumn("_visits", F.ceil(n / most).cast("long"))
+    c = c.withColumn("_pass", F.floor(F.lit(opening) / F.col("_visits")).cast("long")).withColumn("_slot", F.lit(opening) % F.col("_visits"))
+    order = [uniform(seed, F.col("_pass"), "path", "level", "x", "y"), F.col("level"), F.col("y"), F.col("x")]
+    c = c.withColumn("draw", F.row_number().over(Window.partitionBy("path").orderBy(*order)) - 1 - F.col("_slot") * most)
+    return c.filter(F.col("draw").between(0, most - 1)).withColumn("draw", F.col("draw").cast("int")).drop("_visits", "_pass", "_slot")
+
+
+def random_pool(
+    slides: DataFrame, masks: DataFrame, n: int | None = None, *, patch_size: int = 256, level: int = 0, target_mpp: float | None = None,
+    threshold: float = 0.4, seed: int = 0, opening: int = 0,
+) -> DataFrame:
+    """The random sampler without replacement: cells of the grid at the level (or the one closest to ``target_mpp``), shuffled."""
+    s = slides.withColumn("_level", best_level(target_mpp) if target_mpp else F.lit(level))
+    return pool_draws(cells(s, masks, patch_size, F.col("_level"), threshold=threshold), seed, n, opening)
 
 
 def level_weights(slides: DataFrame, targets: list[float], weights: list[float]) -> DataFrame:
@@ -95,13 +169,14 @@ def race(coords: DataFrame, weights: DataFrame, seed: int, size: int | None = No
     exponential waits of rate ``weight``.  Since the waits forget the past, the next
     arrival belongs to a level with the probability of its weight among those left.
     """
-    p = pool(coords, seed, size, epoch, ["path", "level"])
-    p = p.join(weights, ["path", "level"])
+    p = coords if "weight" in coords.columns else coords.join(weights, ["path", "level"])
+    p = pool(p, seed, size, epoch, ["path", "level"])
     wait = -F.log(F.lit(1.0) - uniform(seed, epoch, "path", "level", "x", "y", F.lit("wait"))) / F.col("weight")
     order = Window.partitionBy("path", "level").orderBy("draw").rowsBetween(Window.unboundedPreceding, 0)
     p = p.withColumn("arrival", F.sum(wait).over(order)).withColumn("level_draw", F.col("draw"))
-    p = p.withColumn("draw", F.row_number().over(Window.partitionBy("path").orderBy(F.round("arrival", 9), "level", "level_draw")) - 1)
-    return p.filter(F.col("draw") < size) if size else p
+    p = p.withColumn("draw", F.row_number().over(Window.partitionBy("path").orderBy(F.round("arrival", 9), "level", "level_draw")))
+    p = p.filter(F.col("draw") <= size) if size else p
+    return p.withColumn("draw", F.col("draw") - 1)
 
 
 def multi_pool(
@@ -110,16 +185,21 @@ def multi_pool(
 ) -> DataFrame:
     """Grids of the levels of several magnifications in one weighted order; a slide of unknown mpp has its level 0 alone."""
     w = level_weights(slides, targets, weights)
-    on = slides.join(w.select("path", F.col("level").alias("lv")), "path")
-    cells = grid(on, patch_size, F.col("lv"))
-    if masks is not None:
-        cells = contains_tissue(fractions(cells, masks), threshold)
-    return race(cells, w, seed, size, epoch)
+    on = slides.join(w.select("path", F.col("level").alias("lv"), "weight"), "path")
+    if masks is None:
+        made = grid(on, patch_size, F.col("lv"), keep=["weight"])
+    else:
+        made = cells(on, masks, patch_size, F.col("lv"), threshold=threshold, keep=["weight"])
+    return race(made, w, seed, size, epoch)
 
 
 def categorical(u: Column, values: list[float], weights: list[float]) -> Column:
     """The value whose share of the cumulated weights holds ``u``."""
     check_weights(values, weights)
+    return _chosen(u, values, weights)
+
+
+def _chosen(u: Column, values: list, weights: list[float]) -> Column:
     total, done = float(sum(weights)), 0.0
     live = [(v, w) for v, w in zip(values, weights, strict=True) if w > 0]
     chosen: Column | None = None
@@ -136,14 +216,26 @@ def multi_magnification(
     threshold: float = 0.4, retries: int = 50, most_failures: int = 100, seed: int = 0, epoch: int = 0,
 ) -> DataFrame:
     """Draw a magnification, then a patch of its level; a slide ends after ``most_failures`` draws in a row without tissue."""
-    d = draws(slides, n, seed, epoch)
-    d = d.withColumn(
-        "target", F.when(F.col("mpp").isNotNull(), categorical(F.col("u_level"), list(targets), list(weights or [1.0] * len(targets)))),
-    )
-    d = d.withColumn("level", best_level(F.col("target"))).withColumn("downsample", downsample_of(F.col("level")))
-    d = d.withColumn("footprint", (F.lit(patch_size) * F.col("downsample")).cast("int"))
-    d = d.select("path", "draw", "width", "height", "level", "target", (F.col("mpp") * F.col("downsample")).alias("mpp"), "footprint")
-    rows = until_failures(attempts(d, masks, seed, retries, threshold, epoch), most_failures)
+    # What each target means on a slide is worked out once a slide, and looked up by each draw.
+    live = [(float(t), float(w)) for t, w in zip(targets, weights or [1.0] * len(targets), strict=True)]
+    check_weights([t for t, _ in live], [w for _, w in live])
+
+    def choice(target: float | None) -> Column:
+        level = F.lit(0) if target is None else best_level(target)
+        ds = downsample_of(level)
+        return F.struct(
+            level.cast("int").alias("level"), F.lit(target).cast("double").alias("target"), (F.col("mpp") * ds).alias("mpp"),
+            (F.lit(patch_size) * ds).cast("int").alias("footprint"),
+        )
+
+    s = slides.select("path", "width", "height", "mpp", F.array(*[choice(t) for t, _ in live]).alias("_of"), choice(None).alias("_none"))
+
+    def draw(k: Column, u: Column) -> Column:
+        at = _chosen(u, list(range(len(live))), [w for _, w in live])
+        fields = lambda c: F.struct(k.alias("draw"), *[c[f].alias(f) for f in ("level", "target", "mpp", "footprint")])
+        return once(F.when(F.col("mpp").isNull(), F.col("_none")).otherwise(F.get("_of", at)), fields)
+
+    rows = until_failures(drawn(s, masks, n, draw, seed, retries, threshold, epoch), most_failures)
     return rows.select("path", "draw", "x", "y", "level", "target", F.lit(patch_size).alias("patch_size"), "mpp", "tissue_fraction")
 
 
@@ -202,21 +294,41 @@ def continuous(
     The magnification, the finer level and the crop follow; crops larger than the slide
     and draws without tissue count as failures.  A slide of unknown mpp is sampled at level 0.
     """
-    d = draws(slides, n, seed, epoch)
-    if cdf is None:
-        d = d.withColumn("target", F.lit(low) + F.lit(high - low) * F.col("u_level"))
-    else:
-        # One array row, as long as the fixed grid; looked up by counting smaller entries.
+    s = slides.select("path", "width", "height", "mpp", "levels")
+    if cdf is not None:
+        # One array row, as long as the fixed grid.
         one = cdf.agg(F.array_sort(F.collect_list(F.struct("cdf", "x"))).alias("_c"))
-        d = d.crossJoin(F.broadcast(one))
-        at = F.least(F.size(F.filter("_c", lambda e: e["cdf"] <= F.col("u_level"))), F.size("_c") - 1)
-        d = d.withColumn("target", F.get("_c", at)["x"]).drop("_c")
-    level, crop, side = continuous_crop(F.col("target"), output_size)
-    known = F.col("mpp").isNotNull()
-    d = d.withColumn("level", F.when(known, level).otherwise(0)).withColumn("patch_size", F.when(known, crop).otherwise(output_size))
-    d = d.withColumn("footprint", F.when(known, side).otherwise(F.floor(F.lit(output_size) * downsample_of(0))).cast("int"))
-    d = d.select("path", "draw", "width", "height", "level", "patch_size", F.when(known, F.col("target")).alias("mpp"), "footprint")
-    rows = until_failures(attempts(d, masks, seed, retries, threshold, epoch), most_failures)
+        s = s.crossJoin(F.broadcast(one))
+
+    def target(u: Column) -> Column:
+        if cdf is None:
+            return F.lit(low) + F.lit(high - low) * u
+        # The first entry above u: its block of BLOCK entries by the blocks' first ones, then inside the block.
+        firsts = F.transform(F.sequence(F.lit(0), F.size("_c") - 1, F.lit(BLOCK)), lambda i: F.get("_c", i)["cdf"])
+        start = F.greatest(F.size(F.filter(firsts, lambda e: e <= u)) - 1, F.lit(0)) * BLOCK
+        at = start + F.size(F.filter(F.slice("_c", start + 1, BLOCK), lambda e: e["cdf"] <= u))
+        return F.get("_c", F.least(at, F.size("_c") - 1))["x"]
+
+    def draw(k: Column, u: Column) -> Column:
+        def known(t: Column) -> Column:
+            def placed(level: Column) -> Column:
+                def sized_(ds: Column) -> Column:
+                    crop, side = crop_at(t, ds, output_size)
+                    return F.struct(
+                        k.alias("draw"), level.alias("level"), crop.alias("patch_size"), t.alias("mpp"), side.alias("footprint"),
+                    )
+
+                return once(downsample_of(level), sized_)
+
+            return once(coarsest_level(t), placed)
+
+        unknown = F.struct(
+            k.alias("draw"), F.lit(0).alias("level"), F.lit(output_size).alias("patch_size"), F.lit(None).cast("double").alias("mpp"),
+            F.floor(F.lit(output_size) * downsample_of(0)).cast("int").alias("footprint"),
+        )
+        return F.when(F.col("mpp").isNull(), unknown).otherwise(once(target(u), known))
+
+    rows = until_failures(drawn(s, masks, n, draw, seed, retries, threshold, epoch), most_failures)
     return rows.select("path", "draw", "x", "y", "level", "patch_size", "mpp", "footprint", "tissue_fraction")
 
 

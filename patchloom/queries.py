@@ -117,7 +117,8 @@ def tissue_fraction(spark, d):
 
 @query(f"{_GRID_FRACTION} SELECT path, x, y, 0 AS level, round(mpp, 6) AS mpp, round(frac, 6) AS tissue_fraction FROM fr WHERE frac >= 0.4")
 def tissue_grid(spark, d):
-    return tissue.contains_tissue(_grid_fraction(spark, d), 0.4).select(
+    s = slides(spark, d)
+    return sampling.cells(s, masks(s), 2048).select(
         "path", "x", "y", "level", F.round("mpp", 6).alias("mpp"), F.round("tissue_fraction", 6).alias("tissue_fraction"),
     )
 
@@ -175,7 +176,7 @@ def _attempt_sql(src: str, seed: int, tries: int) -> str:
 
 
 _RANDOM = f"""WITH {SLIDES}, {LEVELS}, {CELLS},
-  d0 AS (SELECT path, width, height, mpp * ds AS mpp, trunc(1024 * ds)::INT AS p, draw::INT AS draw FROM lv, range(5) r(draw) WHERE level = 0), {_attempt_sql('d0', 7, 10)},
+  d0 AS (SELECT path, width, height, mpp * ds AS mpp, trunc(256 * ds)::INT AS p, draw::INT AS draw FROM lv, range(100) r(draw) WHERE level = 0), {_attempt_sql('d0', 7, 50)},
   stop AS (SELECT path, min(draw) AS s FROM d0 LEFT JOIN hit USING (path, draw) WHERE x IS NULL GROUP BY path)
   SELECT path, draw, x, y, round(frac, 6) AS tissue_fraction FROM hit LEFT JOIN stop USING (path) WHERE s IS NULL OR draw < s"""
 
@@ -183,39 +184,39 @@ _RANDOM = f"""WITH {SLIDES}, {LEVELS}, {CELLS},
 @query(_RANDOM)
 def random_coords(spark, d):
     s = slides(spark, d)
-    c = sampling.random_coords(s, masks(s), 5, patch_size=1024, retries=10, seed=7)
+    c = sampling.random_coords(s, masks(s), 100, seed=7)
     return c.select("path", "draw", "x", "y", F.round("tissue_fraction", 6).alias("tissue_fraction"))
 
 
 _MULTI_PICK = f"CASE WHEN mpp IS NULL THEN NULL WHEN u < {0.4 / 1.0!r} THEN 0.25 WHEN u < {(0.4 + 0.3) / 1.0!r} THEN 0.5 WHEN u < {(0.4 + 0.3 + 0.2) / 1.0!r} THEN 1.0 ELSE 2.0 END::DOUBLE"
 _LEVEL_DRAW = uniform_sql(9, 0, "path", "draw", "'level'")
 _MULTI = f"""WITH {SLIDES}, {LEVELS}, {CELLS}, {_BEST},
-  u AS (SELECT path, width, height, mpp, draw::INT AS draw, {_LEVEL_DRAW} AS u FROM sl, range(5) r(draw)),
+  u AS (SELECT path, width, height, mpp, draw::INT AS draw, {_LEVEL_DRAW} AS u FROM sl, range(100) r(draw)),
   k AS (SELECT *, {_MULTI_PICK} AS target FROM u),
-  d0 AS (SELECT k.path, k.draw, k.width, k.height, k.target, v.level, trunc(512 * v.ds)::INT AS p FROM k LEFT JOIN best b ON b.path = k.path AND b.target = k.target
-    JOIN lv v ON v.path = k.path AND v.level = coalesce(b.level, 0)), {_attempt_sql('d0', 9, 10)}
+  d0 AS (SELECT k.path, k.draw, k.width, k.height, k.target, v.level, trunc(256 * v.ds)::INT AS p FROM k LEFT JOIN best b ON b.path = k.path AND b.target = k.target
+    JOIN lv v ON v.path = k.path AND v.level = coalesce(b.level, 0)), {_attempt_sql('d0', 9, 50)}
   SELECT path, draw, x, y, level, target, round(frac, 6) AS tissue_fraction FROM hit JOIN d0 USING (path, draw)"""
 
 
 @query(_MULTI)
 def multi_magnification(spark, d):
     s = slides(spark, d)
-    c = sampling.multi_magnification(s, masks(s), 5, weights=WEIGHTS, patch_size=512, retries=10, seed=9)
+    c = sampling.multi_magnification(s, masks(s), 100, weights=WEIGHTS, seed=9)
     return c.select("path", "draw", "x", "y", "level", "target", F.round("tissue_fraction", 6).alias("tissue_fraction"))
 
 
 _CONT = f"""WITH {SLIDES}, {LEVELS}, {CELLS},
-  u AS (SELECT path, width, height, mpp, draw::INT AS draw, 0.25::DOUBLE + 1.75::DOUBLE * {_LEVEL_DRAW.replace("'9'", "9")} AS t FROM sl, range(5) r(draw)),
+  u AS (SELECT path, width, height, mpp, draw::INT AS draw, 0.25::DOUBLE + 1.75::DOUBLE * {_LEVEL_DRAW.replace("'9'", "9")} AS t FROM sl, range(100) r(draw)),
   k AS (SELECT u.*, coalesce(max(v.level) FILTER (v.ds * u.mpp <= t), 0) AS level FROM u JOIN lv v USING (path) GROUP BY ALL),
-  c AS (SELECT k.*, v.ds, CASE WHEN k.mpp IS NULL THEN 1024 ELSE greatest(1, round_even(1024 * t / (k.mpp * v.ds), 0)) END::INT AS crop FROM k JOIN lv v ON v.path = k.path AND v.level = k.level),
-  d0 AS (SELECT path, draw, width, height, mpp, t, level, crop, CASE WHEN mpp IS NULL THEN floor(1024 * ds) ELSE round_even(crop * ds, 0) END::INT AS p FROM c), {_attempt_sql('d0', 9, 10)}
+  c AS (SELECT k.*, v.ds, CASE WHEN k.mpp IS NULL THEN 224 ELSE greatest(1, round_even(224 * t / (k.mpp * v.ds), 0)) END::INT AS crop FROM k JOIN lv v ON v.path = k.path AND v.level = k.level),
+  d0 AS (SELECT path, draw, width, height, mpp, t, level, crop, CASE WHEN mpp IS NULL THEN floor(224 * ds) ELSE round_even(crop * ds, 0) END::INT AS p FROM c), {_attempt_sql('d0', 9, 50)}
   SELECT path, draw, x, y, level, crop AS patch_size, CASE WHEN mpp IS NOT NULL THEN round(t, 6) END AS mpp, round(frac, 6) AS tissue_fraction FROM hit JOIN d0 USING (path, draw)"""
 
 
 @query(_CONT)
 def continuous_magnification(spark, d):
     s = slides(spark, d)
-    c = sampling.continuous(s, masks(s), 5, output_size=1024, retries=10, seed=9)
+    c = sampling.continuous(s, masks(s), 100, seed=9)
     return c.select(
         "path", "draw", "x", "y", "level", "patch_size", F.round("mpp", 6).alias("mpp"),
         F.round("tissue_fraction", 6).alias("tissue_fraction"),
