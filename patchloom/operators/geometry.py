@@ -6,6 +6,8 @@ Slides are rows ``path, width, height, mpp, vendor, levels``; ``levels`` holds
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,11 +87,20 @@ def steps(length: Column) -> Column:
     return F.when(F.col("_ds").isNull(), lacks).otherwise(F.sequence(F.lit(0), length - F.col("_p"), F.col("_s")))
 
 
-def rank_partition(slides: DataFrame, order: str, rank: int, world: int) -> DataFrame:
-    """Every ``world``-th row in the given order, from ``rank`` on."""
+def rank_partition(slides: DataFrame, order: str, rank: int | None = None, world: int | None = None) -> DataFrame:
+    """Every ``world``-th row in the given order, from ``rank`` on.
+
+    Ranks that are not given are those of the environment (``RANK``, ``WORLD_SIZE``), or else one rank for all.
+    A rank for which no row is left is an error.
+    """
+    rank = int(os.environ.get("RANK", 0)) if rank is None else rank
+    world = int(os.environ.get("WORLD_SIZE", 1)) if world is None else world
     if world < 1 or not 0 <= rank < world:
         raise ValueError("rank must lie between 0 and world - 1")
-    return shards(slides, order, world).filter(F.col("shard") == rank).drop("shard")
+    own = shards(slides, order, world).filter(F.col("shard") == rank).drop("shard")
+    if own.isEmpty():
+        raise RuntimeError(f"there are no rows for rank {rank} of {world}")
+    return own
 
 
 def shards(slides: DataFrame, order: str, world: int, workers: int = 1) -> DataFrame:
@@ -137,5 +148,3 @@ def magnification_histogram(patches: DataFrame) -> DataFrame:
 
 def duplicate_paths(slides: DataFrame) -> DataFrame:
     return slides.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
-
-

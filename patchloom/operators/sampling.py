@@ -33,40 +33,45 @@ def draws(slides: DataFrame, n: int, seed: int, epoch: int = 0) -> DataFrame:
     return d.withColumn("u_level", uniform(seed, epoch, "path", "draw", F.lit("level")))
 
 
-def drawn(slides: DataFrame, masks: DataFrame, n: int, draw, seed: int, retries: int, threshold: float, epoch: int = 0) -> DataFrame:
-    """The slides' rows with the fields of ``n`` draws each, and for each the first of ``retries`` uniform positions that has tissue.
+def attempt(seed: int | str, epoch: int | str, draw: Column, side: Column, retries: int, threshold: float) -> Column:
+    """``attempt, x, y, tissue_fraction`` of the first of ``retries`` uniform positions of a square that has tissue, else nulls.
 
-    ``draw(k, u)`` is the struct of draw ``k``, with a ``footprint``; ``u`` is its number for the choice of a
-    magnification.  A footprint larger than the slide finds nothing.  Draws that find nothing have null
-    ``x`` and ``y``.
+    In a row of :func:`.masks.with_sums` with ``width`` and ``height``.
     """
-    s = with_sums(slides, masks)
     width, height = F.col("width"), F.col("height")
     none = F.struct(*[F.lit(None).cast("int").alias(c) for c in ("attempt", "x", "y")], F.lit(None).cast("double").alias("tissue_fraction"))
 
-    def position(k: Column, side: Column, t: Column) -> Column:
-        lane = lambda name, room: _pick(uniform(seed, epoch, "path", k, t, F.lit(name)), room - side)
+    def position(t: Column) -> Column:
+        lane = lambda name, room: _pick(uniform(seed, epoch, "path", draw, t, F.lit(name)), room - side)
         return F.struct(lane("x", width).alias("x"), lane("y", height).alias("y"))
 
-    def tried(d: Column) -> Column:
-        k, side = d["draw"], d["footprint"]
+    def one(found: Column, t: Column) -> Column:
+        def look(c: Column) -> Column:
+            hit = lambda f: F.when(f >= threshold, F.struct(t.alias("attempt"), c["x"].alias("x"), c["y"].alias("y"), f.alias("tissue_fraction"))).otherwise(none)
+            return once(fraction_at(c["x"], c["y"], side), hit)
+
+        # Nothing is computed any more once there is a position.
+        return F.when(found["attempt"].isNotNull(), found).otherwise(once(position(t), look))
 
-        def attempt(found: Column, t: Column) -> Column:
-            def look(c: Column) -> Column:
-                hit = lambda f: F.when(f >= threshold, F.struct(t.alias("attempt"), c["x"].alias("x"), c["y"].alias("y"), f.alias("tissue_fraction"))).otherwise(none)
-                return once(fraction_at(c["x"], c["y"], side), hit)
+    fits = (side <= width) & (side <= height)
+    # A mask with no tissue at all needs no attempts.
+    some = F.lit(threshold <= 0) | (F.element_at("_sat", -1) > 0)
+    return F.when(fits & some, F.aggregate(F.sequence(F.lit(0), F.lit(retries - 1)), none, one)).otherwise(none)
 
-            return F.when(found["attempt"].isNotNull(), found).otherwise(once(position(k, side, t), look))
 
-        fits = (side <= width) & (side <= height)
-        # A mask with no tissue at all needs no attempts.
-        some = F.lit(threshold <= 0) | (F.element_at("_sat", -1) > 0)
-        return F.when(fits & some, F.aggregate(F.sequence(F.lit(0), F.lit(retries - 1)), none, attempt)).otherwise(none)
+def drawn(slides: DataFrame, masks: DataFrame, n: int, draw, seed: int, retries: int, threshold: float, epoch: int | str = 0) -> DataFrame:
+    """The slides' rows with the fields of ``n`` draws each, and for each the first of ``retries`` uniform positions that has tissue.
 
+    ``draw(k, u)`` is the struct of draw ``k``, with a ``footprint``; ``u`` is its number for the choice of a
+    magnification.  A footprint larger than the slide finds nothing.  Draws that find nothing have null
+    ``x`` and ``y``.  ``epoch`` is a number, or a column that the slides have.
+    """
+    s = with_sums(slides, masks)
+    tried = lambda d: attempt(seed, epoch, d["draw"], d["footprint"], retries, threshold)
     each = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: draw(k, uniform(seed, epoch, "path", k, F.lit("level"))))
     both = F.transform(each, lambda d: F.struct(d.alias("d"), tried(d).alias("f")))
-    rows = s.select("path", F.explode(both).alias("_r"))
-    return rows.select("path", "_r.d.*", "_r.f.*")
+    rows = s.select(*_own(epoch), F.explode(both).alias("_r"))
+    return rows.select(*_own(epoch), "_r.d.*", "_r.f.*")
 
 
 def cells(
@@ -88,18 +93,24 @@ def cells(
     return s.select("path", "_c.x", "_c.y", "level", "patch_size", "mpp", "footprint", "_c.tissue_fraction", *(keep or []))
 
 
-def until_failures(rows: DataFrame, most: int) -> DataFrame:
-    """Draws of each slide up to the first ``most`` failures in a row (``x`` null), failures left out."""
-    order = Window.partitionBy("path").orderBy("draw")
+def _own(epoch: int | str) -> list[str]:
+    """What tells visits to slides apart: the path, and the epoch where it is a column."""
+    return ["path", epoch] if isinstance(epoch, str) else ["path"]
+
+
+def until_failures(rows: DataFrame, most: int, own: list[str] | None = None) -> DataFrame:
+    """Draws of each visit to a slide up to the first ``most`` failures in a row (``x`` null), failures left out."""
+    own = own or ["path"]
+    order = Window.partitionBy(*own).orderBy("draw")
     r = rows.withColumn("_ok", F.col("x").isNotNull()).withColumn("_last", F.max(F.when(F.col("_ok"), F.col("draw"))).over(order))
     r = r.withColumn("_stop", F.when(F.col("draw") - F.coalesce("_last", F.lit(-1)) >= most, F.col("draw")))
-    r = r.withColumn("_end", F.min("_stop").over(Window.partitionBy("path")))
+    r = r.withColumn("_end", F.min("_stop").over(Window.partitionBy(*own)))
     return r.filter(F.col("_ok") & (F.col("_end").isNull() | (F.col("draw") < F.col("_end")))).drop("_ok", "_last", "_stop", "_end")
 
 
 def random_coords(
     slides: DataFrame, masks: DataFrame, n: int, *, patch_size: int = 256, level: int = 0, target_mpp: float | None = None,
-    threshold: float = 0.4, retries: int = 50, seed: int = 0, epoch: int = 0,
+    threshold: float = 0.4, retries: int = 50, seed: int = 0, epoch: int | str = 0,
 ) -> DataFrame:
     """Uniform patches by rejection; the first draw that finds no tissue ends its slide."""
     if n < 1 or retries < 1 or patch_size < 1 or not 0 <= threshold <= 1:
@@ -108,15 +119,15 @@ def random_coords(
     s = s.withColumn("downsample", downsample_of(F.col("level"))).withColumn(
         "footprint", (F.lit(patch_size) * F.col("downsample")).cast("int"),
     )
-    s = s.select("path", "width", "height", "level", (F.col("mpp") * F.col("downsample")).alias("mpp"), "footprint")
+    s = s.select(*_own(epoch), "width", "height", "level", (F.col("mpp") * F.col("downsample")).alias("mpp"), "footprint")
     draw = lambda k, u: F.struct(k.alias("draw"), *[F.col(c).alias(c) for c in ("level", "mpp", "footprint")])
-    rows = until_failures(drawn(s, masks, n, draw, seed, retries, threshold, epoch), 1)
-    return rows.select("path", "draw", "x", "y", "level", F.lit(patch_size).alias("patch_size"), "mpp", "tissue_fraction")
+    rows = until_failures(drawn(s, masks, n, draw, seed, retries, threshold, epoch), 1, _own(epoch))
+    return rows.select(*_own(epoch), "draw", "x", "y", "level", F.lit(patch_size).alias("patch_size"), "mpp", "tissue_fraction")
 
 
-def pool(coords: DataFrame, seed: int, size: int | None = None, epoch: int = 0, by: list[str] | None = None) -> DataFrame:
+def pool(coords: DataFrame, seed: int, size: int | None = None, epoch: int | str = 0, by: list[str] | None = None) -> DataFrame:
     """A shuffled pool without replacement: ``draw`` is the place in the permutation, cut at ``size``."""
-    by = by or ["path"]
+    by = by or _own(epoch)
     order = [uniform(seed, epoch, "path", "level", "x", "y"), F.col("level"), F.col("y"), F.col("x")]
     p = coords.withColumn("draw", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     # The limit on the number itself lets Spark keep no more than ``size`` rows of each group while it sorts.
@@ -124,7 +135,7 @@ def pool(coords: DataFrame, seed: int, size: int | None = None, epoch: int = 0,
     return p.withColumn("draw", F.col("draw") - 1)
 
 
-def pool_draws(coords: DataFrame, seed: int, most: int | None, opening: int = 0) -> DataFrame:
+def pool_draws(coords: DataFrame, seed: int, most: int | None, opening: int | str = 0) -> DataFrame:
     """What the ``opening``-th visit to each slide draws from its pool, at most ``most`` at a time.
 
     The pool lives on from visit to visit: each takes the next places of the permutation, and the visit after
@@ -132,21 +143,23 @@ def pool_draws(coords: DataFrame, seed: int, most: int | None, opening: int = 0)
     """
     if most is None:
         return pool(coords, seed, None, opening)
-    n = F.count("*").over(Window.partitionBy("path"))
-    c = coords.withColumn("_visits", F.ceil(n / most).cast("long"))
-    c = c.withColumn("_pass", F.floor(F.lit(opening) / F.col("_visits")).cast("long")).withColumn("_slot", F.lit(opening) % F.col("_visits"))
+    visit = Window.partitionBy(*_own(opening))
+    nth = F.col(opening) if isinstance(opening, str) else F.lit(opening)
+    c = coords.withColumn("_visits", F.ceil(F.count("*").over(visit) / most).cast("long"))
+    c = c.withColumn("_pass", F.floor(nth / F.col("_visits")).cast("long")).withColumn("_slot", nth % F.col("_visits"))
     order = [uniform(seed, F.col("_pass"), "path", "level", "x", "y"), F.col("level"), F.col("y"), F.col("x")]
-    c = c.withColumn("draw", F.row_number().over(Window.partitionBy("path").orderBy(*order)) - 1 - F.col("_slot") * most)
+    c = c.withColumn("draw", F.row_number().over(visit.orderBy(*order)) - 1 - F.col("_slot") * most)
     return c.filter(F.col("draw").between(0, most - 1)).withColumn("draw", F.col("draw").cast("int")).drop("_visits", "_pass", "_slot")
 
 
 def random_pool(
     slides: DataFrame, masks: DataFrame, n: int | None = None, *, patch_size: int = 256, level: int = 0, target_mpp: float | None = None,
-    threshold: float = 0.4, seed: int = 0, opening: int = 0,
+    threshold: float = 0.4, seed: int = 0, opening: int | str = 0,
 ) -> DataFrame:
     """The random sampler without replacement: cells of the grid at the level (or the one closest to ``target_mpp``), shuffled."""
     s = slides.withColumn("_level", best_level(target_mpp) if target_mpp else F.lit(level))
-    return pool_draws(cells(s, masks, patch_size, F.col("_level"), threshold=threshold), seed, n, opening)
+    made = cells(s, masks, patch_size, F.col("_level"), threshold=threshold, keep=_own(opening)[1:])
+    return pool_draws(made, seed, n, opening)
 
 
 def level_weights(slides: DataFrame, targets: list[float], weights: list[float]) -> DataFrame:
@@ -162,7 +175,7 @@ def check_weights(targets: list[float], weights: list[float]) -> None:
         raise ValueError("targets must be positive, with as many weights, none negative and not all 0")
 
 
-def race(coords: DataFrame, weights: DataFrame, seed: int, size: int | None = None, epoch: int = 0) -> DataFrame:
+def race(coords: DataFrame, weights: DataFrame, seed: int, size: int | None = None, epoch: int | str = 0) -> DataFrame:
     """One order over the pools of several levels, each pop taking a level by the weights of those not yet empty.
 
     An exponential race: the k-th coordinate of a level arrives after the sum of k
@@ -170,26 +183,27 @@ def race(coords: DataFrame, weights: DataFrame, seed: int, size: int | None = No
     arrival belongs to a level with the probability of its weight among those left.
     """
     p = coords if "weight" in coords.columns else coords.join(weights, ["path", "level"])
-    p = pool(p, seed, size, epoch, ["path", "level"])
+    own = _own(epoch)
+    p = pool(p, seed, size, epoch, [*own, "level"])
     wait = -F.log(F.lit(1.0) - uniform(seed, epoch, "path", "level", "x", "y", F.lit("wait"))) / F.col("weight")
-    order = Window.partitionBy("path", "level").orderBy("draw").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*own, "level").orderBy("draw").rowsBetween(Window.unboundedPreceding, 0)
     p = p.withColumn("arrival", F.sum(wait).over(order)).withColumn("level_draw", F.col("draw"))
-    p = p.withColumn("draw", F.row_number().over(Window.partitionBy("path").orderBy(F.round("arrival", 9), "level", "level_draw")))
+    p = p.withColumn("draw", F.row_number().over(Window.partitionBy(*own).orderBy(F.round("arrival", 9), "level", "level_draw")))
     p = p.filter(F.col("draw") <= size) if size else p
     return p.withColumn("draw", F.col("draw") - 1)
 
 
 def multi_pool(
     slides: DataFrame, targets: list[float], weights: list[float], seed: int, *, patch_size: int = 256, size: int | None = None,
-    epoch: int = 0, masks: DataFrame | None = None, threshold: float = 0.4,
+    epoch: int | str = 0, masks: DataFrame | None = None, threshold: float = 0.4,
 ) -> DataFrame:
     """Grids of the levels of several magnifications in one weighted order; a slide of unknown mpp has its level 0 alone."""
-    w = level_weights(slides, targets, weights)
+    w = level_weights(slides.select("path", "mpp", "levels").dropDuplicates(["path"]) if isinstance(epoch, str) else slides, targets, weights)
     on = slides.join(w.select("path", F.col("level").alias("lv"), "weight"), "path")
     if masks is None:
-        made = grid(on, patch_size, F.col("lv"), keep=["weight"])
+        made = grid(on, patch_size, F.col("lv"), keep=["weight", *_own(epoch)[1:]])
     else:
-        made = cells(on, masks, patch_size, F.col("lv"), threshold=threshold, keep=["weight"])
+        made = cells(on, masks, patch_size, F.col("lv"), threshold=threshold, keep=["weight", *_own(epoch)[1:]])
     return race(made, w, seed, size, epoch)
 
 
@@ -213,7 +227,7 @@ def _chosen(u: Column, values: list, weights: list[float]) -> Column:
 
 def multi_magnification(
     slides: DataFrame, masks: DataFrame, n: int, *, targets=(0.25, 0.5, 1.0, 2.0), weights=None, patch_size: int = 256,
-    threshold: float = 0.4, retries: int = 50, most_failures: int = 100, seed: int = 0, epoch: int = 0,
+    threshold: float = 0.4, retries: int = 50, most_failures: int = 100, seed: int = 0, epoch: int | str = 0,
 ) -> DataFrame:
     """Draw a magnification, then a patch of its level; a slide ends after ``most_failures`` draws in a row without tissue."""
     # What each target means on a slide is worked out once a slide, and looked up by each draw.
@@ -228,15 +242,15 @@ def multi_magnification(
             (F.lit(patch_size) * ds).cast("int").alias("footprint"),
         )
 
-    s = slides.select("path", "width", "height", "mpp", F.array(*[choice(t) for t, _ in live]).alias("_of"), choice(None).alias("_none"))
+    s = slides.select(*_own(epoch), "width", "height", "mpp", F.array(*[choice(t) for t, _ in live]).alias("_of"), choice(None).alias("_none"))
 
     def draw(k: Column, u: Column) -> Column:
         at = _chosen(u, list(range(len(live))), [w for _, w in live])
         fields = lambda c: F.struct(k.alias("draw"), *[c[f].alias(f) for f in ("level", "target", "mpp", "footprint")])
         return once(F.when(F.col("mpp").isNull(), F.col("_none")).otherwise(F.get("_of", at)), fields)
 
-    rows = until_failures(drawn(s, masks, n, draw, seed, retries, threshold, epoch), most_failures)
-    return rows.select("path", "draw", "x", "y", "level", "target", F.lit(patch_size).alias("patch_size"), "mpp", "tissue_fraction")
+    rows = until_failures(drawn(s, masks, n, draw, seed, retries, threshold, epoch), most_failures, _own(epoch))
+    return rows.select(*_own(epoch), "draw", "x", "y", "level", "target", F.lit(patch_size).alias("patch_size"), "mpp", "tissue_fraction")
 
 
 # -- continuous magnification ------------------------------------------------
@@ -287,14 +301,14 @@ def _with_cdf(g: DataFrame) -> DataFrame:
 
 def continuous(
     slides: DataFrame, masks: DataFrame, n: int, *, output_size: int = 224, low: float = 0.25, high: float = 2.0,
-    cdf: DataFrame | None = None, threshold: float = 0.4, retries: int = 50, most_failures: int = 100, seed: int = 0, epoch: int = 0,
+    cdf: DataFrame | None = None, threshold: float = 0.4, retries: int = 50, most_failures: int = 100, seed: int = 0, epoch: int | str = 0,
 ) -> DataFrame:
     """Patches of a magnification drawn uniformly, or from ``cdf`` (``x, cdf``, a table of fixed length).
 
     The magnification, the finer level and the crop follow; crops larger than the slide
     and draws without tissue count as failures.  A slide of unknown mpp is sampled at level 0.
     """
-    s = slides.select("path", "width", "height", "mpp", "levels")
+    s = slides.select(*_own(epoch), "width", "height", "mpp", "levels")
     if cdf is not None:
         # One array row, as long as the fixed grid.
         one = cdf.agg(F.array_sort(F.collect_list(F.struct("cdf", "x"))).alias("_c"))
@@ -328,8 +342,8 @@ def continuous(
         )
         return F.when(F.col("mpp").isNull(), unknown).otherwise(once(target(u), known))
 
-    rows = until_failures(drawn(s, masks, n, draw, seed, retries, threshold, epoch), most_failures)
-    return rows.select("path", "draw", "x", "y", "level", "patch_size", "mpp", "footprint", "tissue_fraction")
+    rows = until_failures(drawn(s, masks, n, draw, seed, retries, threshold, epoch), most_failures, _own(epoch))
+    return rows.select(*_own(epoch), "draw", "x", "y", "level", "patch_size", "mpp", "footprint", "tissue_fraction")
 
 
 def stratified(df: DataFrame, by: Column, most: int, order: Column, tie: str) -> DataFrame:
@@ -337,10 +351,10 @@ def stratified(df: DataFrame, by: Column, most: int, order: Column, tie: str) ->
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(order, tie))).filter(F.col("_r") <= most).drop("_r")
 
 
-def slide_order(slides: DataFrame, seed: int, epoch: int = 0) -> DataFrame:
-    """``pos``, the place of each slide in the epoch's random order."""
+def slide_order(slides: DataFrame, seed: int, epoch: int | str = 0, shuffled: bool = True) -> DataFrame:
+    """``pos``, the place of each slide in the (epoch's) order: random, or that of the paths."""
     from ..materialize import cut
     from ..ranking import grouped_prefix_sum
 
-    keyed = cut(slides.withColumn("_u", uniform(seed, epoch, "path")).withColumn("_one", F.lit(1)))
-    return grouped_prefix_sum(keyed, [], ["_u", "path"], "_one", before="pos").drop("_u", "_one")
+    keyed = cut(slides.withColumn("_u", uniform(seed, epoch, "path") if shuffled else F.lit(0.0)))
+    return grouped_prefix_sum(keyed, _own(epoch)[1:], ["_u", "path"], F.lit(1), before="pos").drop("_u")

@@ -312,9 +312,20 @@ def interleave_order(spark, d):
     return schedule.interleave(draws, 8, 3).select("pos", "draw", "seq")
 
 
-@query()
+# The queue of 8 desks, slide by slide; then every draw's place.
+_VISITS = f"""WITH RECURSIVE {_ORDERED}, z AS (SELECT i AS pos, {bits_sql('path')} % 7 + 1 AS n FROM o),
+  q AS (SELECT pos, n // 2 AS more FROM z),
+  sim AS (SELECT 0::BIGINT AS pos, 0::BIGINT AS lap, [{{'e': more, 'p': pos}}] AS ends FROM q WHERE pos = 0
+    UNION ALL SELECT q.pos, CASE WHEN len(ends) < 8 THEN 0 ELSE list_min(ends).e END,
+      list_append(CASE WHEN len(ends) < 8 THEN ends ELSE list_filter(ends, lambda x: x <> list_min(ends)) END,
+        {{'e': CASE WHEN len(ends) < 8 THEN 0 ELSE list_min(ends).e END + q.more, 'p': q.pos}}) FROM sim JOIN q ON q.pos = sim.pos + 1)
+  SELECT pos, draw, row_number() OVER (ORDER BY lap + draw // 2, pos, draw) - 1 AS seq
+  FROM (SELECT pos, lap, unnest(range(0, n))::INT AS draw FROM sim JOIN z USING (pos))"""
+
+
+@query(_VISITS)
 def interleave_visits(spark, d):
-    """Slides of unequal length: a sequential simulation, no SQL; tested against a plain queue."""
+    """Slides of unequal length."""
     pos = grouped_prefix_sum(cut(slides(spark, d).select("path", F.lit(1).alias("one"))), [], ["path"], "one", before="pos")
     draws = pos.select("pos", F.explode(F.sequence(F.lit(0), (bits("path") % 7).cast("int"))).alias("draw"))
     return schedule.interleave_unequal(draws, 8, 2).select("pos", "draw", "seq")
@@ -455,19 +466,24 @@ def mpp_histogram(spark, d):
 
 
 @query(f"""WITH {_PARTS}, {CELLS}, fr AS (SELECT path, avg(tissue::INT) AS f FROM cells GROUP BY path), op AS (SELECT meta.*, f FROM meta JOIN fr USING (path))
-  SELECT key, round(value, 6) AS value FROM (
-    SELECT unnest([{{'key': 'slides_opened', 'value': count(*)::DOUBLE}}, {{'key': 'slides_seen', 'value': count(DISTINCT path)}}, {{'key': 'tissue_fraction_count', 'value': count(f)}}, {{'key': 'tissue_fraction_min', 'value': min(f)}}, {{'key': 'tissue_fraction_max', 'value': max(f)}}, {{'key': 'tissue_fraction_mean', 'value': avg(f)}}], recursive := true) FROM op
-    UNION ALL SELECT 'patches', count(*) FROM patches
-    UNION ALL SELECT CASE WHEN mpp IS NULL THEN 'mpp_unknown' ELSE 'mpp_' || format('{{:.2f}}', mpp) END, count(*) FROM patches GROUP BY 1
-    UNION ALL SELECT 'cancer_type/' || cancer_type, count(*) FROM op WHERE cancer_type IS NOT NULL GROUP BY 1
-    UNION ALL SELECT 'sample_type/' || replace(lower(sample_type), ' ', '_'), count(*) FROM op WHERE sample_type IS NOT NULL GROUP BY 1
-    UNION ALL SELECT 'error_count', count(*) FROM events WHERE event_type = 'error')""")
+  SELECT 'pipeline/' || key AS key, round(value, 6) AS value FROM (
+    SELECT unnest([{{'key': 'slides_processed', 'value': count(*)::DOUBLE}}, {{'key': 'slides_unique', 'value': count(DISTINCT path)}}, {{'key': 'min_tissue_fraction', 'value': min(f)}}, {{'key': 'max_tissue_fraction', 'value': max(f)}}, {{'key': 'mean_tissue_fraction', 'value': avg(f)}}], recursive := true) FROM op
+    UNION ALL SELECT 'patches_extracted', count(*) FROM patches WHERE tissue_fraction >= 0.2 AND NOT isnan(tissue_fraction)
+    UNION ALL SELECT 'patches_filtered', count(*) FROM patches WHERE tissue_fraction IS NULL OR isnan(tissue_fraction) OR tissue_fraction < 0.2
+    UNION ALL SELECT 'slides_failed', count(*) FROM sl WHERE vendor IS NULL
+    UNION ALL SELECT CASE WHEN mpp IS NULL THEN 'mpp_unknown' ELSE 'mpp_' || format('{{:.2f}}', round(mpp, 2)) END, count(*) FROM patches WHERE tissue_fraction >= 0.2 AND NOT isnan(tissue_fraction) GROUP BY 1
+    UNION ALL SELECT 'cancer_type/' || cancer_type, count(*) FROM op WHERE cancer_type <> '' GROUP BY 1
+    UNION ALL SELECT 'sample_type/' || replace(lower(sample_type), ' ', '_'), count(*) FROM op WHERE sample_type <> '' GROUP BY 1
+    UNION ALL SELECT 'error_count', count(*) FROM events WHERE event_type = 'error' HAVING count(*) > 0)""")
 def pipeline_stats(spark, d):
     s = slides(spark, d)
     opened = metadata.parse_barcode(tissue.slide_fraction(mask_cells(s)).select("path", "tissue_fraction"))
-    patches = table(spark, d, "patches").select("mpp")
+    patches = table(spark, d, "patches").select("mpp", "tissue_fraction")
+    kept = F.coalesce((F.col("tissue_fraction") >= 0.2) & ~F.isnan("tissue_fraction"), F.lit(False))
     errors = table(spark, d, "events").filter("event_type = 'error'")
-    return stats.pipeline_stats(opened, patches, errors).withColumn("value", F.round("value", 6))
+    return stats.pipeline_stats(
+        opened, patches.filter(kept), errors, failed=s.filter("vendor is null"), filtered=patches.filter(~kept),
+    ).withColumn("value", F.round("value", 6))
 
 
 @query(

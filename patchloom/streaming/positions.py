@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from ..functions.rng import uniform
+from ..operators.masks import with_sums
 
 
 class _Reader(SimpleDataSourceStreamReader):
@@ -72,11 +73,25 @@ def draws(k: DataFrame, n_slides: int, per_slide: int, pool: int, seed: int = 0)
     ).withColumn("draw", F.floor(inside / width).cast("long")).withColumn("seed", F.lit(seed))
 
 
-def coordinates(draws_: DataFrame, slides: DataFrame, patch: int) -> DataFrame:
-    """Uniform coordinates of streamed draws; ``slides`` has ``pos, path, width, height``."""
-    j = draws_.join(slides, "pos").filter((F.col("width") >= patch) & (F.col("height") >= patch))
-    pick = lambda lane, room: F.floor(uniform("seed", "epoch", "path", "draw", F.lit(lane)) * (room + 1)).cast("int")
-    return j.withColumn("x", pick("x", F.col("width") - patch)).withColumn("y", pick("y", F.col("height") - patch)).drop("seed")
+def coordinates(
+    draws_: DataFrame, slides: DataFrame, patch: int, masks: DataFrame | None = None, *, threshold: float = 0.4, retries: int = 50,
+) -> DataFrame:
+    """Uniform coordinates of streamed draws; ``slides`` has ``pos, path, width, height``.
+
+    With ``masks`` the first of ``retries`` positions that has tissue, as in the batch sampler; a
+    draw that finds none yields nothing.  Both tables are static, so the stream keeps no state.
+    """
+    from ..operators.sampling import attempt
+
+    s = slides.filter((F.col("width") >= patch) & (F.col("height") >= patch))
+    if masks is None:
+        j = draws_.join(s, "pos")
+        pick = lambda lane, room: F.floor(uniform("seed", "epoch", "path", "draw", F.lit(lane)) * (room + 1)).cast("int")
+        return j.withColumn("x", pick("x", F.col("width") - patch)).withColumn("y", pick("y", F.col("height") - patch)).drop("seed")
+    j = draws_.join(with_sums(s, masks), "pos")
+    found = attempt("seed", "epoch", F.col("draw"), F.lit(patch), retries, threshold)
+    j = j.withColumn("_f", found).drop("seed", "_sat", "mask_w", "mask_h", "downsample")
+    return j.select("*", "_f.x", "_f.y", "_f.tissue_fraction").drop("_f").filter("x is not null")
 
 
 def live_metrics(steps: DataFrame, late: str = "1 minute", window: str = "10 seconds") -> DataFrame:

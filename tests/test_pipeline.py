@@ -1,5 +1,8 @@
+import json
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from patchloom.operators import images
 from patchloom.operators.views import View
@@ -13,12 +16,16 @@ def small(slides, full_masks, **kw):
     return Pipeline(slides, full_masks, seed=1, **kw).grid(256, shuffle=True).schedule(pool=2, per_slide=3).read(Synthetic)
 
 
+def numbers(p):
+    return {r.key.removeprefix("pipeline/"): r.value for r in p.stats().collect()}
+
+
 def test_patches_and_stats(slides, full_masks):
     p = small(slides, full_masks)
     rows = p.patches().collect()
     assert len(rows) == 6 and all(len(r.image["data"]) == 256 * 256 * 3 for r in rows)
-    stats = {r.key: r.value for r in p.stats().collect()}
-    assert stats["patches"] == 6 and stats["mpp_0.25"] == 3 and stats["mpp_unknown"] == 3
+    stats = numbers(p)
+    assert stats["patches_extracted"] == 6 and stats["mpp_0.25"] == 3 and stats["mpp_unknown"] == 3
     assert p.errors().isEmpty()
 
 
@@ -43,24 +50,146 @@ def half(torn=2048, **options):
 
 def test_stats_count_what_is_yielded(slides, full_masks):
     p = Pipeline(slides, full_masks, seed=1, epochs=2).grid(512).read(half(fail="slide_1")).filter(images.HsvFilter())
-    n = {r.key: r.value for r in p.stats().collect()}
+    n = numbers(p)
     # In each of 2 epochs slide_0 has 64 patches, 32 of them torn and 16 gray; tiny has none, and slide_1 does not open.
-    assert n["patches"] == n["mpp_0.25"] == p.patches().count() == 32 and "mpp_unknown" not in n
+    assert n["patches_extracted"] == n["mpp_0.25"] == p.patches().count() == 32 and "mpp_unknown" not in n
     assert n["patches_filtered"] == 32 and n["slides_failed"] == 2 and n["error_count"] == 2 + 64
-    assert n["slides_opened"] == 4 and n["slides_seen"] == 2
+    assert n["slides_processed"] == 4 and n["slides_unique"] == 2
     p = Pipeline(slides.filter("path like '%slide_0%'"), full_masks).grid(1024).read(half(torn=0))
-    n = {r.key: r.value for r in p.stats().collect()}
-    assert (n["patches"], n["slides_opened"], n["slides_failed"], n["error_count"]) == (0, 1, 1, 16)
+    n = numbers(p)
+    assert (n["patches_extracted"], n["slides_processed"], n["slides_failed"], n["error_count"]) == (0, 1, 1, 16)
     with pytest.raises(ValueError):
         Pipeline(slides, full_masks).grid(512).stats()
 
 
+def test_one_run_serves_patches_errors_and_statistics(spark, slides, full_masks, tmp_path):
+    """Images are read once: later reads would find another reader state."""
+
+    class Counted(Synthetic):
+        def read(self, x, y, level, width, height):
+            (tmp_path / f"{level}-{x}-{y}-{np.random.default_rng().integers(1 << 60)}").touch()
+            if y >= 2048:
+                raise OSError("torn")
+            return super().read(x, y, level, width, height)
+
+    p = Pipeline(slides.filter("path like '%slide_0%'"), full_masks, seed=1).grid(1024).read(Counted)
+    done = p.run()
+    assert done.patches().count() == 8 and done.errors().count() == 8 and numbers(done)["patches_extracted"] == 8
+    assert len(list(tmp_path.iterdir())) == 16
+    assert {r.error for r in done.errors().collect()} == {"OSError: torn"}
+    # A change of the plan undoes the run.
+    assert done.transform(images.Resize(8)).patches().first().image["height"] == 8
+
+
+def test_a_reader_that_fails_while_opening_is_closed(spark, slides, full_masks, tmp_path):
+    class Half(Synthetic):
+        def open(self, path):
+            super().open(path)
+            raise OSError("half open")
+
+        def close(self):
+            if self.path:
+                (tmp_path / "closed").touch()
+            super().close()
+
+    assert Pipeline(slides, full_masks).grid(1024).read(Half).patches().isEmpty() and (tmp_path / "closed").exists()
+
+
+def coded(value):
+    class Pattern(Synthetic):
+        def read(self, x, y, level, width, height):
+            self._check()
+            return np.random.default_rng(value).integers(0, 256, (height, width, 3), np.uint8)
+
+    return Pattern
+
+
+@pytest.mark.parametrize("how", ["transform", "views", "shared"])
+def test_pixels_differ_between_epochs_draws_and_uses(slides, full_masks, how):
+    p = Pipeline(slides.filter("path like '%slide_0%'"), full_masks, seed=3, epochs=2).grid(1024).schedule(per_slide=4).read(coded(0))
+    jitter = images.HedJitter()
+    if how == "transform":
+        p = p.transform(images.Resize(16), jitter)
+        one = lambda r: [r.image["data"]]
+    elif how == "views":
+        p = p.views(View("a", [images.Resize(16), jitter], count=2), View("b", [images.Resize(16), jitter]))
+        one = lambda r: [r.views[n]["data"] for n in ("a_0", "a_1", "b")]
+    else:
+        p = p.views(View("a", [images.Resize(16)]), shared=[jitter])
+        one = lambda r: [r.views["a"]["data"]]
+    rows = p.patches().collect()
+    made = [bytes(d) for r in rows for d in one(r)]
+    assert len(rows) == 8 and len(set(made)) == len(made)
+    again = {(r.epoch, r.draw): [bytes(d) for d in one(r)] for r in p.patches().collect()}
+    assert again == {(r.epoch, r.draw): [bytes(d) for d in one(r)] for r in rows}
+
+
+def test_metadata_in_batches(spark, full_masks, slides):
+    path = "/data/TCGA-ABCD/TCGA-9Z-Q1W2-01Z-00-DX1.svs"
+    rename = lambda df: df.filter("path like '%slide_0%'").withColumn("path", F.lit(path))
+    p = Pipeline(rename(slides), rename(full_masks), seed=1).grid(1024).schedule(per_slide=2).read(Synthetic)
+    bare = next(p.batches(2))
+    assert bare["dataset_name"] == ["", ""] and bare["extra"] == ["{}", "{}"] and bare["slide_path"] == [path] * 2
+    full = next(p.metadata().batches(2))
+    assert full["patient_id"] == ["TCGA-9Z-Q1W2"] * 2 and full["cancer_type"] == ["TCGA-ABCD"] * 2 and full["sample_type"] == ["Primary Solid Tumor"] * 2
+    assert json.loads(full["extra"][0])["slide_id"] == "DX1"
+    # What the coordinates say holds.
+    odd = next(p.metadata(lambda df: df.withColumn("mpp", F.lit(9.0)).withColumn("cancer_type", F.lit(None).cast("string"))).batches(2))
+    assert odd["mpp"] == [0.25, 0.25] and odd["cancer_type"] == ["", ""] and json.loads(odd["extra"][0]) == {"mpp": 9.0}
+    n = numbers(p.metadata())
+    assert n["cancer_type/TCGA-ABCD"] == 1 and n["sample_type/primary_solid_tumor"] == 1
+
+
+def test_endless_batches_leave_broken_slides_out(slides, full_masks, tmp_path):
+    class Broken(Synthetic):
+        def read(self, x, y, level, width, height):
+            if "slide_1" in self.path:
+                (tmp_path / f"{np.random.default_rng().integers(1 << 60)}").touch()
+                raise OSError("broken")
+            return super().read(x, y, level, width, height)
+
+    p = Pipeline(slides, full_masks, seed=1).grid(2048).read(Broken)
+    endless = p.batches(3, dtype="uint8", cycle=True)
+    got = [next(endless) for _ in range(4)]
+    assert all(b["image"].shape == (3, 3, 2048, 2048) and set(b["slide_path"]) == {"memory://slide_0.svs"} for b in got)
+    assert [e for b in got for e in b["epoch"]] == [0] * 4 + [1] * 4 + [2] * 4
+    assert len(list(tmp_path.iterdir())) == 4
+    # A cycle that yields nothing ends.
+    assert list(p.filter(images.HsvFilter()).batches(3, cycle=True)) == []
+
+
+def test_a_sampler_of_ones_own(slides, full_masks):
+    def centre(s, masks, epoch):
+        return s.select("path", epoch, F.lit(0).alias("draw"), (F.col("width") / 2 - 32).cast("int").alias("x"), F.lit(5).alias("y"), F.lit(0).alias("level"), F.lit(64).alias("patch_size"), "mpp")
+
+    p = Pipeline(slides.filter("width > 1000"), full_masks, epochs=2).sample(centre).read(Synthetic)
+    rows = p.patches().collect()
+    assert len(rows) == 4 and all((r.x, r.y) == (2016, 5) and r.image["height"] == 64 for r in rows)
+
+
+def test_without_replacement_every_cell_comes_once_before_any_again(slides, full_masks):
+    one = slides.filter("path like '%slide_0%'")
+    p = Pipeline(one, full_masks, seed=2, epochs=8).random(5, replacement=False, patch_size=256, target_mpp=1.0)
+    rows = p.coordinates().collect()
+    # Level 2 is closest to 1.0: cells of 1024, 16 in all, so 4 visits a pass: 5 + 5 + 5 + 1.
+    by = {e: {(r.x, r.y) for r in rows if r.epoch == e} for e in range(8)}
+    assert [len(by[e]) for e in range(8)] == [5, 5, 5, 1] * 2 and all(r.level == 2 for r in rows)
+    assert len(set().union(*[by[e] for e in range(4)])) == 16 and by[0] != by[4]
+    m = Pipeline(one, full_masks, seed=2).multi(30, replacement=False, targets=(0.25, 1.0), weights=(0.5, 0.5)).coordinates().collect()
+    assert len(m) == 30 and {r.level for r in m} == {0, 2} and len({(r.level, r.x, r.y) for r in m}) == 30
+
+
+def test_epochs_are_a_column_of_one_plan(slides, full_masks):
+    size = lambda n: len(Pipeline(slides, full_masks, epochs=n).random(3).coordinates()._jdf.queryExecution().optimizedPlan().toString())
+    assert size(50) < 1.1 * size(1)
+
+
 def test_filter_and_transform_in_one_pass(slides, full_masks):
     p = small(slides, full_masks).transform(images.Resize(32), images.Normalize((0.5,) * 3, (0.5,) * 3))
     r = p.patches().first()
     assert (r.image["height"], r.image["dtype"]) == (32, "float32")
     plan = p.patches()._jdf.queryExecution().toString()
-    assert plan.count("MapInArrow") >= 1
+    assert plan.count("MapInArrow [") == plan.count("MapInArrow") or plan.split("== Physical Plan ==")[-1].count("MapInArrow") == 1
     assert small(slides, full_masks).filter(images.HsvFilter()).patches().isEmpty()  # gray is no tissue
 
 

@@ -48,6 +48,16 @@ def test_coordinates_depend_on_the_draw_alone(spark):
     assert sorted((r.k, r.x, r.y) for r in a.collect()) == sorted((r.k, r.x, r.y) for r in again.collect())
 
 
+def test_streamed_coordinates_have_tissue(spark, slides, full_masks):
+    half = full_masks.withColumn("cells", F.transform(F.sequence(F.lit(0), F.lit(9999)), lambda i: (i % 100 < 50).cast("int")))
+    s = slides.filter("width > 1000").select((F.when(F.col("path").like("%0%"), 0).otherwise(1)).cast("long").alias("pos"), "path", "width", "height")
+    k = spark.range(40).withColumnRenamed("id", "k")
+    rows = P.coordinates(P.draws(k, 2, 10, 2), s, 256, half, threshold=0.9).collect()
+    assert len(rows) == 40 and all(r.tissue_fraction >= 0.9 and r.x < 2048 for r in rows)
+    stream = P.coordinates(P.draws(P.positions(spark, step=8, end=16), 2, 10, 2), s, 256, half)
+    assert stream.isStreaming and {"x", "y", "tissue_fraction"} <= set(stream.columns)
+
+
 def test_live_metrics(spark):
     stream = spark.readStream.format("rate").load().select(
         F.col("timestamp").alias("ts"), F.lit(1).alias("data_wait_ns"), F.lit(2).alias("wall_ns"), F.lit(3).alias("patches"),
