@@ -18,6 +18,9 @@ def reachable(spark: SparkSession) -> SparkSession:
     # Spark runs a worker for each core; libraries inside must not start threads of their own.
     for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
         env.setdefault(name, "1")
+    # Arrays of an image's size come from the heap again and again, not each as new pages from the system.
+    env.setdefault("MALLOC_MMAP_THRESHOLD_", str(32 << 20))
+    env.setdefault("MALLOC_TRIM_THRESHOLD_", str(64 << 20))
     return spark
 
 
