@@ -7,6 +7,7 @@ import time
 from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import stats
 
@@ -108,3 +109,46 @@ def benchmark(make: Callable[..., DataFrame], n_slides: int, world_size: int = 1
             seconds = time.perf_counter() - began
         out.append(config | {"patches": n, "seconds": seconds, "patches_per_sec": n / max(seconds, 1e-9), "peak_rss": memory.peak})
     return sorted(out, key=lambda r: -r["patches_per_sec"])
+
+
+def throughput(
+    make: Callable[..., Iterable[dict]], slides: DataFrame, world_size: int = 1, *, warmup: int = 10, measure: int = 50, order: str = "path",
+    **options,
+) -> DataFrame:
+    """Batches a second of ``make(slides, **configuration)`` for each configuration of the sweep, by ranks that run side by side.
+
+    Each rank has every ``world_size``-th slide and takes batches from an iterable of its own, which should not end (``cycle=True``):
+    ``warmup`` batches that do not count, then ``measure`` that are timed.  The result is that of
+    :func:`.stats.benchmark_summary` for each configuration, the best first; none if there are fewer slides than ranks.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from ..operators.geometry import rank_partition
+
+    if measure < 1 or warmup < 0:
+        raise ValueError("measure must be at least 1 and warmup not negative")
+    spark, rows = slides.sparkSession, []
+    configs = stats.sweep(slides.select(order).distinct().count(), world_size, **options)
+    names = list(options)
+
+    def one(rank: int, config: dict) -> list[tuple]:
+        it, out = iter(make(rank_partition(slides, order, rank, world_size), **config)), []
+        try:
+            for i in range(warmup + measure):
+                began = time.perf_counter()
+                batch = next(it)
+                if i >= warmup:
+                    out.append((*config.values(), rank, (time.perf_counter() - began) * 1000, stats.batch_size(batch)))
+        finally:
+            if hasattr(it, "close"):
+                it.close()
+        return out
+
+    for config in configs:
+        with PeakMemory() as memory, ThreadPoolExecutor(world_size) as ranks:
+            found = [r for part in ranks.map(lambda k: one(k, config), range(world_size)) for r in part]
+        rows += [(*r, memory.peak) for r in found]
+    kinds = [{int: "long", float: "double", bool: "boolean"}.get(type(v), "string") for v in (configs[0].values() if configs else [0] * len(names))]
+    ddl = ", ".join([*[f"{n} {k}" for n, k in zip(names, kinds, strict=True)], "rank int", "batch_ms double", "patches long", "rss long"])
+    measured = spark.createDataFrame(rows, ddl)
+    return stats.benchmark_summary(measured, names, rss="rss").orderBy(F.desc("effective"))

@@ -42,3 +42,25 @@ def views(name: str) -> list:
     from ..operators.views import View
 
     return [View(n, crop=RandomCrop(size, scale), count=count) for n, size, scale, count in MULTI_CROP[name]]
+
+
+def pipeline(name: str, slides, make, *, per_slide: int | None = None, seed: int = 0, epochs: int = 1, multi_crop: bool = False, thumbnail: int = 2048):
+    """The recipe as a pipeline over a table of slides, read by ``make``; with ``multi_crop`` it yields the recipe's views.
+
+    ``per_slide`` patches of each slide and epoch, where the recipe names no number 100.  Recipes that cycle do so in
+    :meth:`.pipeline.Pipeline.batches`.
+    """
+    from ..operators import images
+    from .pipeline import Pipeline
+
+    recipe = PRESETS[name]
+    kind, options = recipe["sampler"]
+    n = per_slide or recipe.get("per_slide", 100)
+    p = Pipeline(slides, seed=seed, epochs=epochs).tissue(detector(name), make, thumbnail)
+    p = getattr(p, kind)(n, **options).schedule(recipe.get("pool", 8), n, order=recipe.get("order", "sequential")).read(make)
+    if "filter" in recipe:
+        p = p.filter(images.HsvFilter(min_fraction=recipe["filter"]))
+    jitter = [images.HedJitter(recipe["hed"])] if "hed" in recipe else []
+    if multi_crop:
+        return p.views(*views(name), shared=jitter)
+    return p.transform(*jitter) if jitter else p

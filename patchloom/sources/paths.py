@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 # Suffixes of slide files.
-SUFFIXES = [".svs", ".tif", ".tiff", ".ndpi", ".mrxs", ".vms", ".scn", ".bif"]
+SUFFIXES = [".svs", ".tiff", ".tif", ".ndpi", ".mrxs", ".vms", ".scn", ".bif"]
 
 
 def resolve(paths: str | os.PathLike | list) -> list[str]:

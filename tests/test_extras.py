@@ -104,6 +104,18 @@ def test_benchmark(spark):
     assert {r["patches"] for r in got} == {10, 20} and got[0]["patches_per_sec"] >= got[1]["patches_per_sec"]
 
 
+def test_throughput_by_ranks(spark, slides):
+    def make(s, size):
+        paths = [r.path for r in s.collect()]
+        while True:
+            yield {"image": np.zeros((size, 1)), "slide_path": paths}
+
+    got = monitor.throughput(make, slides, 2, warmup=2, measure=4, size=[8, 16]).collect()
+    assert [r.world_size for r in got] == [2, 2] and {r.size for r in got} == {8, 16} and got[0].effective >= got[1].effective
+    assert all(0 < r.effective <= r.aggregate + 1e-6 and r.peak_rss > 0 for r in got)
+    assert monitor.throughput(make, slides, 9, size=8).isEmpty()
+
+
 def test_demo_runs():
     root = Path(__file__).resolve().parents[1]
     done = subprocess.run(

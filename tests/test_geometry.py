@@ -92,3 +92,12 @@ def test_otsu_threshold_matches_numpy(spark):
     ).groupBy("img", "gray").agg(F.count("*").alias("n"))
     got = {r.img: r.threshold for r in masks.otsu_threshold(df, ["img"]).collect()}
     assert got == {1: otsu(gray), 2: None}
+
+
+def test_ranks_of_the_environment(spark, slides, monkeypatch):
+    monkeypatch.setenv("RANK", "1")
+    monkeypatch.setenv("WORLD_SIZE", "2")
+    assert [r.path for r in geometry.rank_partition(slides, "path").collect()] == ["memory://slide_1.svs"]
+    assert geometry.rank_partition(slides, "path", 0, 1).count() == 3
+    with pytest.raises(RuntimeError, match="rank 4 of 5"):
+        geometry.rank_partition(slides, "path", 4, 5)

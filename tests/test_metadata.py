@@ -1,17 +1,21 @@
+import json
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from patchloom.operators import metadata
+from patchloom.plans import acquire
 
 CASES = [
-    ("/data/TCGA-BRCA/TCGA-3L-AA1B-01Z-00-DX1.svs", "TCGA-3L-AA1B", "Primary Solid Tumor", "TCGA-BRCA", False),
-    ("/data/TCGA-GBM/TCGA-06-0878-02A-01-TS1.svs", "TCGA-06-0878", "Recurrent Solid Tumor", "TCGA-GBM", True),
-    ("/data/TCGA-KIRC/TCGA-B0-4718-11A-01-TS1.svs", "TCGA-B0-4718", "Solid Tissue Normal", "TCGA-KIRC", True),
-    ("/data/TCGA-LUAD/TCGA-55-6969-01A-01-BS1.svs", "TCGA-55-6969", "Primary Solid Tumor", "TCGA-LUAD", True),
-    ("/data/random_file.svs", None, None, None, None),
-    ("/data/slides/TCGA-3L-AA1B-01Z-00-DX1.svs", "TCGA-3L-AA1B", "Primary Solid Tumor", None, False),
-    ("/data/TCGA-X/garbage-TCGA-3L-AA1B-01Z-00-DX1.svs", None, None, None, None),
-    ("/data/TCGA-X/TCGA-3L-AA1B-99Z-00-DX1.8923A151-00FF.svs", "TCGA-3L-AA1B", "Unknown (99)", "TCGA-X", False),
+    ("/wsi/TCGA-AAAA/TCGA-Q7-ZX09-01Z-00-DX1.svs", "TCGA-Q7-ZX09", "Primary Solid Tumor", "TCGA-AAAA", False),
+    ("/wsi/TCGA-BBBB/TCGA-41-K2K2-02B-07-TS2.svs", "TCGA-41-K2K2", "Recurrent Solid Tumor", "TCGA-BBBB", True),
+    ("/wsi/TCGA-CCCC/TCGA-P0-1234-11A-03-MS9.svs", "TCGA-P0-1234", "Solid Tissue Normal", "TCGA-CCCC", True),
+    ("/wsi/TCGA-DDDD/TCGA-88-W4W5-06A-01-BS1.svs", "TCGA-88-W4W5", "Metastatic", "TCGA-DDDD", True),
+    ("/wsi/no barcode.svs", None, None, None, None),
+    ("/wsi/loose/TCGA-Q7-ZX09-01Z-00-DX1.svs", "TCGA-Q7-ZX09", "Primary Solid Tumor", None, False),
+    ("/wsi/TCGA-EEEE/copy-TCGA-Q7-ZX09-01Z-00-DX1.svs", None, None, None, None),
+    ("/wsi/TCGA-EEEE/TCGA-Q7-ZX09-99Z-00-DX3.11AA22BB-CCDD.svs", "TCGA-Q7-ZX09", "Unknown (99)", "TCGA-EEEE", False),
 ]
 
 
@@ -22,10 +26,13 @@ def test_barcodes(spark):
         r = got[path]
         assert (r.patient_id, r.sample_type, r.cancer_type, r.is_frozen) == (patient, kind, cancer, frozen)
         assert (r.parse_error is None) == (patient is not None)
-    assert got[CASES[-1][0]].barcode == "TCGA-3L-AA1B-99Z-00-DX1"
+    assert got[CASES[-1][0]].barcode == "TCGA-Q7-ZX09-99Z-00-DX3"
     assert metadata.unparsed(metadata.parse_barcode(df)).first().n == 2
     flat = {r.path: r for r in metadata.flat(metadata.parse_barcode(df), metadata.EXTRA).collect()}
-    assert flat["/data/random_file.svs"].patient_id == "" and flat["/data/random_file.svs"].extra == '{"parse_error":"Could not parse barcode from: random_file"}'
+    assert flat["/wsi/no barcode.svs"].patient_id == "" and flat["/wsi/no barcode.svs"].extra == '{"parse_error":"Could not parse barcode from: no barcode"}'
+    with pytest.warns(UserWarning) as told:
+        assert metadata.warn_unparsed(metadata.parse_barcode(df)) == 2
+    assert len([w for w in told if "barcodes" in str(w.message) or "cancer type" in str(w.message)]) == 2
     assert metadata.parse_barcode(df.limit(1), cancer_type="TCGA-OWN").first().cancer_type == "TCGA-OWN"
 
 
@@ -36,8 +43,47 @@ def test_hits(spark):
     ]
     got = {r.file_id: r.cancer_type for r in metadata.hits(spark.createDataFrame(rows, ddl)).collect()}
     assert got == {"1": "TCGA-BRCA", "2": "unknown", "3": "unknown"}
-    tree = metadata.query_filter(["TCGA-BRCA"], "Diagnostic Slide")
-    assert tree["op"] == "and" and [t["op"] for t in tree["content"]] == ["=", "=", "in", "="]
+    terms = lambda *a: [(t["op"], t["content"]["field"], t["content"]["value"]) for t in metadata.query_filter(*a)["content"]]
+    image = [("=", "files.data_type", "Slide Image"), ("=", "files.data_format", "SVS")]
+    assert metadata.query_filter()["op"] == "and" and terms(None, "all") == image
+    assert terms("TCGA-X")[2:] == [("=", "cases.project.project_id", "TCGA-X"), ("=", "files.experimental_strategy", "Diagnostic Slide")]
+    assert terms(["TCGA-X"], "all")[2:] == [("=", "cases.project.project_id", "TCGA-X")]
+    assert terms(["TCGA-X", "TCGA-Y"], "frozen")[2:] == [("in", "cases.project.project_id", ["TCGA-X", "TCGA-Y"]), ("=", "files.experimental_strategy", "Tissue Slide")]
+    with pytest.raises(ValueError):
+        metadata.query_filter(None, "other")
+
+
+def test_query_in_one_call(spark, tmp_path, caplog):
+    hits = [
+        {"file_id": f"{c}{i}", "file_name": f"{c}{i}.svs", "file_size": 1 << 29, "md5sum": None, "state": "released", "cases": [{"project": {"project_id": f"TCGA-{c}"}}]}
+        for c in "AB" for i in range(10)
+    ]
+    (tmp_path / "a.json").write_text(json.dumps({"data": {"hits": hits}}))
+    with caplog.at_level("INFO"):
+        rows = acquire.query_slides(spark, str(tmp_path / "a.json"), most_per_type=3, seed=1, page=7).collect()
+    assert Counter(r.cancer_type for r in rows) == {"TCGA-A": 3, "TCGA-B": 3} and {r.md5sum for r in rows} == {""}
+    assert "TCGA-A: 3 slides, 1.5 GB" in caplog.text and "all: 6 slides, 3.0 GB" in caplog.text
+    again = acquire.query_slides(spark, str(tmp_path / "a.json"), most_per_type=3, seed=1).collect()
+    assert {r.file_id for r in again} == {r.file_id for r in rows}
+    (tmp_path / "none.json").write_text(json.dumps({"data": {"hits": []}}))
+    assert acquire.query_slides(spark, str(tmp_path / "none.json")).isEmpty() and "no slides" in caplog.text
+
+
+def test_download_in_one_call(spark, tmp_path):
+    m = manifest(spark).filter("cancer_type is not null and file_size is not null")
+
+    def fetch(file_id, part):
+        with open(part, "wb") as f:
+            f.truncate(1 << 30)
+
+    assert [r.ok for r in acquire.download_slides(m, str(tmp_path / "d"), fetch).collect()] == [True]
+    assert acquire.download_slides(m, str(tmp_path / "d"), fetch).isEmpty()
+
+    def lost(file_id, part):
+        raise OSError("gone")
+
+    with pytest.raises(RuntimeError, match="1 files failed.*gone"):
+        acquire.download_slides(m, str(tmp_path / "d"), lost, skip_existing=False)
 
 
 def manifest(spark):

@@ -9,7 +9,7 @@ from patchloom.operators.views import View
 from patchloom.plans import presets
 from patchloom.plans.pipeline import Pipeline
 from patchloom.sources import slides as stages
-from patchloom.sources.readers import OpenSlideReader, Synthetic, TiffSlideReader, as_float, rgb
+from patchloom.sources.readers import OpenSlideReader, Stained, Synthetic, TiffSlideReader, as_float, rgb
 
 
 def small(slides, full_masks, **kw):
@@ -234,6 +234,9 @@ def test_readers():
     assert as_float("0.5") == 0.5 and as_float("x") is None and as_float(None) is None
     assert rgb(np.zeros((2, 2, 4))).shape == (2, 2, 3)
     for kind in (OpenSlideReader, TiffSlideReader):
+        for use in (lambda k: k.read(0, 0, 0, 1, 1), lambda k: k.thumbnail(1, 1), lambda k: k.properties()):
+            with pytest.raises(RuntimeError):
+                use(kind())
         try:
             __import__(kind.module)
         except ImportError:
@@ -241,12 +244,36 @@ def test_readers():
                 kind().open("x.svs")
 
 
+@pytest.mark.parametrize(
+    ("own", "other", "mpp"), [("0.25", "0.5", 0.25), ("0.0", "0.5", 0.5), ("x", "0.5", 0.5), (None, "0.5", 0.5), ("x", None, None), ("0.25", "y", 0.25)],
+)
+def test_mpp_of_the_two_keys(own, other, mpp):
+    class Slide:
+        properties = {k: v for k, v in (("tiffslide.mpp-x", own), ("openslide.mpp-x", other)) if v is not None}
+
+    r = TiffSlideReader()
+    r.slide = Slide
+    assert r._mpp() == mpp
+
+
 def test_presets():
     for name in presets.PRESETS:
         assert presets.detector(name).detect(np.full((64, 64, 3), 240, np.uint8), (1.0, 1.0)).shape == (64, 64)
     assert sum(v.count for v in presets.views("uni")) == 10
 
 
+def test_recipes_run(slides):
+    some = slides.filter("path like '%slide_0%'")
+    for name in presets.PRESETS:
+        p = presets.pipeline(name, some, Stained, per_slide=2, thumbnail=256)
+        side = presets.PRESETS[name]["sampler"][1]["patch_size"]
+        c = p.coordinates().collect()
+        # The thumbnail's square is gray: no tissue for detectors that look for colour.
+        assert len(c) == (2 if presets.PRESETS[name]["detector"][0] == "otsu" else 0) and all(r.patch_size == side for r in c)
+    one = presets.pipeline("phikon", some, Stained, per_slide=2, thumbnail=256, multi_crop=True).patches().first()
+    assert sorted(one.views) == ["global_0", "global_1", *[f"local_{i}" for i in range(8)]] and one.views["local_3"]["height"] == 96
+
+
 def test_checks(slides, full_masks):
     with pytest.raises(ValueError):
         Pipeline(slides).coordinates()
