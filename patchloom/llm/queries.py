@@ -253,8 +253,33 @@ _SPANS = f"""
   FROM documents LEFT JOIN found USING (doc_id)"""
 
 
+def _words_sql(table: str, key: str) -> str:
+    """``key, w``: the words of each text, by another engine's means: markup, accents, hyphens and case undone by patterns without look-around."""
+    steps = [
+        (r"\\+-", ""), (r"\\+(?:[`''^\"~=.]\s*\{?|[uvHtcdbrk]\{)\\?([A-Za-z])\}?", r"\1"),
+        (r"\\+(?:cite[a-z]*|[a-z]*ref|label)\*?(?:\[[^\]\n]*\])*\{[^{}]*\}", " "), (r"\\+[A-Za-z@]+\*?", " "),
+        *[(r"([A-Za-z])-(?:[ \t]*\r?\n[ \t>%]*)?([A-Za-z])", r"\1\2")] * 2,
+    ]
+    folded = "lower(strip_accents(nfc_normalize(lower(text))))"
+    for a, b in (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("ø", "o"), ("ł", "l"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("‐", "-"), ("‑", "-")):
+        folded = f"replace({folded}, '{a}', '{b}')"
+    folded = f"regexp_replace({folded}, '[\u00ad\u200b-\u200d\u2060\ufeff]', '', 'g')"
+    x = f"CASE WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN regexp_replace({folded}, '([^\\x00-\\x7F])', ' \\1 ', 'g') ELSE text END"
+    for a, b in steps:
+        x = f"regexp_replace({x}, '{a}', '{b}', 'g')"
+    return f"SELECT {key}, list_filter(string_split_regex(lower({x}), '[^a-z0-9\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM {table} WHERE {key} IS NOT NULL AND text IS NOT NULL"
+
+
+_LEAKS = f"""
+  WITH dw AS ({_words_sql('documents', 'doc_id')}), iw AS ({_words_sql('(SELECT DISTINCT item_id, text FROM eval_items)', 'item_id')}),
+  ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw)),
+  its AS (SELECT item_id, m, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, len(w) AS m, unnest(range(1, len(w) - 3)) AS i FROM iw)),
+  hit AS (SELECT doc_id, item_id, m, unnest(range(i, i + 5)) AS k FROM ds JOIN its USING (s))
+  SELECT doc_id, item_id FROM hit GROUP BY 1, 2 HAVING count(DISTINCT k) >= max(m) * 0.5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """No SQL for p3_split (a sequence of choices), p5_found (undoing markup) and p6_mix (a tokenizer): these are tested against brute force."""
+    """No SQL for p3_split (a sequence of choices) and p6_mix (a tokenizer): these are tested against brute force."""
     best = f"WITH once AS ({_VALID}), r AS (SELECT slide_path, draw, v AS tissue_fraction, row_number() OVER (PARTITION BY slide_path ORDER BY v DESC, draw) AS rank FROM once)"
     return {
         "p1_best": f"{best} SELECT slide_path, draw, tissue_fraction, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5",
@@ -269,6 +294,7 @@ def oracle_sql() -> dict[str, str]:
           round(n_taken / (SELECT sum(n_taken) FROM plan), 9) AS actual_share FROM plan""",
         "p4_sample": f"""{_TAKEN}, r AS (SELECT *, row_number() OVER (PARTITION BY pk, sk ORDER BY {bits_sql(0, 'slide_path')}, slide_path) AS k FROM one)
           SELECT cancer_type, sample_type, slide_path FROM r JOIN plan USING (pk, sk) WHERE k <= n_taken""",
+        "p5_found": _LEAKS,
         "p7_found": f"WITH {_WINDOWS.strip()} SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id",
         "p7_report": _SPANS,
         "p6_found": f"""
