@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..columns import pick
 from ..materialize import cut
+from ..skew import hot_buckets, repeat_one, split_many
 from .rolling import CHUNK, Hasher
 
 #: Most bits of the filter that keeps other shingles out of the shuffle; it is broadcast, so this (64 MB) bounds its size.
@@ -191,7 +192,7 @@ def find_leaks(
 
     # Rarity over the whole corpus: documents that hold the shingle.
     held = hits.groupBy("id").agg(F.collect_set("h").alias("hs")).select("id", F.size("hs").alias("size"), F.explode("hs").alias("h"))
-    rarity = held.groupBy("h").agg(F.count("*").alias("df"))
+    rarity = cut(held.groupBy("h").agg(F.count("*").alias("df")))
     of_item = known.groupBy("item", "m", "h").agg(F.count_distinct("item_at").alias("places")).join(rarity, "h", "left").fillna(0, ["df"])
     need = F.ceil(F.col("m") * F.lit(float(share)) - F.lit(1e-9))
     least = F.ceil(need / F.lit(float(run)))
@@ -204,7 +205,9 @@ def find_leaks(
     ranked = ranked.withColumn("rest", F.coalesce(F.sum(F.when(~F.col("of_prefix"), F.col("places"))).over(whole), F.lit(0)))
     ranked = ranked.withColumn("fewest", F.sum(F.when(F.col("filled") - F.col("places") < least, 1).otherwise(0)).over(whole))
     prefix = cut(ranked.filter("of_prefix and df > 0").select("item", "h", "places", "fewest", (least - F.col("rest")).alias("wanted")))
-    pairs = held.join(prefix, "h").filter(F.col("size") >= F.col("fewest"))
+    # A shingle that very many documents hold meets its items in parts.
+    hot = hot_buckets(rarity, "h", "df")
+    pairs = split_many(held, "h", F.col("id"), hot).join(repeat_one(prefix, "h", hot), ["h", "_part"]).filter(F.col("size") >= F.col("fewest"))
     pairs = pairs.groupBy("id", "item").agg(F.sum("places").alias("n"), F.max("wanted").alias("wanted")).filter("n >= wanted").select("id", "item")
     found = known.join(pairs, "item").join(hits.select("id", "h", "d").distinct(), ["id", "h", "d"])
     found = found.groupBy("id", "item", "m").agg(F.count_distinct("item_at").alias("k"), _covered(run).alias("words"))

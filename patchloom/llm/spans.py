@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 
 from ..columns import pick
 from ..materialize import cut, drop
+from ..skew import hot_buckets, join_one, repeat_one, split_many
 from .rolling import CHUNK, Hasher, pieces, smallest
 
 #: Records with survivors are found again through a table of at most so many hash buckets, which is broadcast.
@@ -192,9 +193,13 @@ def _digest(text: str) -> bytes:
 
 def _repeated(rows: DataFrame) -> DataFrame:
     """The rows whose hash occurs in two records, as one array of places for each record; the rows' table is dropped."""
-    twice = rows.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("h")
-    found = cut(rows.join(twice, "h", "left_semi").groupBy("id").agg(F.collect_set("pos").alias("at")))
-    drop(rows)
+    twice = rows.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).filter("a < b")
+    twice = cut(twice.select("h", "n"))
+    # A window of very many records (a licence, a template) is met in parts.
+    hot = hot_buckets(twice, "h", "n")
+    on = split_many(rows, "h", F.col("id"), hot).join(repeat_one(twice.select("h"), "h", hot), ["h", "_part"], "left_semi")
+    found = cut(on.groupBy("id").agg(F.collect_set("pos").alias("at")))
+    drop(rows, twice)
     return found
 
 
@@ -314,7 +319,7 @@ class SharedSpans:
         key = lambda kind, of: F.xxhash64(F.lit(kind), F.col(of)).alias("key")
         who = ["id", "t"]
         whole = self.runs.filter("shared").join(self.differ, "h", "left_anti").select("run")
-        found = self.members.join(whole, "run").select(*who, *at("left", "right"), key(0, "run"))
+        found = join_one(self.members, whole, "run", F.col("id")).select(*who, *at("left", "right"), key(0, "run"))
         cores = _two(self.parts, "core", "run").unionByName(self.parts.filter("shared").select("core")).distinct()
         parts = self.parts.select("run", "block", "core", "near", "far").join(cores, "core", "left_semi")
         mixed = self.mixed.withColumn("mixed", F.lit(True))

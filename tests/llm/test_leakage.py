@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from patchloom import skew
 from patchloom.llm import leakage
 from patchloom.llm.leakage import find_leaks, plain
 
@@ -117,6 +118,14 @@ def test_equal_hashes_are_told_apart_by_their_words(spark, monkeypatch):
     assert len(set(rows[0].column(3).to_pylist())) <= 4 and len(set(rows[0].column(4).to_pylist())) == 8
 
 
+def test_frequent_shingles_meet_their_items_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT", 20)
+    docs, items = case(6)
+    docs += [(2000 + i, f"filler {i} " + items[0][1]) for i in range(100)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in find_leaks(d, i).collect()} == brute(docs, items)
+
+
 def test_very_long_text(spark, monkeypatch):
     docs, items = case(5)
     long = " ".join(f"filler{i % 977}" for i in range(400_000)) + " " + items[1][1] + " " + " ".join(f"end{i % 13}" for i in range(5000))

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from patchloom import skew
 from patchloom.llm import rolling
 from patchloom.llm.spans import SharedSpans
 
@@ -152,6 +153,17 @@ def test_very_long_text(spark, monkeypatch):
     assert {r.id: r.shared_chars for r in s.report().collect()} == {1: 850, 2: 400, 3: 450, 4: 0}
 
 
+def test_a_template_in_all_records_is_met_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT", 20)
+    rows = case(11, 40) + [(1000 + i, "the template that all of these records begin with, word for word " + str(i) * 50) for i in range(60)]
+    s = SharedSpans(spark.createDataFrame(rows, "doc_id long, text string"), min_length=40)
+    pairs, shared = brute(rows, 40)
+    assert {tuple(r) for r in s.pairs().collect()} == pairs
+    rep = {r.id: r for r in s.report().collect()}
+    assert {d: r.shared_chars for d, r in rep.items()} == shared | {200: 0}
+    assert {d: (r.n_spans, r.longest_span) for d, r in rep.items()} == longest(rows, 40) | {200: (0, 0)}
+
+
 def test_nothing(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     for d in (df, df.limit(0)):
