@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions.rng import bits, bits_sql
 from .operators.geometry import distinct_slides
-from .operators.masks import gather, mask_downsample
+from .operators.masks import mask_downsample
 
 MASK = 16
 

@@ -653,7 +653,8 @@ _CROP_T = f"""t AS (SELECT path, tryno, 512 * 512 * (0.08::DOUBLE + 0.92::DOUBLE
 
 @query(f"""WITH {SLIDES}, {_CROP_T}, z AS (SELECT path, tryno, round_even(sqrt(area * ratio), 0)::INT AS w, round_even(sqrt(area / ratio), 0)::INT AS h FROM t),
   b AS (SELECT path, arg_min(w, tryno) AS w, arg_min(h, tryno) AS h FROM z WHERE w BETWEEN 1 AND 512 AND h BETWEEN 1 AND 512 GROUP BY path)
-  SELECT path, coalesce(w, 512) AS w, coalesce(h, 512) AS h, least(floor({uniform_sql(23, 'path', "'x'")} * (512 - coalesce(w, 512) + 1)), 512 - coalesce(w, 512))::INT AS x FROM sl LEFT JOIN b USING (path)""")
+  SELECT path, coalesce(w, 512) AS w, coalesce(h, 512) AS h, least(floor({uniform_sql(23, 'path', "'x'")} * (512 - coalesce(w, 512) + 1)), 512 - coalesce(w, 512))::INT AS x,
+    least(floor({uniform_sql(23, 'path', "'y'")} * (512 - coalesce(h, 512) + 1)), 512 - coalesce(h, 512))::INT AS y FROM sl LEFT JOIN b USING (path)""")
 def crop_params(spark, d):
     """Random crops of a 512 x 512 patch: the first of ten tries that fits, else the whole."""
     s = slides(spark, d).select("path")
@@ -669,7 +670,8 @@ def crop_params(spark, d):
 
     fit = F.get(F.filter(F.transform(tries, one), lambda b: b["w"].between(1, 512) & b["h"].between(1, 512)), F.lit(0))
     c = s.select("path", F.coalesce(fit["w"], F.lit(512)).alias("w"), F.coalesce(fit["h"], F.lit(512)).alias("h"))
-    return c.withColumn("x", F.least(F.floor(uniform(23, "path", F.lit("x")) * (512 - F.col("w") + 1)), 512 - F.col("w")).cast("int"))
+    at = lambda lane, side: F.least(F.floor(uniform(23, "path", F.lit(lane)) * (512 - F.col(side) + 1)), 512 - F.col(side)).cast("int")
+    return c.withColumn("x", at("x", "w")).withColumn("y", at("y", "h"))
 
 
 @query(

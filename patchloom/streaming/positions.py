@@ -88,7 +88,7 @@ def coordinates(
         j = draws_.join(s, "pos")
         pick = lambda lane, room: F.floor(uniform("seed", "epoch", "path", "draw", F.lit(lane)) * (room + 1)).cast("int")
         return j.withColumn("x", pick("x", F.col("width") - patch)).withColumn("y", pick("y", F.col("height") - patch)).drop("seed")
-    j = draws_.join(with_sums(s, masks), "pos")
+    j = draws_.join(with_sums(s, masks).hint("merge"), "pos")
     found = attempt("seed", "epoch", F.col("draw"), F.lit(patch), retries, threshold)
     j = j.withColumn("_f", found).drop("seed", "_sat", "mask_w", "mask_h", "downsample")
     return j.select("*", "_f.x", "_f.y", "_f.tissue_fraction").drop("_f").filter("x is not null")

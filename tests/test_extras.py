@@ -1,4 +1,5 @@
 import json
+import os
 import subprocess
 import sys
 import zlib
@@ -116,11 +117,15 @@ def test_throughput_by_ranks(spark, slides):
     assert monitor.throughput(make, slides, 9, size=8).isEmpty()
 
 
-def test_demo_runs():
+@pytest.mark.parametrize(
+    ("script", "options", "said"),
+    [("demo.py", [], "(16, 3, 256, 256)"), ("train.py", [], "mean colour"), ("figures.py", ["--out", "{tmp}"], "recipe_phikon")],
+)
+def test_examples_run(script, options, said, tmp_path):
     root = Path(__file__).resolve().parents[1]
     done = subprocess.run(
-        [sys.executable, "examples/demo.py"], cwd=root, env={**__import__("os").environ, "PYTHONPATH": str(root)}, capture_output=True,
-        text=True, timeout=300,
+        [sys.executable, f"examples/{script}", *[o.format(tmp=tmp_path) for o in options]], cwd=root,
+        env={**os.environ, "PYTHONPATH": str(root)}, capture_output=True, text=True, timeout=300,
     )
     assert done.returncode == 0, done.stderr[-2000:]
-    assert "(16, 3, 256, 256)" in done.stdout
+    assert said in done.stdout

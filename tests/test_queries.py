@@ -47,6 +47,35 @@ def test_synthetic_patches(spark):
     assert all(0 <= r.draw < 100 for r in got) and len({r.pixels for r in got}) > len(got) / 2
 
 
+def test_pixels_by_a_second_reading(spark):
+    """Some of the patches, made again one by one from the reader, the filter's formula and the transforms' equations."""
+    import numpy as np
+    import xxhash
+
+    from patchloom.operators import images
+    from patchloom.sources.readers import Stained
+
+    rows = core.queries()["synthetic_patches"](spark, FOLDER).orderBy("pixels").limit(12).collect()
+    for r in rows:
+        reader = Stained()
+        reader.open(r.path)
+        a = reader.read(r.x, r.y, r.level, 256, 256)
+        assert {tuple(c) for c in a.reshape(-1, 3).tolist()} <= {(240, 240, 240), (180, 110, 190)}
+        # The stained colour lies in the filter's box (hue 146, saturation 107, value 190), the light one does not.
+        assert (a[..., 1] == 110).mean() >= 0.6
+        rng = images.generator(1, r.path, 0, r.draw, images.TRANSFORMS)
+        h, v, turn = rng.random(3)
+        a = a[:, ::-1] if h < 0.5 else a
+        a = a[::-1] if v < 0.5 else a
+        a = np.rot90(a, int(rng.integers(1, 4))) if turn < 0.5 else a
+        u = rng.uniform(-1, 1, (3, 2)) * 0.05
+        stains = -np.log(a / 255 + 1e-6) @ np.linalg.inv(images.STAINS) * (1 + u[:, 0]) + u[:, 1]
+        exact = (np.exp(-stains @ images.STAINS) - 1e-6) * 255
+        assert np.abs(exact - np.round(exact)).min() > 1e-6
+        data = np.ascontiguousarray(exact.clip(0, 255).astype(np.uint8)).tobytes()
+        assert xxhash.xxh64_intdigest(data, 42) == r.pixels % (1 << 64)
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns and not entry.entry(spark).isEmpty()
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -1,9 +1,10 @@
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from patchloom.operators import geometry, sampling
+from patchloom.operators import geometry, masks, sampling
 
 
 def test_random_is_the_same_for_any_partitioning(slides, full_masks):
@@ -134,3 +135,31 @@ def test_stratified_and_order(spark):
     a = {r.path: r.pos for r in sampling.slide_order(s, 1, 0).collect()}
     b = {r.path: r.pos for r in sampling.slide_order(s, 1, 1).collect()}
     assert sorted(a.values()) == list(range(20)) and a != b
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans(spark, slides, full_masks):
+    one = sampling.random_coords(slides, full_masks, 5)
+    # Slides meet masks in a merge join, and only there; attempts are not rows.
+    assert plan_of(one).count("SortMergeJoin") == 1 and "Broadcast" not in plan_of(one) and plan_of(one).count("Generate explode") == 1
+    assert "Broadcast" not in plan_of(sampling.cells(slides, full_masks, 256)) and "Broadcast" not in plan_of(sampling.random_pool(slides, full_masks, 5))
+    assert "WindowGroupLimit" in plan_of(sampling.pool(geometry.grid(slides.filter("width > 1000"), 512), 1, 5))
+    w = sampling.level_weights(slides, [0.25, 1.0], [0.5, 0.5])
+    assert plan_of(sampling.race(geometry.grid(slides.filter("width > 1000"), 512), w, 1, 5)).count("WindowGroupLimit") >= 2
+
+
+def test_full_size_packed_masks(spark, slides):
+    """2048 x 2048 cells as bits: tissue in the left half, looked up by samplers and for given coordinates."""
+    mask = np.zeros((2048, 2048), bool)
+    mask[:, :1024] = True
+    rows = [(r.path, 2048, 2048, r.width / 2048, np.packbits(mask.ravel()).tobytes()) for r in slides.filter("width > 1000").collect()]
+    m = spark.createDataFrame(rows, "path string, mask_w int, mask_h int, downsample double, cells binary")
+    c = sampling.cells(slides, m, 256, threshold=0.5).collect()
+    assert len(c) == 2 * 8 * 16 and all(r.x < 2048 and r.tissue_fraction == 1 for r in c)
+    r = sampling.random_coords(slides, m, 20, threshold=0.75).collect()
+    assert len(r) == 40 and all(x.x <= 2048 - 192 + 1 for x in r)
+    given = spark.createDataFrame([(rows[0][0], x, 0, 256) for x in (0, 1920, 2048)], "path string, x int, y int, footprint int")
+    assert [x.tissue_fraction for x in masks.fractions(given, m).orderBy("x").collect()] == [1.0, 0.5, 0.0]
