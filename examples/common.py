@@ -6,19 +6,10 @@ import argparse
 
 from patchloom.session import session
 from patchloom.sources.paths import slide_paths
-from patchloom.sources.readers import OpenSlideReader, Stained, Synthetic
+from patchloom.sources.readers import OpenSlideReader, Stained
 from patchloom.sources.slides import properties
 
 
-class Tissue(Stained):
-    """A stained square in the middle of a light thumbnail, of the colour of its patches."""
-
-    def thumbnail(self, width: int, height: int):
-        out = Synthetic.thumbnail(self, width, height)
-        out[(out == 80).all(-1)] = self.COLOURS[1]
-        return out
-
-
 def arguments(**more) -> argparse.Namespace:
     p = argparse.ArgumentParser()
     p.add_argument("--slides", help="a folder of slide files; needs the library openslide")
@@ -31,6 +22,6 @@ def arguments(**more) -> argparse.Namespace:
 def open_slides(args: argparse.Namespace, n: int = 6):
     """The session, the table of slides that can be opened, and their reader."""
     spark = session(args.cores)
-    make = OpenSlideReader if args.slides else Tissue
+    make = OpenSlideReader if args.slides else Stained
     paths = slide_paths(spark, args.slides) if args.slides else spark.createDataFrame([(f"memory://slide_{i}.svs",) for i in range(n)], "path string")
     return spark, properties(paths.select("path"), make).filter("error is null").drop("error"), make
