@@ -88,11 +88,11 @@ def allocate(
     if there were enough everywhere: quotas add up to ``size``, minima included, unless the minima alone
     are more.  ``n_taken`` adds up to the same, or to all rows there are; ``n_extra`` is what
     stands in for other leaves.  A leaf of share 0 gets its minimum and no more.  ``short``: fewer are available
-    than wanted.  Targets are one small table, a row for each leaf; nulls in it count as a share or minimum of 0.
+    than wanted.  Targets are one small table, a row for each leaf; nulls, NaN and negative numbers in it count as a share or minimum of 0.
     """
     d = len(levels)
     t = targets.select(
-        *levels, F.greatest(F.coalesce(F.col(share).cast("double"), F.lit(0.0)), F.lit(0.0)).alias("share"),
+        *levels, F.greatest(F.nanvl(F.coalesce(F.col(share).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0)).alias("share"),
         F.greatest(F.coalesce(F.col(least).cast("long"), F.lit(0)), F.lit(0)).alias("least"),
     )
     a = t.join(available.select(*levels, "n_available"), levels, "left").fillna(0, ["n_available"]).withColumn("w", F.col("share"))

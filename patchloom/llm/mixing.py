@@ -63,7 +63,7 @@ class Mix:
     source stays below its budget by less than one document.  Null texts have no
     tokens and, like those of null ids and of sources without a target, take no part.
     Rows with equal ids are separate documents.  Weights count as parts of their sum;
-    null or negative weights and repeats count as 0.
+    null, NaN or negative weights and repeats count as 0.
     """
 
     def __init__(
@@ -79,7 +79,7 @@ class Mix:
         named = named.groupBy("source").agg(
             F.max(
                 F.struct(
-                    F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("weight"),
+                    F.nanvl(F.coalesce(F.col("weight").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("weight"),
                     F.coalesce(F.col("repeats").cast("long"), F.lit(0)).alias("repeats"), "name",
                 )
             ).alias("t")

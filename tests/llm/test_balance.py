@@ -98,6 +98,12 @@ def test_minima_are_part_of_the_size(spark):
     assert {k: r.n_taken for k, r in got.items()} == {("a", "0"): 0, ("a", "1"): 10, ("b", "0"): 10, ("b", "1"): 3}
 
 
+def test_odd_numbers_in_targets_count_as_nothing(spark):
+    rows = [(("a", "0"), float("nan"), 2), (("a", "1"), None, None), (("b", "0"), 1.0, -5), (("b", "1"), -0.5, 0)]
+    got = plan(spark, rows, {r[0]: 100 for r in rows}, 50)
+    assert {k: (r.quota, r.n_taken) for k, r in got.items()} == {("a", "0"): (2, 2), ("a", "1"): (0, 0), ("b", "0"): (48, 48), ("b", "1"): (0, 0)}
+
+
 def test_siblings_stand_in_before_cousins(spark):
     rows = [((p, str(i)), 1 / 6, 0) for p in "ab" for i in range(3)]
     have = dict.fromkeys([r[0] for r in rows], 100)
