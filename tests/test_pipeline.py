@@ -158,6 +158,18 @@ def test_endless_batches_leave_broken_slides_out(slides, full_masks, tmp_path):
     assert list(p.filter(images.HsvFilter()).batches(3, cycle=True)) == []
 
 
+def test_a_shuffled_grid_makes_no_more_rows_than_the_budget(slides, full_masks, monkeypatch):
+    from patchloom.operators import schedule
+
+    made = []
+    monkeypatch.setattr(schedule, "budget", lambda draws, most: made.append(draws) or draws)
+    whole = Pipeline(slides, full_masks, seed=1).grid(256, shuffle=True)
+    c = {(r.path, r.draw): (r.x, r.y) for r in whole.schedule(per_slide=5).coordinates().collect()}
+    # Of 256 cells with tissue, the sampler hands on the five that are wanted.
+    assert len(c) == made[0].count() == 10
+    assert c.items() <= {(r.path, r.draw): (r.x, r.y) for r in whole.coordinates().collect()}.items()
+
+
 def test_a_sampler_of_ones_own(slides, full_masks):
     def centre(s, masks, epoch):
         return s.select("path", epoch, F.lit(0).alias("draw"), (F.col("width") / 2 - 32).cast("int").alias("x"), F.lit(5).alias("y"), F.lit(0).alias("level"), F.lit(64).alias("patch_size"), "mpp")

@@ -49,6 +49,44 @@ def test_pool_is_a_permutation_and_cut_without_bias(slides):
     assert 1000 < cut.agg(F.avg("x")).first()[0] < 2840
 
 
+def test_cells_drawn_in_the_task_are_those_of_the_pool(slides, full_masks):
+    part = full_masks.withColumn("cells", F.transform("cells", lambda c, i: F.when((i % 100 < 40) & (i < 7000), c).otherwise(0)))
+    s = slides.withColumn("epoch", F.lit(3))
+    for size, stride, epoch in ((9, None, "epoch"), (10000, 100, 2)):
+        keep = ["epoch"] if epoch == "epoch" else []
+        want = sampling.pool(sampling.cells(s, part, 256, 0, stride, keep=keep), 5, size, epoch)
+        got = sampling.cell_pool(s, part, size, stride=stride, seed=5, epoch=epoch)
+        assert dict(got.dtypes) == dict(want.dtypes)
+        rows = sorted(map(tuple, got.select(*want.columns).collect()))
+        assert rows == sorted(map(tuple, want.collect())) and len(rows) >= 18
+    with pytest.raises(Exception, match="lacks the level"):
+        sampling.cell_pool(s, part, 9, level=2).collect()
+
+
+def test_few_cells_at_a_time_and_ties(monkeypatch):
+    r = {"width": 4096, "height": 2048, "_p": 256, "_s": 128, "mask_w": 4, "mask_h": 2, "downsample": 1024.0}
+    sums = np.zeros((3, 5), np.int32)
+    sums[1:, 1:] = np.array([[1, 1, 0, 1], [0, 1, 1, 1]]).cumsum(0).cumsum(1)
+    monkeypatch.setattr(sampling, "bits_of", lambda key, x, y: ((x + y) // 512).astype(np.uint32))
+    want = [v.tolist() for v in sampling._first_cells(r, sums, [], 50, 0.4)]
+    monkeypatch.setattr(sampling, "CELLS", 70)
+    assert [v.tolist() for v in sampling._first_cells(r, sums, [], 50, 0.4)] == want
+    order = [((x + y) // 512, y, x) for x, y in zip(*want[:2], strict=True)]
+    assert order == sorted(order) and len(set(order)) == 50
+
+
+def test_hashes_inside_a_task():
+    from hashlib import md5
+
+    from patchloom.functions.rng import bits_of
+
+    x, y = np.array([0, 9, 10, 99, 12345, 2**31 - 1, 7]), np.array([0, 100, 2**31 - 1, 5, 67890, 2**31 - 1, 10])
+    for n in range(130):
+        parts = [1, 0, "\u00fc" + "p" * n, 2]
+        want = [int(md5("|".join(map(str, [*parts, a, b])).encode()).hexdigest()[:8], 16) for a, b in zip(x, y, strict=True)]
+        assert bits_of(parts, x, y).tolist() == want
+
+
 def test_race_follows_the_weights(spark):
     n = 500
     rows = [("s", lv, i, 0) for lv in (0, 1) for i in range(n)]
